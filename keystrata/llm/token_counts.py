@@ -1,11 +1,12 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Texts are split at safe boundaries: a space, tab or line end between any two characters.
-The word-level vocabularies drop white space and never merge across it, so the tokens of a
-text are the tokens of its pieces, whatever its length. A task keeps the counts of pieces
-it has met (up to ``cache_pieces``, then it starts anew, which changes no result) and
-hands the new ones to the library in batches of about equal bytes. The tokenizer's
-own rules hold within a piece: its normaliser, its special strings, its splits.
+Texts are split at safe boundaries: ASCII white space, and before a full stop or comma
+that ends such a piece after a small letter. The word-level vocabularies drop white space,
+never merge across either boundary and fold case, so the tokens of a text are the tokens of
+its pieces, whatever its length. A worker keeps the counts of pieces it has met (up to
+``CACHE_PIECES``, then it starts anew, which changes no result) and hands the new ones to
+the library in batches of about equal bytes. The tokenizer's own rules hold within a
+piece: its normaliser, its special strings, its splits.
 
 ``whole`` switches the splitting off for vocabularies that do merge across white space.
 Null and empty texts have no bytes and no tokens; equal rows each give their row.
@@ -13,7 +14,7 @@ Null and empty texts have no bytes and no tokens; equal rows each give their row
 
 from __future__ import annotations
 
-import re
+import os
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,9 +22,7 @@ from pyspark.sql import functions as F
 
 LIMIT = 2048
 BATCH_BYTES = 1 << 20
-CACHE_PIECES = 1_000_000
-
-_SAFE = re.compile(r"[ \t\r\n]+")
+CACHE_PIECES = 600_000
 
 
 def load(path: str):
@@ -58,35 +57,59 @@ def byte_batches(pieces: list[str], limit: int = BATCH_BYTES):
 class Pieces:
     """What the library gives for each piece: by default its number of tokens."""
 
-    def __init__(self, path: str, give=len, whole: bool = False, cache_pieces: int = CACHE_PIECES):
-        self.tokenizer, self.give, self.whole, self.most, self.known = load(path), give, whole, cache_pieces, {}
+    def __init__(self, path: str, give=len, whole: bool = False):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.tokenizer, self.give, self.whole, self.known = load(path), give, whole, {}
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
-    def of(self, texts: list[str]) -> list[list]:
-        """For each text what its pieces give, in order."""
-        split = [[t] if self.whole else [p for p in _SAFE.split(t) if p] for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > self.most:
-            self.known, new = {}, list({p for pieces in split for p in pieces})
+    def split(self, text: bytes) -> list[bytes]:
+        if self.whole:
+            return [text]
+        return (text if b"<|" in text else text.lower()).split()
+
+    def _learn(self, new: list[bytes]) -> None:
         for batch in byte_batches(new):
-            for piece, found in zip(batch, self.tokenizer.encode_batch(batch, add_special_tokens=False), strict=True):
-                self.known[piece] = self.give(found.ids)
+            found = self.encode([p.decode() for p in batch], add_special_tokens=False)
+            self.known.update(zip(batch, (self.give(f.ids) for f in found), strict=True))
+
+    def of(self, texts: list[bytes]) -> list[list]:
+        """For each text what its pieces give, in order."""
+        split = [self.split(t) for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known = {}
+            new = set().union(*split)
+        ended = [] if self.whole else [p for p in new if p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122]
+        self._learn([*new.difference(ended)])
+        self._learn([*({p[:-1] for p in ended} | {p[-1:] for p in ended}).difference(self.known)])
         known = self.known
-        return [[known[p] for p in pieces] for pieces in split]
+        known.update((p, known[p[:-1]] + known[p[-1:]]) for p in ended)
+        return [list(map(known.__getitem__, pieces)) for pieces in split]
+
+
+_held: dict[tuple, Pieces] = {}
+
+
+def held(path: str, name: str, give, whole: bool = False) -> Pieces:
+    """The worker's pieces for one file and purpose, kept from task to task."""
+    if (key := (path, name, whole)) not in _held:
+        _held[key] = Pieces(path, give, whole)
+    return _held[key]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, *, whole: bool = False, block_rows: int = 500) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every whole text."""
 
     def count(batches):
-        pieces = Pieces(path or default_path(), whole=whole)
+        pieces = held(path or default_path(), "lengths", len, whole)
         for batch in batches:
             for a in range(0, batch.num_rows, block_rows):
                 part = batch.slice(a, block_rows)
-                texts = [t or "" for t in part.column(1).to_pylist()]
+                texts = [t or b"" for t in part.column(1).to_pylist()]
                 n = [sum(x) for x in pieces.of(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
 
 
 def digest(counts: DataFrame, limit: int = LIMIT) -> DataFrame:
