@@ -29,6 +29,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.predict(docs, model).select("doc_id", (remainder(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join as op
+
+    return op.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts as op
 
@@ -49,5 +55,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op4_token_counts, op7_best_fit_packing, op10_quality_crf)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op7_best_fit_packing, op10_quality_crf)}
 ORACLE_SQL: dict[str, str] = {}
