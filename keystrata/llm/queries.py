@@ -47,6 +47,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup as op
+
+    return op.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality as op
 
@@ -55,5 +61,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op7_best_fit_packing, op10_quality_crf)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_quality_crf)}
 ORACLE_SQL: dict[str, str] = {}
