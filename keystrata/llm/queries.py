@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import url_filter
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +43,18 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.token_counts(table(spark, sf_dir, "documents")))
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprints as op
+
+    return op.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan as op
+
+    return op.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing as op
 
@@ -53,6 +67,12 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_filter as op
+
+    return op.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality as op
 
@@ -61,5 +81,5 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op7_best_fit_packing, op8_suffix_dedup, op10_quality_crf)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf)}
+ORACLE_SQL: dict[str, str] = {"op9_url_filter": url_filter.ORACLE_SQL}
