@@ -222,3 +222,19 @@ def score(docs: DataFrame, model: Field | float, *, lines_too: bool = False) ->
 
     kinds = "doc_id long, score double" + ", lines array<double>" * lines_too
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(judge, kinds)
+
+
+def keep(docs: DataFrame, model: Field | float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``threshold`` or more."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def pick(batches):
+        for batch in batches:
+            good = [np.zeros(0, bool)]
+            for a, b, data, offsets in B.texts(batch.column(at)):
+                x, size, row = line_features(data, offsets)
+                p = np.full(len(x), sent.value) if isinstance(sent.value, float) else sent.value.line_scores(with_neighbours(x, row), row)
+                good.append(np.bincount(row, p * size, b - a) / np.bincount(row, size, b - a) >= threshold)
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(pick, docs.schema)
