@@ -39,6 +39,8 @@ BROADCAST_KEYS = 2_000_000
 TUPLES = "common long, whole long, key long, place long, weight int"
 FOUND = "key long, place long, weight int, state int"
 REPEATED, OPEN = 1, 2
+#: Weight of a member whose tuple is known to be repeated; 1 is a single tuple, 2 stands for several.
+PROVED = 3
 
 
 def kept_suffixes(data: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -132,9 +134,27 @@ def sorted_tuples(docs: DataFrame, length: int = LENGTH, radius: int = RADIUS, w
 
 
 def _rows(out, weight=None) -> pa.RecordBatch:
-    join = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
-    weight = np.ones(len(out[0]), np.int32) if weight is None else np.concatenate([np.zeros(0, np.int32), *weight])
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(join(out[2])), pa.array(join(out[3])), pa.array(weight)], ["common", "whole", "key", "place", "weight"])
+    """The tuples of a run of texts, those that are equal combined.
+
+    Equal tuples within the run are proved repeated here: one of them stays as the tuple's
+    representative, and the members go by a place of their own with weight PROVED, so that
+    a very common string does not meet in one task member by member.
+    """
+    join = lambda x, kind=np.int64: np.concatenate([np.zeros(0, kind), *x])
+    common, whole, key, place = np.array(out[0], np.int64), np.array(out[1], np.int64), join(out[2]), join(out[3])
+    weight = np.ones(len(common), np.int32) if weight is None else join(weight, np.int32)
+    order = np.lexsort((whole, common))
+    common, whole, key, place, weight = (c[order] for c in (common, whole, key, place, weight))
+    first = np.ones(len(common), bool)
+    first[1:] = (common[1:] != common[:-1]) | (whole[1:] != whole[:-1])
+    size = np.diff(np.append(np.flatnonzero(first), len(first)))
+    several = np.repeat(size > 1, size)
+    members = several & (weight < 2)
+    own = B.mix((key ^ (place << 1)).view(np.uint64)).view(np.int64)
+    kept = first | ~several
+    weights = np.concatenate([np.where(several, 2, weight)[kept], np.full(int(members.sum()), PROVED)]).astype(np.int32)
+    columns = [np.concatenate([c[kept], m[members]]) for c, m in ((common, own), (whole, whole), (key, key), (place, place))]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(weights)], ["common", "whole", "key", "place", "weight"])
 
 
 def settle(tuples: DataFrame) -> DataFrame:
@@ -158,7 +178,7 @@ def settle(tuples: DataFrame) -> DataFrame:
             groups = (np.cumsum(group) - 1)[starts]
             several = np.bincount(groups) > 1
             several[0] |= mixed
-            proved = (total[runs] >= 2) & (weight < 2)
+            proved = ((total[runs] >= 2) & (weight < 2)) | (weight == PROVED)
             last = len(starts) - 1
             opened = starts[:last][several[groups[:last]]]
             mixed = bool(several[groups[last]])
