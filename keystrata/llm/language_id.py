@@ -23,10 +23,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .rows import bounded_sample
 
 PER_LANGUAGE = 800
 UNDETERMINED = "und"
@@ -175,9 +176,8 @@ class Hierarchy:
 
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The bounded sample: text and lang of labelled rows, the same at every run."""
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang", F.xxhash64("doc_id").alias("h"))
-    return labelled.withColumn("rank", rank).where(F.col("rank") <= per_language).select("text", "lang")
+    labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    return bounded_sample(labelled, "lang", per_language).select("text", "lang")
 
 
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Hierarchy | None:

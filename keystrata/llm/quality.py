@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .rows import bounded_sample
 
 PER_LABEL = 1500
 MOST_BYTES = 20_000
@@ -174,11 +175,9 @@ class Field:
 def sample(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The bounded sample: text and label, the same at every run."""
     own = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    short = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
-    picked = own.withColumn("h", F.xxhash64("doc_id")).withColumn("rank", rank).where(F.col("rank") <= 2 * per_label).drop("h", "rank")
-    again = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
-    return short.join(picked, "doc_id").withColumn("rank", again).where(F.col("rank") <= per_label).select("text", "label")
+    picked = bounded_sample(own, "label", 2 * per_label)
+    short = docs.where(F.octet_length("text") <= most_bytes).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return bounded_sample(short, "label", per_label).select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES) -> Field | float:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Up to so many keys (16 bytes each) go to every task; more are joined by a shuffle.
@@ -29,3 +29,16 @@ def by_name(docs: DataFrame, gone: DataFrame) -> DataFrame:
         keys = F.broadcast(keys)
     own = F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long")))
     return docs.withColumn("_own", own).join(keys, F.col("_own") == F.col("_key"), "left_anti").select(*docs.columns)
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows for each value of ``by``, those with the smallest hash of doc_id; the same at every run.
+
+    A first pass counts the values (few: a model has a class for each), so that only about
+    four times the wanted rows leave the tasks that read them.
+    """
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    near = rows.withColumn("_h", share).join(F.broadcast(counts), by).where(F.col("_h") <= 4.0 * most / F.col("_n"))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_h", "doc_id"))
+    return near.withColumn("_rank", rank).where(F.col("_rank") <= most).select(*rows.columns)
