@@ -35,10 +35,10 @@ from . import blocks as B
 from .components import connected_components
 from .scratch import Scratch
 
-COUNTERS = 1 << 18
+COUNTERS = 1 << 22
 _PARTS = 64
 GROUP_TOKENS = 10_000_000
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -58,12 +58,12 @@ def classes_and_sketch(docs: DataFrame, k: int) -> DataFrame:
     """A row (doc_id, n, sid) for each document, and each task's counters as (part, counts) rows."""
 
     def scan(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         names = ["doc_id", "n", "sid", "part", "counts"]
         for batch, a, sets in _sets(batches, k):
             n = len(sets)
             if grams := [s for s in sets if len(s)]:
-                counts += np.bincount((np.concatenate(grams) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counts, (np.concatenate(grams) % np.uint64(COUNTERS)).astype(np.int64), 1)
             sids = pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(map(len, sets), pa.int64()), sids, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         own = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(_PARTS, -1)]
@@ -79,13 +79,13 @@ def merged_sketch(rows: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
 
     out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int64)
     for r in rows.where("part is not null").select("part", "counts").repartition("part").mapInArrow(merge, "part int, counts binary").collect():
         out[r["part"]] += np.frombuffer(bytes(r["counts"]), np.int64)
-    return out.ravel()
+    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32).ravel()
 
 
 def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
@@ -241,37 +241,47 @@ class Join:
         groups = connected_components(edges, self.scratch, "groups")
         self.groups = self.scratch.save(groups.withColumnsRenamed({"node": "sid", "root": "group"}).join(self.reps, "sid"), "candidates")
 
-    def _candidate_sets(self) -> DataFrame:
-        """(sid, shingles) of the classes in candidate groups, read from one document of each."""
+    def _blocks(self) -> DataFrame:
+        """The sets of the candidate classes, read from one document of each and dealt out to pairs of blocks of their group.
+
+        While the candidates are few, their places go to the tasks that read the texts, so that
+        a set is shuffled once; beyond that they are joined.
+        """
         spark, k = self.docs.sparkSession, self.k
-        wanted = self.groups.select("sid", "rep")
-        if wanted.count() <= BROADCAST_IDS:
-            ids = np.sort(np.array([r["rep"] for r in wanted.where("rep is not null").collect()], np.int64))
-            sent, docs = spark.sparkContext.broadcast(ids), self.docs
+        tokens = self.groups.groupBy("group").agg(F.ceil(F.sum("n") / self.group_tokens).cast("int").alias("blocks"))
+        placed = self.groups.join(tokens, "group").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+        placed = placed.select("sid", "rep", "group", "blocks", "block", F.col("n").cast("int").alias("size"))
+        few = self.groups.count() <= BROADCAST_IDS
+        if few:
+            rows = sorted(tuple(r) for r in placed.collect())
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+            reps = np.array([r for r in columns[1] if r is not None], np.int64)
+            sent, docs = spark.sparkContext.broadcast((np.unique(reps), [np.array(columns[i], np.int64) for i in (0, 2, 3, 4, 5)])), self.docs
         else:
-            sent, docs = None, self.docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            sent, docs = None, self.docs.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
 
         def scan(batches):
             for batch in batches:
                 if sent is not None:
-                    own = np.isin(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), sent.value)
-                    batch = batch.filter(pa.array(own | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
+                    ids = batch.column(0)
+                    own = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value[0]) | ids.is_null().to_numpy(zero_copy_only=False)
+                    batch = batch.filter(pa.array(own))
                 for _, _, sets in _sets([batch], k):
-                    rows = [(_class_id(s), s.tobytes()) for s in sets if len(s)]
-                    if rows:
-                        sids, own = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(own, pa.binary())], ["sid", "shingles"])
-
-        return docs.mapInArrow(scan, "sid long, shingles binary")
-
-    def _blocks(self) -> DataFrame:
-        """The candidate sets, dealt out to pairs of blocks of their group."""
-        tokens = self.groups.groupBy("group").agg(F.ceil(F.sum("n") / self.group_tokens).cast("int").alias("blocks"))
-        placed = self.groups.join(tokens, "group").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        rows = self._candidate_sets().join(placed.select("sid", "group", "blocks", "block", F.col("n").alias("size")), "sid")
+                    sids, own = np.array([_class_id(s) if len(s) else 0 for s in sets], np.int64), np.array([len(s) > 0 for s in sets])
+                    more = []
+                    if sent is not None:
+                        known, *rest = sent.value[1]
+                        at = np.minimum(np.searchsorted(known, sids), max(0, len(known) - 1))
+                        own &= (known[at] == sids) if len(known) else False
+                        more = [pa.array(c[at[own]], t) for c, t in zip(rest, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if len(known) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
+                    found = pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(sids[own]), found, *more], ["sid", "shingles", "group", "blocks", "block", "size"][: 2 + len(more)])
+
+        rows = docs.mapInArrow(scan, "sid long, shingles binary" + ", group long, blocks int, block int, size int" * few)
+        if not few:
+            rows = rows.join(placed.drop("rep"), "sid")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("*", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        return rows
+        return rows.select("*", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def links(self) -> DataFrame:
         """(a, b, overlap, joined): every linked pair of classes, named by their least doc_id."""
