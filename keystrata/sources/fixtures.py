@@ -52,6 +52,14 @@ _CIPHERS = (
     ("TLSv1.3", "TLS_AES_128_GCM_SHA256", "", "3072"),
     ("TLSv1.1", "ECDHE-RSA-AES128-SHA", "", ""),
 )
+# "@o" and "@c" stand for braces, "@v" for a number that differs between files.
+_MANIFESTS = (
+    ("web", "package.json", '@o"dependencies":@o"jsonwebtoken":"^9.0.@v","left-pad":"1.3.0"@c,"devDependencies":@o"elliptic":"~6.5.@v"@c@c'),
+    ("api", "requirements.txt", '# pins\\nPyJWT[crypto]==2.@v.0\\n-r base.txt\\nrsa>=4.@v ; python_version > "3"\\ncryptography\\n'),
+    ("core", "Cargo.lock", 'version = 3\\n[[package]]\\nname = "ring"\\nversion = "0.17.@v"\\n\\n[[package]]\\nname = "serde"\\nversion = "1.0.@v"\\n'),
+    ("core", "Cargo.toml", '[package]\\nname = "x"\\n[dependencies]\\nrustls = "0.23.@v"\\nring = "0.17"\\n[dev-dependencies]\\nserde = "1"\\n'),
+    ("ops", "go.sum", "none"),
+)
 
 
 def _values(rows, columns: str) -> str:
@@ -74,6 +82,18 @@ SQL = {
                concat(CASE l_suppkey % 5 WHEN 0 THEN '^' WHEN 1 THEN '>=' WHEN 2 THEN '~' WHEN 3 THEN '<' ELSE '' END,
                       CAST(CAST(l_quantity AS INT) AS STRING), '.', CAST(l_linenumber AS STRING), '.', CAST(l_partkey % 9 AS STRING)) AS version
         FROM {{lineitem}} JOIN {_values(_PACKAGES, "ecosystem, name")} ON l_partkey % {len(_PACKAGES)} = k""",
+    "manifests": f"""
+        SELECT source AS target, concat('p', CAST(doc_id AS STRING), '/', dir, '/', file) AS path,
+               replace(replace(replace(replace(code, '\\n', chr(10)), '@o', chr(123)), '@c', chr(125)), '@v', CAST(n_chars % 7 AS STRING)) AS content
+        FROM {{documents}} JOIN {_values(_MANIFESTS, "dir, file, code")} ON doc_id % {len(_MANIFESTS)} = k""",
+    "sites": """
+        SELECT l_orderkey % 50 AS target, concat('a', CAST(l_suppkey % 3 AS STRING), '/b', CAST(l_partkey % 4 AS STRING), '/c', CAST(l_linenumber AS STRING), '.js') AS path,
+               CAST(l_orderkey AS BIGINT) * 1000000 + l_linenumber * 100000 + l_partkey AS ord, CASE l_partkey % 3 WHEN 0 THEN 'jwt/jsonwebtoken/rsa' ELSE 'jwt/jsonwebtoken/hmac' END AS rule_id,
+               CASE l_suppkey % 2 WHEN 0 THEN 'confirmed' ELSE 'low' END AS confidence
+        FROM {lineitem}""",
+    "manifest_dirs": """
+        SELECT DISTINCT p_partkey % 50 AS target, CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN concat('a', CAST(p_partkey % 3 AS STRING)) ELSE concat('a', CAST(p_partkey % 3 AS STRING), '/b', CAST(p_partkey % 4 AS STRING)) END AS dir
+        FROM {part}""",
     "advisories": f"""
         SELECT ecosystem, name, concat(CAST(p_size AS STRING), '.', CAST(p_partkey % 7 + 1 AS STRING), '.', CAST(p_partkey % 9 AS STRING)) AS version, concat('ADV-', CAST(p_size AS STRING)) AS id
         FROM {{part}} JOIN {_values(_PACKAGES, "ecosystem, name")} ON p_partkey % {len(_PACKAGES)} = k""",

@@ -53,3 +53,26 @@ def test_matches_have_offsets_and_lines(spark):
     files = spark.createDataFrame([("t", "src/a.py", text), ("t", "vendor/b.py", text), ("t", "src/c.py", "")], "target string, path string, content string")
     rows = [tuple(r) for r in source.match(files, ("python",)).orderBy("at").collect()]
     assert [(r[1], r[3], r[4], r[5]) for r in rows] == [("src/a.py", "md5", text.index("hashlib.md5"), 3), ("src/a.py", "sha1", text.index("hashlib.sha1"), 4)]
+
+
+def test_requirements_join_lines_and_drop_options(spark):
+    from keystrata.operators import manifests
+
+    text = "a[x] == 1.0 \\\n  --hash=sha256:00\n# b==2\n-r c.txt\nd ; python_version > '3'\n\ne>=1,<2 # why"
+    files = spark.createDataFrame([("t", "p/requirements.txt", text), ("t", "requirements.txt", None), ("t", "p/other.txt", text)], "target string, path string, content string")
+    assert sorted((r["name"], r["version"]) for r in manifests.requirements(files).collect()) == [("a", "== 1.0"), ("d", ""), ("e", ">=1,<2")]
+
+
+def test_manifests_of_no_use_give_no_rows(spark):
+    from keystrata.operators import manifests
+
+    files = spark.createDataFrame([("t", f"p/{n}", c) for n in ("package.json", "Cargo.lock", "Cargo.toml", "requirements.txt") for c in (None, "", "{broken")], "target string, path string, content string")
+    assert all(read(files).isEmpty() for read in (manifests.npm, manifests.cargo_lock, manifests.toml_entries, manifests.requirements))
+
+
+def test_deepest_directory_owns_a_site(spark):
+    from keystrata.operators import manifests
+
+    sites = spark.createDataFrame([("t", "a/b/x.js", 1), ("t", "ab/x.js", 2), ("u", "x.js", 3)], "target string, path string, ord long")
+    dirs = spark.createDataFrame([("t", ""), ("t", "a"), ("t", "a/b")], "target string, dir string")
+    assert sorted((r["ord"], r["dir"]) for r in manifests.owning_dirs(sites, dirs).collect()) == [(1, "a/b"), (2, "")]
