@@ -17,7 +17,11 @@ KINDS = (
     ("pyproject.toml", "pyproject", "pypi"),
     ("Cargo.toml", "cargo-manifest", "crates"),
     ("Cargo.lock", "cargo-lock", "crates"),
+    ("yarn.lock", "yarn-lock", "npm"),
+    ("poetry.lock", "poetry-lock", "pypi"),
+    ("uv.lock", "uv-lock", "pypi"),
 )
+STANZA_LOCKS = ("Cargo.lock", "poetry.lock", "uv.lock")
 _NPM_SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
 
 
@@ -34,8 +38,8 @@ def kinds(files: DataFrame) -> DataFrame:
     return files.select("target", "path", kind.alias("kind"), ecosystem.alias("ecosystem"))
 
 
-def _named(files: DataFrame, name: str) -> DataFrame:
-    return files.where(file_name(F.col("path")) == name)
+def _named(files: DataFrame, *names: str) -> DataFrame:
+    return files.where(file_name(F.col("path")).isin(*names))
 
 
 def npm(files: DataFrame) -> DataFrame:
@@ -56,17 +60,44 @@ def requirements(files: DataFrame) -> DataFrame:
     return rows.select("target", "path", F.regexp_extract("line", r"^([A-Za-z0-9._-]+)", 1).alias("name"), spec.alias("version"))
 
 
-def cargo_lock(files: DataFrame) -> DataFrame:
-    """(target, path, name, version) of the package stanzas of Cargo.lock."""
+def stanza_locks(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of the package stanzas of Cargo.lock, poetry.lock and uv.lock."""
     parts = F.split("content", r"(?m)^\[\[package\]\]")
-    rows = _named(files, "Cargo.lock").select("target", "path", F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("part"))
+    rows = _named(files, *STANZA_LOCKS).select("target", "path", F.explode(F.slice(parts, F.lit(2), F.size(parts))).alias("part"))
     field = lambda k: F.regexp_extract("part", rf'(?m)^{k} = "([^"]+)"', 1).alias(k)
     return rows.select("target", "path", field("name"), field("version")).where("name <> ''")
 
 
-def toml_entries(files: DataFrame) -> DataFrame:
-    """(target, path, section, name, version): quoted entries of Cargo.toml below their table's header."""
-    lines = _named(files, "Cargo.toml").select("target", "path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line"))
+def npm_lock(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of the ``packages`` of package-lock.json; the root, links and workspace paths give no row."""
+    parsed = F.from_json("content", "packages map<string,struct<name:string,version:string,link:boolean>>")["packages"]
+    rows = _named(files, "package-lock.json").select("target", "path", F.explode(parsed).alias("key", "own"))
+    place = F.regexp_extract("key", r"(?:^|/)node_modules/((?:@[^/]+/)?[^/]+)$", 1)
+    rows = rows.where((place != "") & ~F.coalesce("own.link", F.lit(False)) & F.col("own.version").isNotNull())
+    return rows.select("target", "path", F.coalesce("own.name", place).alias("name"), "own.version")
+
+
+def yarn_lock(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of the stanzas of yarn.lock, of either format."""
+    rows = _named(files, "yarn.lock").select("target", "path", F.explode(F.split("content", r"\n(?=\S)")).alias("part"))
+    name = F.regexp_extract("part", r'^"?((?:@[^/@"\s]+/)?[^@"\s#]+)@', 1)
+    version = F.regexp_extract("part", r'\n\s+version:? "?([^"\s]+)', 1)
+    return rows.select("target", "path", name.alias("name"), version.alias("version")).where("name <> '' and version <> ''")
+
+
+def pyproject(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of the project's dependency list and of Poetry's table, without python itself."""
+    array = F.regexp_extract("content", r'(?m)^dependencies\s*=\s*\[\s*((?:"[^"]*"\s*,?\s*)*)\]', 1)
+    listed = _named(files, "pyproject.toml").select("target", "path", F.explode(F.regexp_extract_all(array, F.lit('"([^"]*)"'), F.lit(1))).alias("item"))
+    spec = r"^\s*([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*([^;]*?)\s*(?:;|$)"
+    listed = listed.select("target", "path", F.regexp_extract("item", spec, 1).alias("name"), F.regexp_extract("item", spec, 2).alias("version"))
+    table = toml_entries(files, "pyproject.toml").where("section = 'tool.poetry.dependencies' and name <> 'python'")
+    return listed.unionByName(table.drop("section"))
+
+
+def toml_entries(files: DataFrame, name: str = "Cargo.toml") -> DataFrame:
+    """(target, path, section, name, version): quoted entries of a TOML file below their table's header."""
+    lines = _named(files, name).select("target", "path", F.posexplode(F.split("content", r"\r?\n")).alias("at", "line"))
     header = F.regexp_extract("line", r"^\[([^\[\]]+)\]\s*$", 1)
     above = Window.partitionBy("target", "path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = lines.withColumn("section", F.last(F.when(header != "", header), ignorenulls=True).over(above))

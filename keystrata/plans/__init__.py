@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import inventory  # noqa: F401
+from . import inventory, reports  # noqa: F401

@@ -40,9 +40,9 @@ def deps_requirements(spark, sf_dir):
     return manifests.requirements(fixture(spark, sf_dir, "manifests"))
 
 
-@query("SELECT target, path, regexp_extract(part, 'name = \"([^\"]+)\"', 1) AS name, regexp_extract(part, 'version = \"([^\"]+)\"', 1) AS version FROM (SELECT *, unnest(string_split(content, '[[package]]')[2:]) AS part FROM manifests WHERE path LIKE '%/Cargo.lock')", "manifests")
+@query("SELECT target, path, regexp_extract(part, 'name = \"([^\"]+)\"', 1) AS name, regexp_extract(part, 'version = \"([^\"]+)\"', 1) AS version FROM (SELECT *, unnest(string_split(content, '[[package]]')[2:]) AS part FROM manifests WHERE path SIMILAR TO '.*/(Cargo|poetry|uv)[.]lock')", "manifests")
 def deps_locks(spark, sf_dir):
-    return manifests.cargo_lock(fixture(spark, sf_dir, "manifests"))
+    return manifests.stanza_locks(fixture(spark, sf_dir, "manifests"))
 
 
 @query(

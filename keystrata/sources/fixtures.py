@@ -59,6 +59,10 @@ _MANIFESTS = (
     ("core", "Cargo.lock", 'version = 3\\n[[package]]\\nname = "ring"\\nversion = "0.17.@v"\\n\\n[[package]]\\nname = "serde"\\nversion = "1.0.@v"\\n'),
     ("core", "Cargo.toml", '[package]\\nname = "x"\\n[dependencies]\\nrustls = "0.23.@v"\\nring = "0.17"\\n[dev-dependencies]\\nserde = "1"\\n'),
     ("ops", "go.sum", "none"),
+    ("web", "package-lock.json", '@o"packages":@o"":@o"name":"web"@c,"node_modules/elliptic":@o"version":"6.5.@v"@c,"node_modules/a/node_modules/@scope/b":@o"version":"1.@v.0"@c,"packages/own":@o"version":"0.0.1"@c,"node_modules/own":@o"link":true@c@c@c'),
+    ("web", "yarn.lock", '# yarn lockfile v1\\n\\n"@scope/x@^7":\\n  version "7.@v.1"\\n\\njsonwebtoken@^9.0.0, jsonwebtoken@^9.0.1:\\n  version "9.0.@v"\\n  dependencies:\\n    jws "3"\\n'),
+    ("api", "pyproject.toml", '[project]\\nname = "x"\\ndependencies = ["rsa>=4.@v", "PyJWT[crypto]==2.@v ; extra"]\\n\\n[tool.poetry.dependencies]\\npython = "3.9"\\necdsa = "^0.1@v"\\n'),
+    ("api", "uv.lock", 'version = 1\\n\\n[[package]]\\nname = "pynacl"\\nversion = "1.5.@v"\\n'),
 )
 
 

@@ -2,6 +2,7 @@
 
 import pytest
 from compare import duck_rows, spark_rows
+from pyspark.sql import functions as F
 
 from keystrata.operators import estate, risk, source
 from keystrata.plans.queries import ORACLE_SQL, QUERIES
@@ -66,8 +67,8 @@ def test_requirements_join_lines_and_drop_options(spark):
 def test_manifests_of_no_use_give_no_rows(spark):
     from keystrata.operators import manifests
 
-    files = spark.createDataFrame([("t", f"p/{n}", c) for n in ("package.json", "Cargo.lock", "Cargo.toml", "requirements.txt") for c in (None, "", "{broken")], "target string, path string, content string")
-    assert all(read(files).isEmpty() for read in (manifests.npm, manifests.cargo_lock, manifests.toml_entries, manifests.requirements))
+    files = spark.createDataFrame([("t", f"p/{n}", c) for n in ("package.json", "Cargo.lock", "Cargo.toml", "requirements.txt", "package-lock.json", "yarn.lock", "pyproject.toml") for c in (None, "", "{broken")], "target string, path string, content string")
+    assert all(read(files).isEmpty() for read in (manifests.npm, manifests.stanza_locks, manifests.toml_entries, manifests.requirements, manifests.npm_lock, manifests.yarn_lock, manifests.pyproject))
 
 
 def test_deepest_directory_owns_a_site(spark):
@@ -76,3 +77,21 @@ def test_deepest_directory_owns_a_site(spark):
     sites = spark.createDataFrame([("t", "a/b/x.js", 1), ("t", "ab/x.js", 2), ("u", "x.js", 3)], "target string, path string, ord long")
     dirs = spark.createDataFrame([("t", ""), ("t", "a"), ("t", "a/b")], "target string, dir string")
     assert sorted((r["ord"], r["dir"]) for r in manifests.owning_dirs(sites, dirs).collect()) == [(1, "a/b"), (2, "")]
+
+
+@pytest.mark.parametrize(
+    ("label", "primitive", "level"),
+    [("X25519MLKEM768", "kem", 3), ("ml-dsa-65", "signature", 3), ("SLH-DSA-SHA2-256s", "signature", 5), ("AES-256-GCM", "ae", 5), ("aes128-cbc", "block-cipher", 1), ("RSA-?", "signature", 0), ("dsa", "signature", 0), ("sa", "unknown", None), ("JWT-ES256K", "signature", 0), ("JWT-zz", "unknown", None), (None, None, None)],
+)
+def test_described_labels(spark, label, primitive, level):
+    from keystrata.functions.vocabulary import described
+
+    row = spark.createDataFrame([(label,)], "label string").select(described(F.col("label")).alias("d")).first()["d"]
+    assert (row["primitive"], row["level"]) == (primitive, level)
+
+
+def test_markdown_rows_escape(spark):
+    from keystrata.operators import reports
+
+    rows = spark.createDataFrame([("t", 1, "low", "a_b|c", None)], "target string, ord long, severity string, rule_id string, algorithm string")
+    assert reports.markdown_rows(rows).first()["line"] == "| LOW | a\\_b\\|c |  |"
