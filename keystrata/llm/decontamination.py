@@ -9,7 +9,8 @@ document must be long enough there) and, last, equality of all the words.
 
 The windows are the stated query side. They are sent to the tasks in blocks of at most
 ``block_windows`` windows (about 100 bytes each), so what is broadcast is bounded and the
-corpus is read once for each block; hits of several blocks are merged by document.
+corpus is read once for each block; hits of several blocks are merged by row: doc_id and
+text (its MD5), nulls included, with the number of equal rows.
 
 Nulls and empty texts have no words: no hit, not contaminated. Items without words, or
 with a null text, are passed over; a null item_id too. Equal rows each give their row.
@@ -32,6 +33,8 @@ SHINGLE = 3
 BLOCK_WINDOWS = 200_000
 
 WINDOWS = "window binary, items array<string>"
+REPEATED_ROWS = 10_000
+
 FOUND = "doc_id long, n_words long, n_hit long, items array<string>, starts array<int>, stops array<int>"
 
 
@@ -117,7 +120,8 @@ def _index(windows: list[tuple[bytes, list[str]]], counts: dict[int, int], own:
     return keys, [lists[int(k)] for k in keys]
 
 
-def _join_block(docs: DataFrame, index) -> DataFrame:
+def _join_block(docs: DataFrame, index, name: str = "doc_id long") -> DataFrame:
+    """The first column of ``docs``, of name and type ``name``, with what its text, the second, holds of the windows."""
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def join(batches):
@@ -144,9 +148,9 @@ def _join_block(docs: DataFrame, index) -> DataFrame:
                     rows.append((int(at[i + 1] - at[i]), sum(e - s for s, e in spans), sorted(items.get(i, ())), [s for s, _ in spans], [e for _, e in spans]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "starts", "stops"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [name.split()[0], "n_words", "n_hit", "items", "starts", "stops"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(join, FOUND)
+    return docs.mapInArrow(join, FOUND.replace("doc_id long", name))
 
 
 def _united(spans) -> list[tuple[int, int]]:
@@ -162,9 +166,9 @@ def _united(spans) -> list[tuple[int, int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each document: words, hit words, items and the hit word ranges.
 
-    Documents with equal doc_id keep a row each while the windows fit one block; with more
-    blocks rows are merged by (doc_id, text hash).
+    Every row of ``docs`` gives its row, whatever the number of blocks.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     windows = item_windows(benchmark, size)
     n = windows.count()
     found = None
@@ -177,8 +181,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
         index = _index(block, shingle_counts(docs, wanted) if block else {}, own)
         if parts == 1:
             return _join_block(docs, index)
-        keyed = docs.select(F.struct("doc_id", F.xxhash64("text")).alias("key"), "doc_id", "text")
-        one = _join_block(keyed, index)
+        keyed = docs.select(F.struct("doc_id", F.unhex(F.md5("text")).alias("hash")).alias("key"), "text")
+        one = _join_block(keyed, index, "key struct<doc_id:bigint,hash:binary>").groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_words", "items", "starts", "stops")))
         found = one if found is None else found.unionByName(one)
 
     def merge(batches):
@@ -190,10 +194,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW,
                 rows.append((sum(e - s for s, e in spans), sorted({x for y in items for x in y}), [s for s, _ in spans], [e for _, e in spans]))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "starts", "stops"])
+            merged = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "starts", "stops"])
+            ends = np.cumsum(batch.column("copies").to_numpy(zero_copy_only=False))
+            for a in range(0, int(ends[-1]) if len(ends) else 0, REPEATED_ROWS):
+                yield merged.take(pa.array(np.searchsorted(ends, np.arange(a, min(a + REPEATED_ROWS, ends[-1])), "right")))
 
-    grouped = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("items", "starts", "stops")))
-    return grouped.mapInArrow(merge, FOUND)
+    grouped = found.groupBy("key").agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("items", "starts", "stops")))
+    return grouped.select(F.col("key.doc_id").alias("doc_id"), "copies", "n_words", "items", "starts", "stops").mapInArrow(merge, FOUND)
 
 
 def digest(found: DataFrame) -> DataFrame:

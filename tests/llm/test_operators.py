@@ -56,6 +56,16 @@ def test_decontamination_equals_brute_force(spark, docs, empty, block):
     assert not any(r[-1] for r in got(decontamination.digest(decontamination.contamination(docs, bench.limit(0)))))
 
 
+@pytest.mark.parametrize("block", [200_000, 5])
+def test_decontamination_keeps_every_row(spark, block):
+    a, b = words(60, 1), words(60, 2)
+    rows = [(None, a), (None, b), (None, b), (None, None), (None, ""), (1, a), (1, a), (1, a), (1, b), (1, words(500, 3)), (2, None), (2, None), (3, words(9, 4))]
+    items = [("a", " ".join(a.split()[3:40])), ("b", " ".join(b.split()[20:50]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontamination.contamination(df, spark.createDataFrame(items, "item_id string, text string"), block_windows=block)
+    assert got(decontamination.digest(found)) == sorted(decontamination.brute_force(rows, items), key=repr)
+
+
 def test_language_on_held_out_rows(spark, empty):
     known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     rows = queries.op2_language_id(spark, SF).join(known, "doc_id").where("held_out")
