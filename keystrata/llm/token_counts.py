@@ -3,7 +3,8 @@
 Texts are split at safe boundaries: ASCII white space, and before a full stop or comma
 that ends such a piece after a small letter. The word-level vocabularies drop white space,
 never merge across either boundary and fold case, so the tokens of a text are the tokens of
-its pieces, whatever its length. A worker keeps the counts of pieces it has met (up to
+its pieces, whatever its length. Case is folded before the library does only where its
+normaliser, which composes first, gives the same. A worker keeps the counts of pieces it has met (up to
 ``CACHE_PIECES``, then it starts anew, which changes no result) and hands the new ones to
 the library in batches of about equal bytes. The tokenizer's own rules hold within a
 piece: its normaliser, its special strings, its splits.
@@ -15,6 +16,7 @@ Null and empty texts have no bytes and no tokens; equal rows each give their row
 from __future__ import annotations
 
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 BATCH_BYTES = 1 << 20
 CACHE_PIECES = 600_000
+#: A capital that a mark may follow (U+0300 or above): the library composes the two before it folds case.
+MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 
 
 def load(path: str):
@@ -65,7 +69,11 @@ class Pieces:
     def split(self, text: bytes) -> list[bytes]:
         if self.whole:
             return [text]
-        return (text if b"<|" in text else text.lower()).split()
+        if b"<|" in text:
+            return text.split()
+        if text.isascii() or not MARKED.search(text):
+            return text.lower().split()
+        return [p.lower() if p.isascii() else p for p in text.split()]
 
     def _learn(self, new: list[bytes]) -> None:
         for batch in byte_batches(new):

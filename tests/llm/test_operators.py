@@ -112,6 +112,19 @@ def test_token_counts_equal_the_library(spark, empty):
     assert got(token_counts.token_counts(empty)) == []
 
 
+MARKED = ["J\u030cx", "aJ\u030cx b", "H\u0331a", "T\u0308", "W\u030a w", "J\u030cx J\u030cx. <|", "A\u030aB \u00c9T\u0308. UP", "J\u0323\u030c", "K\u00f6ln J\u030c X"]
+
+
+def test_marked_capitals_equal_the_library(spark):
+    import zlib
+
+    library = token_counts.load(token_counts.default_path())
+    ids = [library.encode(t, add_special_tokens=False).ids for t in MARKED]
+    df = spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string")
+    assert got(token_counts.token_counts(df), "doc_id", "n_tokens") == [(i, len(x)) for i, x in enumerate(ids)]
+    assert got(packing.pack(df), "doc_id", "length", "ids_crc32") == [(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)]
+
+
 def test_fingerprints(spark, docs, empty):
     rows = [r for r in corpus() if r[0] is not None and r[0] != 2]
     rows.sort(key=lambda r: -r[0])
