@@ -208,7 +208,8 @@ def _search(groups: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame
         held, own = [], None
 
         def done():
-            found = solve(own, held) if len(held) > 1 else []
+            alone = own[1] != own[2] and len({block for _, _, block in held}) == 1  # the other block is empty; (i, i) finds these pairs
+            found = solve(own, held) if len(held) > 1 and not alone else []
             columns = list(zip(*found, strict=True)) if found else [[]] * (4 if all_pairs else 3)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "overlap", "joined"] if all_pairs else ["sid", "root", "links"])
 
@@ -258,7 +259,8 @@ class Join:
             reps = np.array([r for r in columns[1] if r is not None], np.int64)
             sent, docs = spark.sparkContext.broadcast((np.unique(reps), [np.array(columns[i], np.int64) for i in (0, 2, 3, 4, 5)])), self.docs
         else:
-            sent, docs = None, self.docs.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+            reps = placed.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+            sent, docs = None, self.docs.join(reps, "doc_id", "left_semi").unionByName(self.docs.where("doc_id is null"))
 
         def scan(batches):
             for batch in batches:

@@ -104,6 +104,28 @@ def test_ngram_links_lose_none(spark):
     assert got(found, "a", "b") == want
 
 
+@pytest.mark.parametrize(("few", "tokens"), [(ngram_join.BROADCAST_IDS, ngram_join.GROUP_TOKENS), (ngram_join.BROADCAST_IDS, 9), (0, ngram_join.GROUP_TOKENS), (0, 9)])
+def test_ngram_links_through_rows_without_id(spark, monkeypatch, few, tokens):
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", few)
+    a, edits = words(100, 1).split(), {}
+    for name, at in (("a", ()), ("b", (0, 1, 2)), ("c", (0, 1, 2, 97, 98, 99)), ("d", (50,))):
+        edits[name] = " ".join(f"edit{i}" if i in at else w for i, w in enumerate(a))
+    # a ~ b and b ~ c hold and a ~ c does not; b stands in rows without doc_id only
+    rows = [(1, edits["a"]), (None, edits["b"]), (None, edits["b"]), (3, edits["c"]), (3, words(90, 7)), (4, words(50, 9)), (5, None), (None, words(50, 8)), (6, words(50, 8)), (7, edits["a"] + " more")]
+    sets = [(d, frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))) for d, t in rows for w in [(t or "").split()]]
+    linked = lambda x, y: x and y and x != y and 100 * len(x & y) >= 94 * len(x | y)
+    assert linked(sets[0][1], sets[1][1]) and linked(sets[1][1], sets[3][1]) and not linked(sets[0][1], sets[3][1])
+    classes = {s for _, s in sets}
+    part = lambda d: 1 if d in (1, 3, 7) else d
+    want = sorted(((d, len(s), sum(bool(linked(s, u)) for u in classes)) for d, s in sets), key=repr)
+    join = ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 94, 100, tokens)
+    found = join.documents()
+    assert got(found, "doc_id", "n_shingles", "n_links") == want
+    assert {(r["doc_id"], r["component_id"]) for r in found.where("doc_id is not null and n_links > 0").collect()} == {(d, part(d)) for d, n, k in want if d is not None and k}
+    pairs = [tuple(r) for r in join.links().select("a", "b", "overlap", "joined").collect()]
+    assert len(pairs) == len({frozenset((s, u)) for s in classes for u in classes if linked(s, u)})
+
+
 def test_token_counts_equal_the_library(spark, empty):
     texts = [None, "", " ", "It's <|endoftext|> fine, ok.", "Ünïcode Straße\u00a0x\x1cy\x0bz", "UPPER <|ENDOFTEXT|> x", "a," * 50, "e\u0301 a \u0301", "x. y.. ,z. 12,5.", "word" * 3000, words(500, 9)]
     library = token_counts.load(token_counts.default_path())
