@@ -75,6 +75,7 @@ MANIFEST_FILES = (
 ).split()
 
 # Registry of libraries: (ecosystem, name, severity, pq status, fixed in). Users extend it as a table.
+# A severity that the reference's tree does not tell is null.
 REGISTRY = (
     ("npm", "jsonwebtoken", "high", "vulnerable", None),
     ("npm", "node-forge", "medium", "vulnerable", None),
@@ -86,6 +87,23 @@ REGISTRY = (
     ("crates", "ring", "medium", "vulnerable", None),
     ("crates", "rustls", "medium", "vulnerable", "0.23.22"),
     ("crates", "ed25519-dalek", "medium", "vulnerable", None),
+    ("npm", "tweetnacl", None, "vulnerable", None),
+    ("npm", "openpgp", None, "vulnerable", None),
+    ("npm", "node-rsa", None, "vulnerable", None),
+    ("npm", "jsrsasign", None, "vulnerable", None),
+    ("pypi", "python-jose", None, "vulnerable", None),
+    ("pypi", "ecdsa", None, "vulnerable", None),
+    ("pypi", "pycryptodome", None, "unknown", None),
+    ("pypi", "pynacl", None, "vulnerable", None),
+    ("pypi", "paramiko", None, "vulnerable", None),
+    ("pypi", "pyopenssl", None, "unknown", None),
+    ("pypi", "liboqs-python", None, "transitional", None),
+    ("crates", "rsa", None, "vulnerable", None),
+    ("crates", "x25519-dalek", None, "vulnerable", None),
+    ("crates", "p256", None, "vulnerable", None),
+    ("crates", "openssl", None, "unknown", None),
+    ("crates", "oqs", None, "unknown", None),
+    ("crates", "pqcrypto", None, "unknown", None),
 )
 
 

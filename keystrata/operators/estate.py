@@ -19,17 +19,40 @@ def canonical_name(ecosystem: Column, name: Column) -> Column:
     return F.when(ecosystem == "pypi", F.lower(F.regexp_replace(name, "[-_.]+", "-"))).when(ecosystem == "crates", F.lower(F.translate(name, "_", "-"))).otherwise(name)
 
 
+# One comparison of a range: operator, number, wildcards, and a suffix (of a pre-release or build) that is passed over.
+_TERM = r"(?:(===|~=|==|!=|>=|<=|\^|~|=|>|<)\s{0,8})?[vV]?(?:([0-9]+(?:\.[0-9]+)*)((?:\.[xX*])+)?(?:(?:[-+]|\.?(?=[A-Za-z]))[0-9A-Za-z.+-]*)?|[xX*])"
+_BRANCH = rf"^\s*{_TERM}(?:(?:[\s,]+|(?=[<>=!~^])){_TERM})*\s*$"
+_HYPHEN = r"^\s*[vV]?([0-9]\S*)\s+-\s+[vV]?([0-9]\S*)\s*$"
+_TOP = 2_000_000_000
+
+
+def _interval(term: Column) -> Column:
+    """[lo, hi) of one comparison, as arrays of four whole numbers."""
+    op, number, wild = (F.regexp_extract(term, _TERM, i) for i in (1, 2, 3))
+    parts = F.transform(F.split(number, r"\."), lambda p: F.least(F.coalesce(p.try_cast("int"), F.lit(_TOP)), F.lit(_TOP)))
+    n = F.least(F.size(parts), F.lit(4))
+    v = F.slice(F.concat(parts, F.array_repeat(F.lit(0), 4)), 1, 4)
+    full = (n >= 3) & (wild == "")
+    least, most = (F.array(*[F.lit(x)] * 4) for x in (0, _TOP + 1))
+
+    def bumped(k):
+        return F.transform(v, lambda x, i: F.when(i < k, x).when(i == k, x + 1).otherwise(F.lit(0)))
+
+    after = F.when(full, bumped(F.lit(3))).otherwise(bumped(n - 1))
+    caret = F.when((F.get(v, F.lit(0)) > 0) | (n == 1), bumped(F.lit(0))).when((F.get(v, F.lit(1)) > 0) | (n == 2), bumped(F.lit(1))).otherwise(bumped(F.lit(2)))
+    lo = F.when((number == "") | op.isin("<", "<=", "!="), least).when(op == ">", bumped(F.lit(3))).otherwise(v)
+    hi = F.when((number == "") | op.isin(">", ">=", "!="), most).when(op == "<", v).when(op == "^", caret)
+    hi = hi.when(op == "~", F.when(n == 1, bumped(F.lit(0))).otherwise(bumped(F.lit(1)))).when(op == "~=", bumped(F.greatest(n - 2, F.lit(0))))
+    return F.struct(lo.alias("lo"), hi.otherwise(after).alias("hi"))
+
+
 def judged_range(spec: Column, fixed: Column) -> Column:
-    """Where a single-operator version range stands against the fixed version."""
-    v = version_parts(spec)
-    major, minor, patch = (F.get(v, F.lit(i)) for i in range(3))
-    zero = F.lit(0)
-    caret = F.when(major > 0, F.array(major + 1, zero, zero, zero)).when(minor > 0, F.array(zero, minor + 1, zero, zero)).otherwise(F.array(zero, zero, patch + 1, zero))
-    top = F.when(F.startswith(spec, F.lit("^")), caret).when(F.startswith(spec, F.lit("~")), F.array(major, minor + 1, zero, zero)).when(F.startswith(spec, F.lit("<")), v)
-    exact = F.rlike(spec, F.lit(r"^\d"))
-    low = F.when(F.startswith(spec, F.lit("<")), F.array(zero, zero, zero, zero)).otherwise(v)
-    below = F.when(exact, v < fixed).otherwise(F.coalesce(top <= fixed, F.lit(False)))
-    return F.when(v.isNull() | fixed.isNull(), None).when(below, "below").when(low >= fixed, "at-or-above").otherwise("either")
+    """Where a version range stands against the fixed version; null for what is no range."""
+    branches = F.transform(F.split(spec, r"\|\|"), lambda b: F.regexp_replace(b, _HYPHEN, ">=$1 <=$2"))
+    terms = F.transform(branches, lambda b: F.transform(F.regexp_extract_all(b, F.lit(_TERM), F.lit(0)), _interval))
+    ends = F.transform(terms, lambda own: F.struct(F.array_max(F.transform(own, lambda t: t["lo"])).alias("lo"), F.array_min(F.transform(own, lambda t: t["hi"])).alias("hi")))
+    verdict = F.when(F.forall(ends, lambda e: e["hi"] <= fixed), "below").when(F.forall(ends, lambda e: e["lo"] >= fixed), "at-or-above").otherwise("either")
+    return F.when(spec.isNotNull() & fixed.isNotNull() & F.forall(branches, lambda b: F.rlike(b, F.lit(_BRANCH))), verdict)
 
 
 def registry(spark: SparkSession) -> DataFrame:

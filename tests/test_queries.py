@@ -33,6 +33,30 @@ def test_judged_range(spark, spec, fixed, verdict):
     assert row["v"] == verdict
 
 
+RANGES = [
+    ("0.23.22", "below", "0.21.0; =0.23.5; ^0.21; >=0.21, <0.23.22; 0.20 - 0.22; 0.23.0-rc.1; 0.20.1 || ^0.22"),
+    ("0.23.22", "either", "^0.23.5; ~0.23.1; 0.23; 0.23.x; >=0.21, <=0.23.22; >=0.21; *; 0.21.0 || 0.23.30"),
+    ("0.23.22", "at-or-above", "0.23.27; ^0.23.22; >= 0.24; 0.23.22 || 0.24.x"),
+    ("48.0.0", "either", ">=41; !=47.0.1,>=46; 99999999999999999999 || 1.0.0"),
+    ("48.0.0", "below", "~=41.0; ==41.*; ==47.0.0; >=1,<2; ==41.0.0"),
+    ("48.0.0", "at-or-above", ">=48,<50; 99999999999999999999"),
+    ("0.23.22", None, "latest; git+https://example.com/x.git; workspace:^; file:../x"),
+]
+
+
+def test_judged_range_on_the_reference_table(spark):
+    rows = [(s, f, v) for f, v, specs in RANGES for s in specs.split("; ")] + [("", "1.0.0", None), (None, "1.0.0", None), ("1.0.0", None, None)]
+    df = spark.createDataFrame(rows, "spec string, fixed string, want string").withColumn("got", estate.judged_range(F.col("spec"), estate.version_parts(F.col("fixed"))))
+    assert [tuple(r) for r in df.where("not got <=> want").collect()] == []
+
+
+def test_registry_knows_the_recoverable_libraries(spark):
+    rows = [("pypi", "Python_Jose"), ("pypi", "ecdsa"), ("pypi", "PyNaCl"), ("pypi", "pyOpenSSL"), ("npm", "tweetnacl"), ("crates", "p256"), ("crates", "x25519_dalek"), ("npm", "left-pad")]
+    df = spark.createDataFrame([("t", "m", e, n, "1.0.0") for e, n in rows], "target string, manifest string, ecosystem string, name string, version string")
+    want = ["deps/crates-p256", "deps/crates-x25519-dalek", "deps/npm-tweetnacl", "deps/pypi-ecdsa", "deps/pypi-pynacl", "deps/pypi-pyopenssl", "deps/pypi-python-jose"]
+    assert sorted(r["rule_id"] for r in estate.match_deps(df).collect()) == want
+
+
 def test_mosca_inequality_over_the_grid(spark):
     from pyspark.sql import functions as F
 
