@@ -111,12 +111,13 @@ def _hits(m: Matcher) -> Column:
 
 
 def match(files: DataFrame, languages: tuple[str, ...], matchers=MATCHERS) -> DataFrame:
-    """(target, path, rule, algorithm, at, line): every match; other text files get the JavaScript matchers."""
+    """(target, path, rule, algorithm, at, line): every match; "other" text files, if asked for, get the JavaScript matchers."""
     rows = kept(files).withColumn("language", language(F.col("path"))).where(F.col("language").isin(*languages))
     found = []
     for m in matchers:
-        if m.language in languages:
-            gate = F.col("language") == m.language
+        read = (m.language, "other") if m.language == "javascript" else (m.language,)
+        if set(read) & set(languages):
+            gate = F.col("language").isin(*read)
             if m.gate:
                 gate &= F.col("content").rlike(m.gate)
             found.append(F.when(gate & F.col("content").rlike(m.pattern), _hits(m)).otherwise(F.expr(_NO_HITS)))

@@ -80,6 +80,14 @@ def test_matches_have_offsets_and_lines(spark):
     assert [(r[1], r[3], r[4], r[5]) for r in rows] == [("src/a.py", "md5", text.index("hashlib.md5"), 3), ("src/a.py", "sha1", text.index("hashlib.sha1"), 4)]
 
 
+def test_other_text_files_get_the_javascript_matchers(spark):
+    text = "see createCipheriv('rc4', k)"
+    files = spark.createDataFrame([("t", "README.md", text), ("t", "a.js", text), ("t", "a.py", text), ("t", "vendor/b.md", text)], "target string, path string, content string")
+    assert sorted((r[1], r[3], r[4]) for r in source.match(files, ("javascript", "other")).collect()) == [("README.md", "rc4", 4), ("a.js", "rc4", 4)]
+    assert [r[1] for r in source.match(files, ("other",)).collect()] == ["README.md"]
+    assert [r[1] for r in source.match(files, ("javascript", "python")).collect()] == ["a.js"]
+
+
 def test_requirements_join_lines_and_drop_options(spark):
     from keystrata.operators import manifests
 
