@@ -1,7 +1,8 @@
 """Vectorised views of Arrow text columns: bytes, words, word hashes and shingle hashes.
 
 A batch is walked in blocks of a few MB, so that the numpy arrays beside a block stay
-small whatever the batch holds; one text is never divided between blocks.
+small whatever the batch holds. One text is never divided between blocks; what takes many
+bytes for each byte of text is worked out piece by piece within it.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -56,19 +58,19 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of rows [a, b) of at most ``limit`` bytes, or a single longer row."""
+def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``rows`` rows [a, b) and ``limit`` bytes, or a single longer row."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1)
+        b = min(a + rows, max(a + 1, int(np.searchsorted(offsets, offsets[a] + limit, "right")) - 1))
         yield a, b
         a = b
 
 
-def texts(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def texts(column: pa.Array | pa.ChunkedArray, limit: int = BLOCK_BYTES, rows: int = 1 << 62) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of each block of a text column."""
     data, offsets = flat(column)
-    for a, b in blocks(offsets, limit):
+    for a, b in blocks(offsets, limit, rows):
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -89,11 +91,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
+def span_groups(starts: np.ndarray, stops: np.ndarray, limit: int, most: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of at most ``most`` ordered, disjoint spans that reach over ``limit`` bytes, or a single longer span."""
+    i, n = 0, len(starts)
+    while i < n:
+        j = min(i + most, max(i + 1, int(np.searchsorted(stops, starts[i] + limit, "right"))))
+        yield i, j
+        i = j
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_TABLE[data] * _power("up", len(data) + 1)[: len(data)], out=sums[1:])
-    h = (sums[stops] - sums[starts]) * _power("down", len(data) + 1)[starts]
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each of the ordered, disjoint spans; equal for equal bytes wherever they stand."""
+    h = np.zeros(len(starts), np.uint64)
+    for i, j in span_groups(starts, stops, PIECE_BYTES):
+        a, b = int(starts[i]), int(stops[j - 1])
+        if b - a > PIECE_BYTES:  # one long span: the sum of its pieces, each at its distance
+            whole = sum(int(_sums(data[p : min(b, p + PIECE_BYTES)])[-1]) * pow(_BASE, p - a, 1 << 64) for p in range(a, b, PIECE_BYTES))
+            h[i] = whole & _MASK
+        else:
+            sums = _sums(data[a:b])
+            h[i:j] = (sums[stops[i:j] - a] - sums[starts[i:j] - a]) * _power("down", b - a + 1)[starts[i:j] - a]
     return mix(h + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

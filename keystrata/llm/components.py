@@ -2,50 +2,30 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-EDGES = "a long, b long"
 
+def _star(rows: DataFrame, large: bool) -> DataFrame:
+    """One star step over (u, v): ties u's neighbours, the larger ones or all of them, to the least of u and its neighbours.
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step. Rows (u, v) come sorted, so a node's least neighbour is the first it has."""
+    The least neighbour is a minimum, combined before the shuffle, and comes to the edges by
+    a join whose partitions Spark splits where a node has very many edges; no task has to
+    see all neighbours of a node.
+    """
+    least = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m") if large else F.min("v").alias("m"))
+    met = rows.join(least, "u")
+    if large:
+        return met.where("v > u").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).where("a < b")
+    return met.where("v <> m").select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
-    def step(batches):
-        u0 = v0 = m0 = None
-        for batch in batches:
-            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if not len(u):
-                continue
-            new = np.ones(len(u), bool)
-            new[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1])
-            new[0] = u0 is None or u[0] != u0 or v[0] != v0
-            first = np.ones(len(u), bool)
-            first[1:] = u[1:] != u[:-1]
-            least = np.minimum(u, v) if large else v
-            m = least[np.maximum.accumulate(np.where(first, np.arange(len(u)), 0))]
-            if u0 is not None and u[0] == u0:
-                m[: int(np.argmin(u == u0)) if (u != u0).any() else len(u)] = m0
-                first[0] = False
-            u0, v0, m0 = u[-1], v[-1], m[-1]
-            if large:
-                keep = new & (v > u)
-                a, b = m[keep], v[keep]
-            else:
-                keep = new & (v != m)
-                a, b = np.concatenate([m[keep], m[first]]), np.concatenate([v[keep], u[first]])
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(lo[lo < hi]), pa.array(hi[lo < hi])], ["a", "b"])
 
-    if large:
-        rows = edges.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.u", "e.v")
-    else:
-        rows = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    return rows.repartition("u").sortWithinPartitions("u", "v").mapInArrow(step, EDGES)
+def _stars(edges: DataFrame) -> DataFrame:
+    both = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")
+    once = _star(edges.select(both).select("e.u", "e.v"), True)
+    return _star(once.select(F.col("b").alias("u"), F.col("a").alias("v")), False).distinct()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
@@ -57,7 +37,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     before, r = None, 0
     while True:
-        e = scratch.save(_stars(_stars(e, True), False), f"{name}-{r}")
+        e = scratch.save(_stars(e), f"{name}-{r}")
         seen = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first())
         if r:
             scratch.drop(f"{name}-{r - 1}")

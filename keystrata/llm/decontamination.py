@@ -7,13 +7,17 @@ are joined with windows on it. A candidate then has to pass the positional bound
 shingle's place in the window fixes where the window would start), the length bound (the
 document must be long enough there) and, last, equality of all the words.
 
-The windows are the stated query side. They are sent to the tasks in blocks of at most
-``block_windows`` windows (about 100 bytes each), so what is broadcast is bounded and the
-corpus is read once for each block; hits of several blocks are merged by row: doc_id and
-text (its MD5), nulls included, with the number of equal rows.
-
-Nulls and empty texts have no words: no hit, not contaminated. Items without words, or
-with a null text, are passed over; a null item_id too. Equal rows each give their row.
+The corpus is read twice, however many windows there are. The first pass counts shingles
+in a sketch of fixed size, merged over all tasks; it only decides which shingle of a window
+is joined on, so its errors cost time, never results. The second pass sends on the places
+of shingles that may be a prefix (a Bloom filter of all prefixes, 16 bits each and at most
+2^30), each with the words about it, to the join with the windows; Spark broadcasts the
+windows if their table is small, and deals a common shingle out over SALTS tasks if not.
+
+A row of ``docs`` is known by its doc_id and text (128 bits); every row gives its row,
+also equal ones, those without doc_id and those that share one. Nulls and empty texts have
+no words: no hit, not contaminated. Items without words, or with a null text, are passed
+over; a null item_id too.
 """
 
 from __future__ import annotations
@@ -27,15 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .rows import bounded, free_name, key
+from .scratch import Scratch
+from .sketch import bloom_filter, bloom_has, bloom_sized, merged, sent_sketch
 
 WINDOW = 13
 SHINGLE = 3
-BLOCK_WINDOWS = 200_000
-
-WINDOWS = "window binary, items array<string>"
-REPEATED_ROWS = 10_000
-
-FOUND = "doc_id long, n_words long, n_hit long, items array<string>, starts array<int>, stops array<int>"
+SALTS = 16
 
 
 def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -60,97 +62,88 @@ def item_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.mapInArrow(windows, "window binary, item string").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _shingles(window: bytes) -> np.ndarray:
-    data = np.frombuffer(window, np.uint8)
-    starts, stops, _ = B.word_spans(data, np.array([0, len(data)]), B.ALNUM)
-    h = B.span_hashes(data, starts, stops)
-    return B.chained(h, min(SHINGLE, len(h)))
-
-
-def _grams(h: np.ndarray, row: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(k, shingles) of a block for each shingle length; shingles over two rows are 0."""
-    out = []
-    for k in range(1, SHINGLE + 1):
+def _grams(h: np.ndarray, row: np.ndarray, lengths=range(1, SHINGLE + 1)):
+    """(k, shingles of k words, whether each lies in one row) of a block."""
+    for k in lengths:
         g = B.chained(h, k)
-        if k > 1 and len(g):
-            g = np.where(row[: len(g)] == row[k - 1 :], g, np.uint64(0))
-        out.append((k, g))
-    return out
-
-
-def _looked_up(g: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where wanted values stand in g, and which they are."""
-    if not len(wanted) or not len(g):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = np.zeros(1 << 16, bool)
-    bits[(wanted >> np.uint64(48)).astype(np.int64)] = True
-    at = np.flatnonzero(bits[(g >> np.uint64(48)).astype(np.int64)])
-    k = np.searchsorted(wanted, g[at])
-    same = wanted[np.minimum(k, len(wanted) - 1)] == g[at]
-    return at[same], k[same]
+        yield k, g, row[: len(g)] == row[k - 1 :] if len(g) else np.zeros(0, bool)
 
 
-def shingle_counts(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """How often each wanted shingle stands in the corpus; as many rows as wanted shingles at most."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def corpus_sketch(docs: DataFrame) -> np.ndarray:
+    """Counters of the corpus's shingles of one to SHINGLE words."""
 
-    def count(batches):
-        found = np.zeros(len(sent.value), np.int64)
+    def grams(batches):
         for batch in batches:
             for _, _, data, offsets in B.texts(batch.column(0)):
                 data = B.LOWER[data]
                 starts, stops, row = B.word_spans(data, offsets, B.ALNUM)
-                for _, g in _grams(B.span_hashes(data, starts, stops), row):
-                    found += np.bincount(_looked_up(g, sent.value)[1], minlength=len(found))
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([B.as_long(sent.value[at]), pa.array(found[at])], ["shingle", "n"])
+                for _, g, own in _grams(B.span_hashes(data, starts, stops), row):
+                    yield g[own]
 
-    counted = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    return {r["shingle"] & (2**64 - 1): r["n"] for r in counted.collect()}
+    return merged(docs.select("text").mapInArrow(lambda batches: sent_sketch(grams(batches)), "part int, counts binary"))
 
 
-def _index(windows: list[tuple[bytes, list[str]]], counts: dict[int, int], own: dict[bytes, np.ndarray]):
-    """Sorted prefix shingles, and for each the windows that it leads to with its place in them."""
-    lists = defaultdict(list)
-    for window, items in windows:
-        s = own[window].tolist()
-        at = min(range(len(s)), key=lambda j: (counts.get(s[j], 0), s[j], j))
-        lists[s[at]].append((at, window.count(b" ") + 1, window, items))
-    keys = np.array(sorted(lists), np.uint64)
-    return keys, [lists[int(k)] for k in keys]
+def prefixes(windows: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(shingle, place, n, window, items): each window by its rarest shingle, the place of that in it and its words."""
+    sent = windows.sparkSession.sparkContext.broadcast(counts)
 
+    def pick(batches):
+        for batch in batches:
+            shingle, place, n = [], [], []
+            for window in batch.column(0).to_pylist():
+                data = np.frombuffer(window, np.uint8)
+                starts, stops, _ = B.word_spans(data, np.array([0, len(data)]), B.ALNUM)
+                h = B.span_hashes(data, starts, stops)
+                g = B.chained(h, min(SHINGLE, len(h)))
+                j = int(np.lexsort((g, sent.value[(g % np.uint64(len(sent.value))).astype(np.int64)]))[0])
+                shingle.append(g[j])
+                place.append(j)
+                n.append(len(h))
+            yield pa.RecordBatch.from_arrays([B.as_long(np.array(shingle, np.uint64)), pa.array(place, pa.int32()), pa.array(n, pa.int32()), batch.column(0), batch.column(1)], ["shingle", "place", "n", "window", "items"])
+
+    return windows.select("window", "items").mapInArrow(pick, "shingle long, place int, n int, window binary, items array<string>")
+
+
+def places(docs: DataFrame, bloom: np.ndarray, size: int = WINDOW) -> DataFrame:
+    """A row for each document (row, doc_id, n_words) and a row for each place where a shingle may be a prefix.
+
+    A place has the shingle, its word's number ``at``, and ``near``: the words from ``size`` - 1
+    before it on to as many behind, joined by spaces; ``before`` tells how many stand before it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(bloom)
+    names = ["row", "doc_id", "n_words", "shingle", "at", "before", "near"]
 
-def _join_block(docs: DataFrame, index, name: str = "doc_id long") -> DataFrame:
-    """The first column of ``docs``, of name and type ``name``, with what its text, the second, holds of the windows."""
-    sent = docs.sparkSession.sparkContext.broadcast(index)
-
-    def join(batches):
-        keys, lists = sent.value
+    def scan(batches):
         for batch in batches:
-            rows = []
-            for a, b, data, offsets in B.texts(batch.column(1)):
+            for a, b, data, offsets in B.texts(batch.column(2)):
                 data = B.LOWER[data]
                 starts, stops, row = B.word_spans(data, offsets, B.ALNUM)
-                at = np.searchsorted(row, np.arange(b - a + 1))
-                hits, items = defaultdict(set), defaultdict(set)
-                for k, g in _grams(B.span_hashes(data, starts, stops), row):
-                    for p, key in zip(*_looked_up(g, keys), strict=True):
-                        i = row[p]
-                        for offset, n, window, names in lists[key]:
-                            s = p - offset
-                            if min(SHINGLE, n) != k or s < at[i] or s + n > at[i + 1]:  # positional and length bounds
-                                continue
-                            if b" ".join(data[starts[j] : stops[j]].tobytes() for j in range(s, s + n)) == window:
-                                hits[i].add((int(s - at[i]), int(s - at[i] + n)))
-                                items[i].update(names)
-                for i in range(b - a):
-                    spans = _united(hits.get(i, ()))
-                    rows.append((int(at[i + 1] - at[i]), sum(e - s for s, e in spans), sorted(items.get(i, ())), [s for s, _ in spans], [e for _, e in spans]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], [name.split()[0], "n_words", "n_hit", "items", "starts", "stops"])
-
-    return docs.mapInArrow(join, FOUND.replace("doc_id long", name))
+                first = np.searchsorted(row, np.arange(b - a + 1))
+                none = pa.nulls(b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(first)), *(none.cast(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names)
+                keys = batch.column(0).slice(a, b - a)
+                for _, g, own in _grams(B.span_hashes(data, starts, stops), row):
+                    p = np.flatnonzero(bloom_has(sent.value, g) & own)
+                    for q in (p[i : i + 50_000] for i in range(0, len(p), 50_000)):
+                        lo, hi = np.maximum(q - size + 1, first[row[q]]), np.minimum(q + size, first[row[q] + 1])
+                        near = [b" ".join(data[s:e].tobytes() for s, e in zip(starts[i:j], stops[i:j], strict=True)) for i, j in zip(lo, hi, strict=True)]
+                        none = pa.nulls(len(q), pa.int64())
+                        yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[q])), none, none, B.as_long(g[q]), pa.array((q - first[row[q]]).astype(np.int32)), pa.array((q - lo).astype(np.int32)), pa.array(near, pa.binary())], names)
+
+    kinds = "row binary, doc_id long, n_words long, shingle long, at int, before int, near binary"
+    return docs.select(key().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, kinds)
+
+
+def hits(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(row, start, stop, items): the verified occurrences of windows; a common shingle is dealt out by row."""
+    salt = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
+    each = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = found.withColumn("salt", salt).join(each, ["shingle", "salt"])
+    start = F.col("before") - F.col("place")
+    own = F.slice(F.split(F.col("near").cast("string"), " "), F.greatest(start, F.lit(0)) + 1, F.col("n"))
+    same = F.array_join(own, " ").cast("binary") == F.col("window")
+    at = F.col("at") - F.col("place")
+    return met.where((start >= 0) & same).select("row", at.alias("start"), (at + F.col("n")).alias("stop"), "items")
 
 
 def _united(spans) -> list[tuple[int, int]]:
@@ -163,44 +156,47 @@ def _united(spans) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """One row for each document: words, hit words, items and the hit word ranges.
+def by_document(occurrences: DataFrame) -> DataFrame:
+    """(row, n_hit, items, starts, stops) of each document with hits; its lists are no longer than its text."""
 
-    Every row of ``docs`` gives its row, whatever the number of blocks.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    windows = item_windows(benchmark, size)
-    n = windows.count()
-    found = None
-    parts = max(1, -(-n // block_windows))
-    windows = windows.withColumn("part", F.pmod(F.xxhash64("window"), F.lit(parts)))
-    for part in range(parts):
-        block = [(bytes(r["window"]), r["items"]) for r in windows.where(F.col("part") == part).select("window", "items").collect()]
-        own = {w: _shingles(w) for w, _ in block}
-        wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *own.values()]))
-        index = _index(block, shingle_counts(docs, wanted) if block else {}, own)
-        if parts == 1:
-            return _join_block(docs, index)
-        keyed = docs.select(F.struct("doc_id", F.unhex(F.md5("text")).alias("hash")).alias("key"), "text")
-        one = _join_block(keyed, index, "key struct<doc_id:bigint,hash:binary>").groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_words", "items", "starts", "stops")))
-        found = one if found is None else found.unionByName(one)
-
-    def merge(batches):
+    def unite(batches):
         for batch in batches:
             d = batch.to_pydict()
-            rows = []
-            for starts, stops, items in zip(d["starts"], d["stops"], d["items"], strict=True):
-                spans = _united({x for s, e in zip(starts, stops, strict=True) for x in zip(s, e, strict=True)})
-                rows.append((sum(e - s for s, e in spans), sorted({x for y in items for x in y}), [s for s, _ in spans], [e for _, e in spans]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-            merged = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["doc_id", "n_words", "n_hit", "items", "starts", "stops"])
-            ends = np.cumsum(batch.column("copies").to_numpy(zero_copy_only=False))
-            for a in range(0, int(ends[-1]) if len(ends) else 0, REPEATED_ROWS):
-                yield merged.take(pa.array(np.searchsorted(ends, np.arange(a, min(a + REPEATED_ROWS, ends[-1])), "right")))
-
-    grouped = found.groupBy("key").agg(F.first("copies").alias("copies"), F.first("n_words").alias("n_words"), *(F.collect_list(c).alias(c) for c in ("items", "starts", "stops")))
-    return grouped.select(F.col("key.doc_id").alias("doc_id"), "copies", "n_words", "items", "starts", "stops").mapInArrow(merge, FOUND)
+            spans = [_united((x["start"], x["stop"]) for x in own) for own in d["spans"]]
+            columns = [pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([sorted(x) for x in d["items"]], pa.list_(pa.string()))]
+            columns += [pa.array([[y[k] for y in x] for x in spans], pa.list_(pa.int32())) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_hit", "items", "starts", "stops"])
+
+    spans = occurrences.groupBy("row", "start", "stop").agg(F.first("items").alias("items"))
+    each = spans.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+    return each.mapInArrow(unite, "row binary, n_hit long, items array<string>, starts array<int>, stops array<int>")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of the documents, and what is found in those with hits."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    windows = item_windows(benchmark, size)
+    known = scratch.save(prefixes(windows, corpus_sketch(docs)), "windows")
+    bloom = bloom_filter(known.select("shingle"), bloom_sized(known.count()))
+    scanned = scratch.save(places(docs, bloom, size), "places")
+    found = scratch.save(by_document(hits(scanned.where("shingle is not null").select("row", "shingle", "at", "before", "near"), known)), "found")
+    return scanned.where("shingle is null").select("row", "doc_id", "n_words"), found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, n_hit, items, starts and stops (ranges of words that are hit) of every row of ``docs``."""
+    rows, found = _found(docs, benchmark, size)
+    out = rows.join(bounded(found), "row", "left")
+    none = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", none("string")).alias("items"), F.coalesce("starts", none("int")).alias("starts"), F.coalesce("stops", none("int")).alias("stops"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not contaminated."""
+    rows, found = _found(docs, benchmark, size)
+    gone = rows.join(bounded(found), "row").where("20 * n_hit >= n_words").select(F.col("row").alias(free_name(docs, "_row"))).distinct()
+    own = free_name(docs, "_own")
+    return docs.withColumn(own, key()).join(bounded(gone), F.col(own) == gone[gone.columns[0]], "left_anti").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -6,8 +6,9 @@ the lower-cased whole text (ASCII that is no letter counts as space), hashed int
 tables; a feature is the square root of a sequence's share in the text, so texts of any
 length are alike in scale.
 
-Models are fitted on a bounded sample: at most ``per_language`` labelled rows of a
-language, those with the smallest hash of doc_id. Only text and label are used. The family
+Models are fitted on a bounded sample: about ``per_language`` labelled rows of a language
+and MOST_ROWS in all, those with the smallest hash of doc_id and text, for the 1,000 most
+frequent languages at most. Only text and label are used. The family
 model is a set of one-versus-rest machines; margins become probabilities by a logistic
 curve fitted on the sample. The score is the probability of the family times that of the
 language within it.
@@ -30,6 +31,10 @@ from . import blocks as B
 from .rows import bounded_sample
 
 PER_LANGUAGE = 800
+#: Rows of the sample over all languages: 10 KB each are held by the driver.
+MOST_ROWS = 12_000
+#: Rows of a block: features take 20 KB each, however short the texts.
+BLOCK_ROWS = 256
 UNDETERMINED = "und"
 
 #: ISO 639-1 codes by family.
@@ -59,31 +64,42 @@ _LETTER = np.zeros(256, bool)
 _LETTER[0x41:0x5B] = _LETTER[0x61:0x7B] = True
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of FEATURES values for each text of a block."""
-    rows = len(offsets) - 1
+def _counts(data: np.ndarray, offsets: np.ndarray, k: int, size: int) -> np.ndarray:
+    """How often each hashed sequence of k bytes stands in each text."""
+    rows, n = len(offsets) - 1, len(data) - k + 1
+    if n <= 0:
+        return np.zeros((rows, size))
     c = _FOLD[data].astype(np.uint32)
+    g = c[:n]
+    for j in range(1, k):
+        g = g * np.uint32(0x01000193) ^ c[j : j + n]
+    at = ((g * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(size) if k > 1 else g
+    if rows == 1:
+        return np.bincount(at, minlength=size).reshape(1, size)
     row = np.repeat(np.arange(rows), np.diff(offsets))
-    out = np.zeros((rows, FEATURES), np.float32)
-    g = c
-    for k, (size, start) in enumerate(zip(_SIZES, _STARTS, strict=True)):
-        if k:
-            g = g[: max(0, len(c) - k)] * np.uint32(0x01000193) ^ c[k:]
-            own = row[: len(g)]
-            same = own == row[k:]
+    same = row[:n] == row[k - 1 :]
+    return np.bincount(row[:n][same] * size + at[same], minlength=rows * size).reshape(rows, size)
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of FEATURES values for each text of a block; a long text is counted piece by piece."""
+    out = np.zeros((len(offsets) - 1, FEATURES), np.float32)
+    for k, (size, start) in enumerate(zip(_SIZES, _STARTS, strict=True), 1):
+        if len(offsets) == 2:
+            n = sum((_counts(data[a : a + B.PIECE_BYTES + k - 1], offsets, k, size) for a in range(0, len(data), B.PIECE_BYTES)), np.zeros((1, size)))
         else:
-            own, same = row, np.ones(len(row), bool)
-        at = (((g * np.uint32(2654435761)) >> np.uint32(15)) % np.uint32(size)).astype(np.int64) if k else g.astype(np.int64)
-        n = np.bincount(own[same] * size + at[same], minlength=rows * size).reshape(rows, size).astype(np.float32)
+            n = _counts(data, offsets, k, size)
         out[:, start : start + size] = np.sqrt(n / np.maximum(n.sum(1, keepdims=True), 1))
     return out
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    sums = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    found = sums[offsets[1:]] > sums[offsets[:-1]]
-    for i in np.flatnonzero(~found):
+    found = np.zeros(len(offsets) - 1, bool)
+    full = np.flatnonzero(np.diff(offsets) > 0)
+    if len(full):
+        found[full] = np.logical_or.reduceat(_LETTER[data], offsets[full])
+    for i in full[~found[full]]:
         found[i] = any(map(str.isalpha, data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")))
     return found
 
@@ -177,7 +193,7 @@ class Hierarchy:
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The bounded sample: text and lang of labelled rows, the same at every run."""
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    return bounded_sample(labelled, "lang", per_language).select("text", "lang")
+    return bounded_sample(labelled, "lang", per_language, F.xxhash64("doc_id", "text"), MOST_ROWS).select("text", "lang")
 
 
 def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Hierarchy | None:
@@ -185,7 +201,7 @@ def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> Hierarchy | Non
 
     def turn(batches):
         for batch in batches:
-            for a, b, data, offsets in B.texts(batch.column(0)):
+            for a, b, data, offsets in B.texts(batch.column(0), rows=BLOCK_ROWS):
                 rows = [x.astype(np.float16).tobytes() for x in features(data, offsets)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1).slice(a, b - a)], ["x", "lang"])
 
@@ -202,7 +218,7 @@ def predict(docs: DataFrame, model: Hierarchy | None) -> DataFrame:
 
     def judge(batches):
         for batch in batches:
-            for a, b, data, offsets in B.texts(batch.column(1)):
+            for a, b, data, offsets in B.texts(batch.column(1), rows=BLOCK_ROWS):
                 names, scores = np.full(b - a, UNDETERMINED, object), np.zeros(b - a)
                 own = has_letter(data, offsets)
                 if sent.value is not None and own.any():

@@ -20,12 +20,12 @@ work has four passes, each over whole texts:
 The sketch only orders shingles; errors in it change costs, not results. Null texts and
 texts without words have empty sets and link with nothing; shorter texts than a shingle are
 one shingle. Null doc_ids take part but never name a component unless it has no other.
+Nothing but the sketch goes through the driver: sets meet their group by a join, which
+sends the candidates' names to all tasks while they are few (``rows.BROADCAST_KEYS``).
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,12 +33,13 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from .components import connected_components
+from .rows import bounded, free_name, key
 from .scratch import Scratch
+from .sketch import COUNTERS, Counts, merged
 
-COUNTERS = 1 << 22
-_PARTS = 64
 GROUP_TOKENS = 10_000_000
-BROADCAST_IDS = 1_000_000
+#: Classes that a task remembers to give their set but once; forgetting them changes no result.
+REMEMBERED = 500_000
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -54,38 +55,24 @@ def _sets(batches, k: int):
             yield batch, a, B.shingle_sets(B.LOWER[data], offsets, B.SPACED, k)
 
 
-def classes_and_sketch(docs: DataFrame, k: int) -> DataFrame:
-    """A row (doc_id, n, sid) for each document, and each task's counters as (part, counts) rows."""
+def classes_and_sketch(docs: DataFrame, k: int, named: bool = False) -> DataFrame:
+    """A row (doc_id, n, sid, row) for each document, and each task's counters as (part, counts) rows; row is null unless ``named``."""
 
     def scan(batches):
-        counts = np.zeros(COUNTERS, np.int32)
-        names = ["doc_id", "n", "sid", "part", "counts"]
+        counts, names = Counts(), ["doc_id", "n", "sid", "row", "part", "counts"]
         for batch, a, sets in _sets(batches, k):
             n = len(sets)
-            if grams := [s for s in sets if len(s)]:
-                np.add.at(counts, (np.concatenate(grams) % np.uint64(COUNTERS)).astype(np.int64), 1)
+            for s in sets:
+                counts.add(s)
             sids = pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(map(len, sets), pa.int64()), sids, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        own = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(_PARTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.nulls(_PARTS, pa.int64()), pa.array(range(_PARTS), pa.int32()), pa.array(own, pa.binary())], names)
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, "doc_id long, n long, sid long, part int, counts binary")
-
+            own = batch.column(2).slice(a, n) if named else pa.nulls(n, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(map(len, sets), pa.int64()), sids, own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        part, own = counts.parts()
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), part, own], names)
 
-def merged_sketch(rows: DataFrame) -> np.ndarray:
-    """The counters over all tasks: COUNTERS numbers, however large the corpus."""
-
-    def merge(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
-
-    out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int64)
-    for r in rows.where("part is not null").select("part", "counts").repartition("part").mapInArrow(merge, "part int, counts binary").collect():
-        out[r["part"]] += np.frombuffer(bytes(r["counts"]), np.int64)
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32).ravel()
+    rows = docs.select("doc_id", "text", *[key().alias("row")] * named)
+    return rows.mapInArrow(scan, "doc_id long, n long, sid long, row binary, part int, counts binary")
 
 
 def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
@@ -105,7 +92,7 @@ def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int)
                 tokens.append(s[rare])
                 sids.append(np.full(p, sid, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))
-            if len(given) > 500_000:
+            if len(given) > REMEMBERED:
                 given.clear()  # then a copy is given again, which the lists pass over
             if tokens:
                 yield pa.RecordBatch.from_arrays([B.as_long(np.concatenate(tokens)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))], ["token", "sid", "size"])
@@ -161,7 +148,9 @@ def t_occurrence(sets: list[np.ndarray], block: np.ndarray, num: int, den: int,
         short, long = own[: len(own) - skip], own[len(own) - skip :]
         met = np.concatenate([postings[start[t] : start[t + 1]] - t * n for t in short])
         met = met[(met > x) & (met < last)]
-        found, times = np.unique(met, return_counts=True)
+        met.sort(kind="stable")  # merges the lists, which are sorted runs
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(met)), bool), met[1:] != met[:-1]]))
+        found, times = met[new], np.diff(np.append(new, len(met)))
         keep = times >= need - skip
         if crossed:
             keep &= block[found] != block[x]
@@ -231,57 +220,37 @@ def _search(groups: DataFrame, num: int, den: int, all_pairs: bool) -> DataFrame
 class Join:
     """The steps of one join, with its scratch tables."""
 
-    def __init__(self, docs: DataFrame, k: int, num: int, den: int, group_tokens: int = GROUP_TOKENS):
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int, group_tokens: int = GROUP_TOKENS, named: bool = False):
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.k, self.num, self.den, self.group_tokens = k, num, den, group_tokens
         self.scratch = Scratch(docs.sparkSession, "ngram-join")
-        first = self.scratch.save(classes_and_sketch(self.docs, k), "classes")
-        self.members = first.where("part is null").select("doc_id", "n", "sid")
+        first = self.scratch.save(classes_and_sketch(self.docs, k, named), "classes")
+        self.members = first.where("part is null").select("doc_id", "n", "sid", "row")
         self.reps = self.members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-        edges = self.scratch.save(candidate_edges(prefix_rows(self.docs, merged_sketch(first), k, num, den), num, den), "edges")
+        edges = self.scratch.save(candidate_edges(prefix_rows(self.docs, merged(first.where("part is not null")), k, num, den), num, den), "edges")
         groups = connected_components(edges, self.scratch, "groups")
         self.groups = self.scratch.save(groups.withColumnsRenamed({"node": "sid", "root": "group"}).join(self.reps, "sid"), "candidates")
+        self.scratch.drop("edges")
 
     def _blocks(self) -> DataFrame:
-        """The sets of the candidate classes, read from one document of each and dealt out to pairs of blocks of their group.
-
-        While the candidates are few, their places go to the tasks that read the texts, so that
-        a set is shuffled once; beyond that they are joined.
-        """
-        spark, k = self.docs.sparkSession, self.k
+        """The sets of the candidate classes, read from one document of each and dealt out to pairs of blocks of their group."""
+        k = self.k
         tokens = self.groups.groupBy("group").agg(F.ceil(F.sum("n") / self.group_tokens).cast("int").alias("blocks"))
         placed = self.groups.join(tokens, "group").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
-        placed = placed.select("sid", "rep", "group", "blocks", "block", F.col("n").cast("int").alias("size"))
-        few = self.groups.count() <= BROADCAST_IDS
-        if few:
-            rows = sorted(tuple(r) for r in placed.collect())
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-            reps = np.array([r for r in columns[1] if r is not None], np.int64)
-            sent, docs = spark.sparkContext.broadcast((np.unique(reps), [np.array(columns[i], np.int64) for i in (0, 2, 3, 4, 5)])), self.docs
-        else:
-            reps = placed.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-            sent, docs = None, self.docs.join(reps, "doc_id", "left_semi").unionByName(self.docs.where("doc_id is null"))
+        placed = self.scratch.save(placed.select("sid", "rep", "group", "blocks", "block", F.col("n").cast("int").alias("size")), "placed")
+        reps = placed.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+        docs = self.docs.join(bounded(reps), "doc_id", "left_semi").unionByName(self.docs.where("doc_id is null"))
 
         def scan(batches):
-            for batch in batches:
-                if sent is not None:
-                    ids = batch.column(0)
-                    own = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value[0]) | ids.is_null().to_numpy(zero_copy_only=False)
-                    batch = batch.filter(pa.array(own))
-                for _, _, sets in _sets([batch], k):
-                    sids, own = np.array([_class_id(s) if len(s) else 0 for s in sets], np.int64), np.array([len(s) > 0 for s in sets])
-                    more = []
-                    if sent is not None:
-                        known, *rest = sent.value[1]
-                        at = np.minimum(np.searchsorted(known, sids), max(0, len(known) - 1))
-                        own &= (known[at] == sids) if len(known) else False
-                        more = [pa.array(c[at[own]], t) for c, t in zip(rest, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)] if len(known) else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32())]
-                    found = pa.array([s.tobytes() for s, o in zip(sets, own, strict=True) if o], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(sids[own]), found, *more], ["sid", "shingles", "group", "blocks", "block", "size"][: 2 + len(more)])
-
-        rows = docs.mapInArrow(scan, "sid long, shingles binary" + ", group long, blocks int, block int, size int" * few)
-        if not few:
-            rows = rows.join(placed.drop("rep"), "sid")
+            given: set[int] = set()
+            for _, _, sets in _sets(batches, k):
+                found = {sid: s for s in sets if len(s) and (sid := _class_id(s)) not in given}
+                given.update(found)
+                if len(given) > REMEMBERED:
+                    given.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["sid", "shingles"])
+
+        rows = docs.mapInArrow(scan, "sid long, shingles binary").join(bounded(placed.drop("rep")), "sid")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         return rows.select("*", other).select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
@@ -291,18 +260,43 @@ class Join:
         name = lambda c: self.reps.select(F.col("sid").alias(c), F.col("rep").alias(f"{c}_id"))
         return found.join(name("a"), "a").join(name("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "overlap", "joined")
 
+    def _tied(self) -> tuple[DataFrame, DataFrame]:
+        """(sid, root) of the classes with links, and (sid, n_links)."""
+        found = self.scratch.save(_search(self._blocks(), self.num, self.den, False), "links")
+        roots = connected_components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), self.scratch, "roots")
+        return roots.withColumnRenamed("node", "sid"), found.groupBy("sid").agg(F.sum("links").alias("n_links"))
+
     def documents(self) -> DataFrame:
         """doc_id, n_shingles, component_id, n_links (classes linked with) of every document."""
-        found = self.scratch.save(_search(self._blocks(), self.num, self.den, False), "links")
-        roots = connected_components(found.select(F.col("sid").alias("a"), F.col("root").alias("b")), self.scratch, "roots").withColumnRenamed("node", "sid")
+        roots, links = self._tied()
         named = roots.join(self.groups.select("sid", "rep"), "sid")
         least = named.groupBy("root").agg(F.min("rep").alias("component"))
-        linked = named.join(least, "root").select("sid", "component")
-        linked = linked.join(found.groupBy("sid").agg(F.sum("links").alias("n_links")), "sid")
+        linked = named.join(least, "root").select("sid", "component").join(links, "sid")
         classes = self.scratch.save(self.reps.join(linked, "sid", "left").select("sid", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
         out = self.members.join(classes, "sid", "left")
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
+    def kept(self, docs: DataFrame) -> DataFrame:
+        """The rows of ``docs``, with all their columns, but one for each component; of a Join that is ``named``.
+
+        The one that stays has the least doc_id, a null one coming last; of several with that
+        doc_id, the least name. Of rows that are equal in doc_id and text one stays. Rows
+        without words tie to nothing, so all of them stay.
+        """
+        roots, _ = self._tied()
+        of = self.members.where("sid is not null").join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), "doc_id", "row")
+        each = self.scratch.save(of.groupBy("root", "doc_id", "row").agg(F.count("*").alias("copies")), "rows")
+        first = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row", "copies")).alias("first"))
+        stay = self.scratch.save(first.select("first.row", "first.copies"), "stay")
+        name, own = free_name(docs, "_row"), free_name(docs, "_own")
+        gone = bounded(each.select("row").distinct().join(stay, "row", "left_anti").select(F.col("row").alias(name)))
+        left = docs.withColumn(own, key()).join(gone, F.col(own) == F.col(name), "left_anti")
+        again = stay.where("copies > 1").select(F.col("row").alias(name))
+        if not again.isEmpty():
+            again, rest = bounded(again), left
+            left = rest.join(again, F.col(own) == F.col(name), "left_anti").unionByName(rest.join(again, F.col(own) == F.col(name), "left_semi").dropDuplicates([own]))
+        return left.select(*docs.columns)
+
 
 def near_duplicates(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Components of documents whose sets of k-word shingles have a Jaccard similarity of num / den or more."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), one of our own."""
+    """The folder in ``spark.checkpoint.dir``. Where it is unset, a local session (tests) gets one of its own; a cluster has none that all executors see, so that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables of one run, each readable by every executor, dropped when no longer needed."""
+    """Parquet tables of one run, each readable by every executor.
+
+    Tables that only later steps read are dropped by them. Those that the returned rows are
+    read from stay, as the folder's owner clears it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ import pytest
 from compare import duck_rows, spark_rows
 from pyspark.sql import functions as F
 
-from keystrata.llm import components, decontamination, fingerprints, language_id, ngram_join, packing, quality, queries, secret_scan, substring_dedup, token_counts, url_filter
+from keystrata.llm import components, decontamination, fingerprints, language_id, ngram_join, packing, quality, queries, secret_scan, sketch, substring_dedup, token_counts, url_filter
 from keystrata.llm.scratch import Scratch
 
 SF = "/root/testdata/sf0.001"
@@ -43,26 +43,30 @@ def got(df, *columns) -> list[tuple]:
     return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_decontamination_equals_brute_force(spark, docs, empty, block):
+def test_decontamination_equals_brute_force(spark, docs, empty):
     items = [("a", " ".join(words(120, 1).split()[5:40])), ("b", "ONE two"), ("c", None), ("d", ""), (None, "one"), ("e", " ".join(words(4000, 2).split()[700:713]))]
     bench = spark.createDataFrame(items, "item_id string, text string")
     want = sorted(decontamination.brute_force(corpus(), items), key=repr)
-    rows = got(decontamination.digest(decontamination.contamination(docs, bench, block_windows=block)))
-    if block == 3:  # blocks merge rows that are alike in all
-        want, rows = sorted(set(want), key=repr), sorted({(r[0] if not isinstance(r[0], tuple) else r[0][0], *r[1:]) for r in rows}, key=repr)
-    assert rows == want
+    assert got(decontamination.digest(decontamination.contamination(docs, bench))) == want
+    stay = {r[0] for r in want if not r[-1]}
+    clean = decontamination.clean(docs.withColumns({"_row": F.lit(1), "row": F.lit(2), "_own": F.lit(3)}), bench)
+    assert clean.columns == [*docs.columns, "_row", "row", "_own"]
+    assert sorted((r[0] for r in clean.collect()), key=repr) == sorted((d for d, *_ in corpus() if d in stay), key=repr)
     assert got(decontamination.digest(decontamination.contamination(empty, bench))) == []
     assert not any(r[-1] for r in got(decontamination.digest(decontamination.contamination(docs, bench.limit(0)))))
 
 
-@pytest.mark.parametrize("block", [200_000, 5])
-def test_decontamination_keeps_every_row(spark, block):
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_decontamination_keeps_every_row(spark, monkeypatch, few):
+    from keystrata.llm import rows as helpers
+
+    monkeypatch.setattr(helpers, "BROADCAST_KEYS", few)
+    monkeypatch.setattr(sketch, "BLOOM_BITS", 1 if not few else 16)
     a, b = words(60, 1), words(60, 2)
     rows = [(None, a), (None, b), (None, b), (None, None), (None, ""), (1, a), (1, a), (1, a), (1, b), (1, words(500, 3)), (2, None), (2, None), (3, words(9, 4))]
     items = [("a", " ".join(a.split()[3:40])), ("b", " ".join(b.split()[20:50]))]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = decontamination.contamination(df, spark.createDataFrame(items, "item_id string, text string"), block_windows=block)
+    found = decontamination.contamination(df, spark.createDataFrame(items, "item_id string, text string"))
     assert got(decontamination.digest(found)) == sorted(decontamination.brute_force(rows, items), key=repr)
 
 
@@ -104,9 +108,11 @@ def test_ngram_links_lose_none(spark):
     assert got(found, "a", "b") == want
 
 
-@pytest.mark.parametrize(("few", "tokens"), [(ngram_join.BROADCAST_IDS, ngram_join.GROUP_TOKENS), (ngram_join.BROADCAST_IDS, 9), (0, ngram_join.GROUP_TOKENS), (0, 9)])
+@pytest.mark.parametrize(("few", "tokens"), [(1_000_000, ngram_join.GROUP_TOKENS), (1_000_000, 9), (0, ngram_join.GROUP_TOKENS), (0, 9)])
 def test_ngram_links_through_rows_without_id(spark, monkeypatch, few, tokens):
-    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", few)
+    from keystrata.llm import rows as helpers
+
+    monkeypatch.setattr(helpers, "BROADCAST_KEYS", few)
     a, edits = words(100, 1).split(), {}
     for name, at in (("a", ()), ("b", (0, 1, 2)), ("c", (0, 1, 2, 97, 98, 99)), ("d", (50,))):
         edits[name] = " ".join(f"edit{i}" if i in at else w for i, w in enumerate(a))
@@ -126,6 +132,23 @@ def test_ngram_links_through_rows_without_id(spark, monkeypatch, few, tokens):
     assert len(pairs) == len({frozenset((s, u)) for s in classes for u in classes if linked(s, u)})
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_ngram_join_keeps_one_row_of_each_group(spark, monkeypatch, few):
+    from keystrata.llm import rows as helpers
+
+    monkeypatch.setattr(helpers, "BROADCAST_KEYS", few)
+    a, b = words(100, 1), words(60, 2)
+    near = a + " more"
+    rows = [(7, a), (7, a), (3, near), (None, a), (None, b), (None, b), (9, b), (9, b + " x"), (5, None), (5, None), (None, ""), (None, ""), (8, words(40, 3)), (8, words(40, 4)), (2, "one"), (None, "one")]
+    df = spark.createDataFrame([(d, t, i, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, _row long, own long").repartition(3)
+    kept = ngram_join.Join(df, 5, 80, 100, named=True).kept(df)
+    want = [(3, near), (9, b), (5, None), (5, None), (None, ""), (None, ""), (8, words(40, 3)), (8, words(40, 4)), (2, "one")]
+    found = [(r[0], r[1]) for r in got(kept)]
+    assert kept.columns == df.columns
+    alike = lambda rs: sorted((d, t if t != b + " x" else b) for d, t in rs if d is not None) + [r for r in rs if r[0] is None]  # noqa: E731  of doc_id 9 either text
+    assert sorted(alike(found), key=repr) == sorted(alike(want), key=repr)
+
+
 def test_token_counts_equal_the_library(spark, empty):
     texts = [None, "", " ", "It's <|endoftext|> fine, ok.", "Ünïcode Straße\u00a0x\x1cy\x0bz", "UPPER <|ENDOFTEXT|> x", "a," * 50, "e\u0301 a \u0301", "x. y.. ,z. 12,5.", "word" * 3000, words(500, 9)]
     library = token_counts.load(token_counts.default_path())
