@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm import decontamination as d
-from keystrata.llm import ngram_join, packing, rows, secret_scan
+from keystrata.llm import ngram_join, packing, secret_scan
 from keystrata.llm import quality as q
 from keystrata.llm.queries import remainder, table
 from keystrata.llm.scratch import Scratch
@@ -24,19 +24,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group tied by five-word shingles at 0.8; rows without doc_id stay."""
-    found = ngram_join.near_duplicates(docs, k=5, num=80, den=100)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.xxhash64("doc_id").alias("key"))
-    kept = rows.by_name(docs, gone)
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """One row, that of the least doc_id, of each group tied by five-word shingles at 0.8; rows without words stay."""
+    return ngram_join.Join(docs, 5, 80, 100, named=True).kept(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    named = docs.select(rows.key().alias("doc_id"), "text")
-    found = d.digest(d.contamination(named, table(spark, sf_dir, "benchmark")))
-    return rows.by_key(docs, found.where("contaminated").select(F.col("doc_id").alias("key")), "left_anti")
+    return d.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
