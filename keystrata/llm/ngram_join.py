@@ -317,3 +317,18 @@ def brute_force(docs: list[tuple], k: int, num: int, den: int) -> list[tuple]:
                 root = [new if r == old else r for r in root]
     least = {r: min(docs[i][0] for i in range(len(docs)) if root[i] == r) for r in set(root)}
     return [(d, len(s), least[r]) for (d, _), s, r in zip(docs, sets, root, strict=True)]
+
+
+def oracle_sql(k: int, num: int, den: int) -> str:
+    """The join by DuckDB, for tables whose doc_ids differ and are not null."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) END AS s FROM w),
+c AS (SELECT min(doc_id) AS c, len(any_value(s)) AS n, any_value(s) AS s, list(doc_id) AS members FROM d WHERE len(s) > 0 GROUP BY list_sort(s)),
+g AS (SELECT c, n, unnest(s) AS g FROM c),
+l AS (SELECT a.c AS a, b.c AS b FROM g a JOIN g b ON a.g = b.g AND a.c <> b.c AND {den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) GROUP BY a.c, b.c HAVING {den} * count(*) >= {num} * (any_value(a.n) + any_value(b.n) - count(*))),
+r(c, m) AS (SELECT c, c FROM c UNION SELECT l.b, r.m FROM r JOIN l ON l.a = r.c WHERE r.m < l.b),
+m AS (SELECT c, min(m) AS m FROM r GROUP BY c),
+p AS (SELECT unnest(members) AS doc_id, c FROM c)
+SELECT d.doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(m.m, d.doc_id) AS component_id, CAST((SELECT count(*) FROM l WHERE l.a = p.c) AS BIGINT) AS n_links FROM d LEFT JOIN p USING (doc_id) LEFT JOIN m USING (c)
+"""

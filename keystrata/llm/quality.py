@@ -92,7 +92,7 @@ def line_features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, old:
     more[:, 0] = np.log1p(size) / 8
     if n:
         a = int(starts[0])
-        ws, we, _ = B.word_spans(data[a : int(stops[-1])], np.array([0, int(stops[-1]) - a]), B.SPACED)
+        ws, we, _ = B.word_spans(data[a : int(stops[-1])], np.append(starts, stops[-1]) - a, B.SPACED)  # texts follow each other without a break
         own = np.searchsorted(starts, ws + a, "right") - 1
         h = B.span_hashes(data[a : int(stops[-1])], ws, we)
         words = np.bincount(own, minlength=n)

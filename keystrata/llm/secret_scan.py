@@ -2,14 +2,17 @@
 
 Each rule's regex is turned into a Boolean query over trigrams that any match must hold:
 runs of fixed characters give trigrams that are all needed, alternatives give an "or",
-optional and repeated parts give nothing. The index lists, for each text, which of the
-queries' trigrams it holds (posting lists kept beside the texts, so that intersecting
-them moves no row; ``postings`` gives the inverted form). Texts whose postings satisfy a
-query are verified with the regex; a rule without needed trigrams scans all texts.
-
-DataFrame functions only; the index and the verification are one narrow pass, without a
-shuffle. Spans are code points, end exclusive. A null or empty text has no spans. Equal
-rows each give their row.
+optional and repeated parts give nothing. The inverted index is a table of postings
+(trigram, text), written to the shared folder; texts go by a hash, so a text with many copies
+is one entry. Intersecting the postings text by text answers the queries, and texts that
+satisfy a query are verified with the regex; a rule without needed trigrams scans all texts.
+Two texts with one hash share their postings, which costs a verification and loses nothing.
+
+DataFrame functions only. What is shuffled are postings (a few for each text) and the
+selected texts' hashes; these go to all tasks while they are few (``rows.BROADCAST_KEYS``) and
+are joined beyond that. Every pattern is linear in the text: none can start again inside
+what it has read in vain. Spans are code points, end exclusive. A null or empty text has no
+spans. Equal rows each give their row.
 """
 
 from __future__ import annotations
@@ -19,6 +22,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keystrata.functions.arrays import chunks, cut, let, running, running_totals
+
+from .rows import bounded, free_name
+from .scratch import Scratch
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -40,7 +48,7 @@ MORE = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
@@ -103,46 +111,67 @@ def _holds(query, held: Column) -> Column:
     return out
 
 
-def _held(text: Column, rules) -> Column:
-    low = F.lower(text)
-    grams = sorted(set().union(*(_trigrams(trigram_query(r.pattern)) for r in rules)))
-    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
+def _name(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def postings(docs: DataFrame, rules=RULES) -> DataFrame:
-    """The inverted index: (trigram, doc_id) for the trigrams that the rules need."""
-    return docs.select("doc_id", F.explode(_held(F.col("text"), rules)).alias("trigram")).select("trigram", "doc_id")
+    """The inverted index: (trigram, name) for the trigrams that the rules need; name is the text's hash."""
+    low = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    grams = sorted(set().union(*(_trigrams(trigram_query(r.pattern)) for r in rules)))
+    if not grams:
+        return docs.select(F.lit("").alias("trigram"), F.lit(0).cast("long").alias("name")).limit(0)
+    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams)))
+    return docs.select(F.explode(held).alias("trigram"), _name(F.col("text")).alias("name"))
+
+
+def candidates(index: DataFrame, rules=RULES) -> DataFrame:
+    """(name, wanted): texts whose postings, intersected, satisfy a rule's query; bit k of wanted stands for the k-th rule."""
+    wanted = F.lit(0).cast("long")
+    for rank, rule in enumerate(rules):
+        if (query := trigram_query(rule.pattern)) is not None:
+            wanted = wanted.bitwiseOR(F.when(_holds(query, F.col("held")), F.lit(1 << rank)).otherwise(F.lit(0)))
+    return index.groupBy("name").agg(F.collect_set("trigram").alias("held")).select("name", wanted.alias("wanted")).where("wanted <> 0")
+
+
+NO_SPANS = "cast(array() as array<struct<start:int,rank:int,end:int>>)"
 
 
 def _spans(text: Column, rule: Rule, rank: int) -> Column:
     """Array of (start, rank, end) of a rule's matches that are long enough."""
-    pattern = F.lit(rule.pattern)
-    matches = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
-    checked = F.regexp_extract_all(text, pattern, F.lit(rule.group))
-    steps = F.arrays_zip(matches.alias("m"), between.alias("b"), checked.alias("g"))
-
-    def add(state, x):
-        start = state["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        out = F.when(F.length(x["g"]) >= rule.least, F.array_append(state["out"], span)).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
-
-
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with spans: array of (start, rank, end), rank being the rule's place in ``rules``, in order."""
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
-    rows = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = rows.withColumn("_held", _held(F.col("_text"), rules))
-    found = []
+
+    def placed(matches):
+        between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
+        checked = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else matches
+        at = running_totals(F.zip_with(between, matches, lambda b, m: F.length(b) + F.length(m)))
+
+        def span(x):
+            start = x["at"] + F.length(x["b"])
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["m"])).alias("end"))
+
+        found = F.arrays_zip(at.alias("at"), between.alias("b"), matches.alias("m"), checked.alias("g"))
+        return F.when(F.size(matches) > 0, F.transform(F.filter(found, lambda x: F.length(x["g"]) >= rule.least) if rule.least else found, span)).otherwise(F.expr(NO_SPANS))
+
+    return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), placed)
+
+
+def scan(docs: DataFrame, rules=RULES, into: str = "spans") -> DataFrame:
+    """``docs`` with ``into``: array of (start, rank, end), rank being the rule's place in ``rules``, in order; no other column may be called that."""
+    if len(rules) > 63 or into.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"at most 63 rules, and a column other than {docs.columns}")
+    scratch = Scratch(docs.sparkSession, "secret-scan")
+    index = scratch.save(postings(docs, rules), "postings")
+    found = scratch.save(candidates(index, rules), "candidates")
+    scratch.drop("postings")
+    own, name, wanted = (free_name(docs, c) for c in ("_own", "_name", "_wanted"))
+    rows = docs.withColumn(own, _name(F.col("text"))).join(bounded(found.select(F.col("name").alias(name), F.col("wanted").alias(wanted))), F.col(own) == F.col(name), "left")
+    text, spans = F.coalesce(F.col("text").cast("string"), F.lit("")), []
     for rank, rule in enumerate(rules):
-        wanted = _holds(trigram_query(rule.pattern), F.col("_held")) & F.rlike("_text", F.lit(rule.pattern))
-        found.append(F.when(wanted, _spans(F.col("_text"), rule, rank)).otherwise(none))
-    return rows.withColumn("spans", F.array_sort(F.concat(*found))).drop("_text", "_held")
+        one = _spans(text, rule, rank)
+        if trigram_query(rule.pattern) is not None:
+            one = F.when(F.coalesce(F.col(wanted), F.lit(0)).bitwiseAND(F.lit(1 << rank)) != 0, one).otherwise(F.expr(NO_SPANS))
+        spans.append(one)
+    return rows.select(*docs.columns, F.array_sort(F.concat(*spans)).alias(into))
 
 
 def _joined(spans: Column, rules) -> Column:
@@ -160,16 +189,40 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", rules=RULES) -> DataFrame:
     """``docs`` with every span replaced by ``mark``; overlapping spans are replaced as one."""
-    found = scan(docs, rules)
+    spans = free_name(docs, "_spans")
+    found = scan(docs, rules, spans)
+
+    def parts(own, pieces):
+        reach = running(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b))  # of overlapping spans the first begins the gap
+        fresh = F.filter(F.arrays_zip(own.alias("s"), reach.alias("reach")), lambda x: x["s"]["start"] >= x["reach"])
+        kept = F.transform(fresh, lambda x: F.concat(cut(pieces, x["reach"], x["s"]["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), cut(pieces, F.array_max(F.transform(own, lambda s: s["end"])), F.length("text")))
+
+    done = F.when(F.size(spans) > 0, let(chunks(F.col("text")), lambda pieces: parts(F.col(spans), pieces))).otherwise(F.col("text"))
+    return found.withColumn("text", done).select(*docs.columns)
 
-    def cut(state, s):
-        fresh = s["start"] >= state["at"]
-        gap = F.when(fresh, F.concat(F.substring(F.col("text"), state["at"] + 1, s["start"] - state["at"]), F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut)
-    rest = F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text")))
-    return found.withColumn("text", F.when(F.size("spans") > 0, rest).otherwise(F.col("text"))).drop("spans")
+#: Kinds as the SQL writes them: RE2 has no look-behind, so group 2 is what counts as the match there.
+_SQL_KINDS = tuple((r.kind, r.pattern.replace("(?<![A-Za-z0-9_-])", "(^|[^A-Za-z0-9_-])(").replace("}+", "}") + ")" if "(?<!" in r.pattern else r.pattern, r.group, r.least) for r in RULES)
+
+
+def _kind_sql(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    p = pattern.replace("'", "''")
+    own = 2 if pattern.startswith("(^|") else 0
+    return (
+        f"SELECT rid, {rank} AS rank, '{kind}' AS kind, CAST(list_sum(list_transform(parts[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:k - 1], lambda x: length(x))), 0) + length(ms[k]) - length(own[k]) AS BIGINT) AS s, length(own[k]) AS n "
+        f"FROM (SELECT rid, regexp_split_to_array(text, '{p}') AS parts, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {own}) AS own, regexp_extract_all(text, '{p}', {group}) AS g, "
+        f"unnest(generate_series(1, len(regexp_extract_all(text, '{p}')))) AS k FROM d) WHERE length(g[k]) >= {least}"
+    )
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_kind_sql(k, *row) for k, row in enumerate(_SQL_KINDS))}),
+told AS (SELECT rid, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c,
+  string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, rank) FILTER (rank < {len(BASE)}) AS base, string_agg(concat(kind, ':', s, ':', s + n), ',' ORDER BY s, rank) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (rid)
+"""
 
 
 def brute_force(docs: list[tuple]) -> list[tuple]:

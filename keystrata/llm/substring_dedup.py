@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from .rows import bounded
 from .scratch import Scratch
 
 LENGTH = 200
 RADIUS = 24
 WIDTHS = (73, 9, 1)
-BROADCAST_KEYS = 2_000_000
 
 TUPLES = "common long, whole long, key long, place long, weight int"
 FOUND = "key long, place long, weight int, state int"
@@ -44,20 +44,25 @@ PROVED = 3
 
 
 def kept_suffixes(data: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Places whose suffix is least within ``radius`` on either side; ties are all kept."""
-    n = len(data)
-    k = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    for bits in (8, 16, 32):
-        k = (k[: -(bits // 8)] << np.uint64(bits)) | k[bits // 8 :]
-    k = k[:n]
-    edge = np.full(radius, ~np.uint64(0))
-    least, reach = np.concatenate([edge, k, edge]), 1
-    while 2 * reach <= 2 * radius + 1:
-        least = np.minimum(least[:-reach], least[reach:])
-        reach *= 2
-    if rest := 2 * radius + 1 - reach:
-        least = np.minimum(least[:-rest], least[rest:])
-    return np.flatnonzero(k == least)
+    """Places whose suffix is least within ``radius`` on either side; ties are all kept. Worked out piece by piece."""
+    n, found = len(data), [np.zeros(0, np.int64)]
+    for a in range(0, n, B.PIECE_BYTES):
+        b, low = min(n, a + B.PIECE_BYTES), max(0, a - radius)
+        high = min(n, b + radius)
+        k = np.concatenate([data[low : min(n, high + 8)], np.zeros(8, np.uint8)]).astype(np.uint64)
+        for bits in (8, 16, 32):
+            k = (k[: -(bits // 8)] << np.uint64(bits)) | k[bits // 8 :]
+        k = k[: high - low]
+        edge = np.full(radius, ~np.uint64(0))
+        least, reach = np.concatenate([edge, k, edge]), 1
+        while 2 * reach <= 2 * radius + 1:
+            least = np.minimum(least[:-reach], least[reach:])
+            reach *= 2
+        if rest := 2 * radius + 1 - reach:
+            least = np.minimum(least[:-rest], least[rest:])
+        at = np.flatnonzero(k == least) + low
+        found.append(at[(at >= a) & (at < b)])
+    return np.concatenate(found)
 
 
 def _packed(base, lo, hi):
@@ -193,19 +198,6 @@ def settle(tuples: DataFrame) -> DataFrame:
     return tuples.repartition("common").sortWithinPartitions("common", "whole", "key", "place").mapInArrow(scan, FOUND)
 
 
-def _of_keys(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with one of the keys: by a broadcast array while the keys are few, else by a join."""
-    if keys.count() > BROADCAST_KEYS:
-        return docs.join(keys, "key", "left_semi")
-    sent = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["key"] for r in keys.collect()], np.int64)))
-
-    def pick(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(zero_copy_only=False), sent.value)))
-
-    return docs.select("key", "text").mapInArrow(pick, "key long, text binary")
-
-
 def induced_tuples(docs: DataFrame, open_: DataFrame, width: int, length: int = LENGTH) -> DataFrame:
     """The tuples of ``open_`` divided into ones of at most ``width`` strings each."""
     asked = open_.groupBy("key").agg(F.collect_list("place").alias("places"), F.collect_list("weight").alias("weights"))
@@ -231,7 +223,7 @@ def induced_tuples(docs: DataFrame, open_: DataFrame, width: int, length: int =
                     out, weights = [[], [], [], []], []
             yield _rows(out, weights)
 
-    texts = _of_keys(docs, asked.select("key")).select("key", "text").dropDuplicates(["key"])
+    texts = docs.join(bounded(asked.select("key")), "key", "left_semi").select("key", "text").dropDuplicates(["key"])
     return texts.join(asked, "key").select("key", "text", "places", "weights").mapInArrow(scan, TUPLES)
 
 
@@ -257,7 +249,11 @@ def deduplicate(docs: DataFrame, *, length: int = LENGTH, radius: int = RADIUS,
     from hashlib import sha256
 
     docs = keyed(docs)
-    joined = docs.join(repeated_spans(docs, length=length, radius=radius, widths=widths), "key", "left").select("doc_id", "text", "spans.s", "spans.e")
+    spans = Scratch(docs.sparkSession, "substring-dedup").save(repeated_spans(docs, length=length, radius=radius, widths=widths), "spans")
+    keys = bounded(spans.select("key"))
+    # Texts that lose nothing are not shuffled to learn it.
+    whole = docs.join(keys, "key", "left_anti").select("doc_id", "text", *(F.lit(None).cast("array<bigint>").alias(c) for c in "se"))
+    joined = docs.join(keys, "key", "left_semi").join(spans, "key").select("doc_id", "text", "spans.s", "spans.e").unionByName(whole)
 
     def cut(batches):
         for batch in batches:
@@ -300,3 +296,18 @@ def brute_force(docs: list[tuple], length: int = LENGTH) -> list[tuple]:
         runs = int((gone[:-1] & ~np.concatenate([[False], gone[:-2]]))[: len(t)].sum()) if len(t) else 0
         out.append((doc_id, len(t), int(gone.sum()), runs, sha256(bytes(b for b, g in zip(t, gone, strict=False) if not g)).hexdigest()))
     return out
+
+
+_POSITIONS = "(SELECT rid, unnest(range(1, octet_length(b) - {n} + 2)) AS p, b FROM d WHERE octet_length(b) >= {n})"
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT rid, p, md5(array_slice(b, p, p + {LENGTH - 1})) AS h FROM {_POSITIONS.format(n=LENGTH)}),
+r AS (SELECT rid, p FROM (SELECT rid, p, count(*) OVER (PARTITION BY h) AS n FROM w) WHERE n > 1),
+marked AS (SELECT rid, p, CASE WHEN p > coalesce(max(p) OVER (PARTITION BY rid ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {LENGTH}, 0) THEN 1 ELSE 0 END AS new FROM r),
+runs AS (SELECT rid, min(p) AS s, max(p) + {LENGTH} AS e FROM (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM marked) GROUP BY rid, run),
+gone AS (SELECT rid, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans, list(s ORDER BY s) AS ss, list(e ORDER BY s) AS es FROM runs GROUP BY rid),
+parts AS (SELECT doc_id, b, n_removed, n_spans, list_concat([1], es) AS starts, list_concat(ss, [octet_length(b) + 1]) AS stops FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, octet_length(b) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_removed IS NULL THEN sha256(b) ELSE sha256(list_reduce(list_transform(range(1, len(starts) + 1), lambda i: CASE WHEN stops[i] > starts[i] THEN array_slice(b, starts[i], stops[i] - 1) ELSE ''::BLOB END), lambda x, y: x || y)) END AS kept_sha256 FROM parts
+"""

@@ -1,20 +1,22 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are split at safe boundaries: ASCII white space, and before a full stop or comma
-that ends such a piece after a small letter. The word-level vocabularies drop white space,
-never merge across either boundary and fold case, so the tokens of a text are the tokens of
-its pieces, whatever its length. Case is folded before the library does only where its
+that ends such a piece after a small letter. Whether a vocabulary drops white space and
+parts words from points, so that the tokens of a text are the tokens of its pieces, is read
+from the file's normaliser and pre-tokeniser; a file that does not say so gets whole texts.
+Where it folds case, case is folded before the library does only where its
 normaliser, which composes first, gives the same. A worker keeps the counts of pieces it has met (up to
 ``CACHE_PIECES``, then it starts anew, which changes no result) and hands the new ones to
 the library in batches of about equal bytes. The tokenizer's own rules hold within a
 piece: its normaliser, its special strings, its splits.
 
-``whole`` switches the splitting off for vocabularies that do merge across white space.
+``whole`` switches the splitting off for any vocabulary.
 Null and empty texts have no bytes and no tokens; equal rows each give their row.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -58,21 +60,52 @@ def byte_batches(pieces: list[str], limit: int = BATCH_BYTES):
         yield batch
 
 
+def _steps(spec: dict | None) -> list[dict]:
+    """The steps of a normaliser or pre-tokeniser, in order."""
+    return [] if not spec else [s for own in spec[next(k for k in ("normalizers", "pretokenizers") if k in spec)] for s in _steps(own)] if spec["type"] == "Sequence" else [spec]
+
+
+def drops_space(spec: dict) -> bool:
+    """Whether a tokenizers file surely splits at white space, drops it and never joins a letter and a full stop or comma."""
+    import regex
+
+    words = next((s for s in _steps(spec.get("pre_tokenizer")) if s["type"] in ("Split", "BertPreTokenizer", "Whitespace")), None)
+    kept = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents", "BertNormalizer", "Replace"}
+    plain = all(s["type"] in kept and (s["type"] != "Replace" or (s["pattern"].get("Regex") == r"\s+" and s["content"] == " ")) for s in _steps(spec.get("normalizer")))
+    if words is None or not plain or any(not t["content"].strip() or set(t["content"]) & set(" \t\n") for t in spec.get("added_tokens", ())):
+        return False
+    if words["type"] != "Split":
+        return True
+    pattern = regex.compile(words["pattern"].get("Regex") or regex.escape(words["pattern"]["String"]))
+    # A pattern that keeps matches only and finds none with white space in what surrounds it by letters, digits and points.
+    probes = [f"{a}{c}{b}" for a in ("", "a", "1", ".", "'s", "\u00e9") for b in ("", "a", "1", ",", "'s", "\u00e9") for c in " \t\n\x0b\x0c\r"]
+    apart = all(m.group() in ("x", p) for p in ".," for m in pattern.finditer(f"x{p}"))
+    return words["behavior"] == "Removed" and words["invert"] and apart and not any(set(m.group()) & set(" \t\n\x0b\x0c\r") for p in probes for m in pattern.finditer(p))
+
+
+def folds_case(spec: dict) -> bool:
+    return any(s["type"] == "Lowercase" or s["type"] == "BertNormalizer" and s.get("lowercase") for s in _steps(spec.get("normalizer")))
+
+
 class Pieces:
     """What the library gives for each piece: by default its number of tokens."""
 
     def __init__(self, path: str, give=len, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.give, self.whole, self.known = load(path), give, whole, {}
+        self.tokenizer, self.give, self.known = load(path), give, {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.whole, self.folds = whole or not drops_space(spec), folds_case(spec)
+        self.special = [t["content"].encode().lower() for t in spec.get("added_tokens", ())]
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def split(self, text: bytes) -> list[bytes]:
         if self.whole:
             return [text]
-        if b"<|" in text:
+        low = text.lower() if self.folds else text
+        if not self.folds or any(s in low for s in self.special):  # folded, a piece could become a special string
             return text.split()
         if text.isascii() or not MARKED.search(text):
-            return text.lower().split()
+            return low.split()
         return [p.lower() if p.isascii() else p for p in text.split()]
 
     def _learn(self, new: list[bytes]) -> None:

@@ -170,19 +170,27 @@ def test_marked_capitals_equal_the_library(spark):
     assert got(packing.pack(df), "doc_id", "length", "ids_crc32") == [(i, len(x) + 1, zlib.crc32(np.array([*x, 0], "<u4").tobytes())) for i, x in enumerate(ids)]
 
 
-def test_fingerprints(spark, docs, empty):
+@pytest.mark.parametrize("bucket", [2000, 1])
+def test_fingerprints_equal_brute_force(spark, monkeypatch, docs, empty, bucket):
     rows = [r for r in corpus() if r[0] is not None and r[0] != 2]
-    rows.sort(key=lambda r: -r[0])
-    want = {}
-    for i, (d, t) in enumerate(rows):
-        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
-        want[d] = sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest()
-    found = fingerprints.digest(docs.where("doc_id <> 2")).collect()
-    assert {r["doc_id"]: r["edited_sha256"] for r in found} == want
-    assert all(0 <= r[c] <= 1 for r in found for c in ("near_edited", "near_next"))
-    assert len({r["fingerprint"] for r in fingerprints.digest(docs).where("doc_id in (1, 2)").collect()}) == 1
+    rows += [(-70 + i, words(20, i) + " the of die " + words(9, i + 3)) for i in range(9)] + [(-90, "the of"), (-91, "the cat"), (-92, "cat"), (None, "no name")]
+    plain = fingerprints.with_next
+    monkeypatch.setattr(fingerprints, "with_next", lambda d: plain(d, bucket))
+    monkeypatch.setattr(fingerprints, "_COARSE", 4)
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, bucket string, place long").repartition(3)
+    assert got(fingerprints.digest(df)) == sorted(fingerprints.brute_force(rows), key=repr)
     assert got(fingerprints.digest(empty)) == []
-    assert fingerprints.digest(docs).count() == len(corpus())
+    found = fingerprints.digest(docs)
+    assert found.count() == len(corpus())
+    assert len({r["fingerprint"] for r in found.where("doc_id in (1, 2)").collect()}) == 1
+
+
+def test_fingerprints_of_rows_without_id(spark):
+    rows = [(None, words(12, i % 5)) for i in range(60)] + [(7, words(9, 1))]
+    pairs = [(r["n_chars"], r["edited_sha256"]) for r in fingerprints.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    cut = lambda t, u: sha256((t[: len(t) - len(t) // 3] + u[: len(t) // 3]).encode()).hexdigest()
+    every = {(len(t), cut(t, u)) for _, t in rows for _, u in rows}
+    assert len(pairs) == 61 and set(pairs) <= every
 
 
 def test_fingerprint_pairs_equal_brute_force(spark):
@@ -200,17 +208,58 @@ SECRETS = [
 ]
 
 
-def test_secret_spans_equal_brute_force(spark, empty):
-    rows = list(enumerate(SECRETS))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+def test_secret_spans_equal_brute_force(spark, monkeypatch, empty):
+    from keystrata.llm import rows as helpers
+
+    monkeypatch.setattr(helpers, "BROADCAST_KEYS", 0)
+    texts = [*SECRETS, SECRETS[0], SECRETS[0], "é" * 5000 + " token=abcdefgh" * 700 + " tail"]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"spans": F.lit(3), "_own": F.lit(1), "_wanted": F.lit(2)})
     found = secret_scan.digest(df)
     assert got(found, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(secret_scan.brute_force(rows), key=repr)
     assert got(secret_scan.digest(empty)) == []
     clean = secret_scan.redact(df)
+    assert clean.columns == df.columns and {r["spans"] for r in clean.collect()} == {3}
     assert secret_scan.digest(clean).agg(F.sum(F.col("n_assign") + F.col("n_access") + F.col("n_hex"))).first()[0] == 0
-    assert dict(got(clean))[6] is None and dict(got(clean))[4] == "ééé [secret]"
+    texts = {r["doc_id"]: r["text"] for r in clean.collect()}
+    assert texts[6] is None and texts[4] == "ééé [secret]" and texts[len(rows) - 1] == "é" * 5000 + " [secret]" * 700 + " tail"
     assert secret_scan.trigram_query("AKIA[A-Z0-9]{16,}") == ("and", ("aki", "kia"))
     assert secret_scan.trigram_query("[0-9a-f]{24,}") is None
+    with pytest.raises(ValueError):
+        secret_scan.scan(df)
+
+
+JWT = ".".join(("eyJ" + "a" * 12, "b" * 12, "c" * 12))
+
+
+def test_added_secrets(spark):
+    rows = ["ghp_" + "A1" * 20, "xoxb-" + "1" * 12, "AIza" + "x" * 35, f"{JWT} {JWT}x x{JWT}", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN CERTIFICATE-----"]
+    found = [r["spans"] for r in secret_scan.digest(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    n = len(JWT)
+    assert found == ["github:0:44", "slack:0:17", "google:0:39", f"jwt:0:{n},jwt:{n + 1}:{2 * n + 2}", "pem:0:31", ""]
+
+
+def test_texts_that_could_stop_a_job(spark):
+    import time
+
+    texts = ["eyJ" * 300_000, "the " * 250_000, "token " * 100_000, "0123456789abcdef01234567 " * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.time()
+    assert secret_scan.digest(df).agg(F.sum("n_hex")).first()[0] == 20_000
+    assert fingerprints.digest(df).count() == 4
+    assert time.time() - began < 90
+
+
+def test_vocabularies_that_merge_across_space_get_whole_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["  Two  spaces\nUPPER lower. x,", "", None, words(50, 2)]
+    library = token_counts.load(path)
+    want = [(i, len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in enumerate(texts)]
+    rows = list(enumerate(texts))
+    found = token_counts.token_counts(spark.createDataFrame([(*r, 5) for r in [*rows, *rows]], "doc_id long, text string, n_tokens long"), path)
+    assert got(found, "doc_id", "n_tokens") == sorted(2 * want, key=repr)
 
 
 def test_packing_round_trip(docs, empty):
@@ -254,6 +303,18 @@ def test_substrings_equal_brute_force(docs, empty, length, widths):
     assert got(substring_dedup.deduplicate(empty)) == []
 
 
+def test_substrings_beyond_a_broadcast_and_a_piece(docs, monkeypatch):
+    from keystrata.llm import rows as helpers
+
+    want = sorted(substring_dedup.brute_force(corpus()), key=repr)
+    monkeypatch.setattr(helpers, "BROADCAST_KEYS", 0)
+    assert got(substring_dedup.deduplicate(docs)) == want
+    data = np.frombuffer((words(900, 5) + "=" * 500 + words(900, 6)).encode(), np.uint8)
+    whole = substring_dedup.kept_suffixes(data)
+    monkeypatch.setattr(substring_dedup.B, "PIECE_BYTES", 700)
+    assert np.array_equal(substring_dedup.kept_suffixes(data), whole)
+
+
 def test_substrings_of_an_edited_text(spark):
     r = random.Random(11)
     base = "".join(r.choice("ab \n") for _ in range(3000))
@@ -266,13 +327,17 @@ def test_substrings_of_an_edited_text(spark):
 
 
 def test_url_filter_equals_sql(spark):
-    assert spark_rows(url_filter.judge(spark.read.parquet(f"{SF}/pages.parquet"))) == duck_rows(url_filter.ORACLE_SQL, SF)
     odd = [(1, None), (2, ""), (3, "no scheme"), (4, "HTTP://A.Net?x://y"), (5, "x://example.com/de"), (6, "x://www.Example.COM/de/a#b"), (7, "x://fooexample.com/de/"), (8, "x://m.example.net/en/?q"), (8, "x://m.example.net/en/?q"), (9, "x://org/fr/é")]
     pages = spark.createDataFrame(odd, "page_id long, url string")
     rows = got(url_filter.judge(pages), "page_id", "host", "path", "rule")
     assert rows == [(1, "", "", None), (2, "", "", None), (3, "", "", None), (4, "a.net", "", None), (5, "example.com", "/de", None), (6, "www.example.com", "/de/a", "example.com/de/"), (7, "fooexample.com", "/de/", None), (8, "m.example.net", "/en/", "example.net/en/"), (8, "m.example.net", "/en/", "example.net/en/"), (9, "org", "/fr/é", "org/fr/")]
     many = url_filter.RULES + tuple((f"h{i}.example", "/", "block") for i in range(300))
     assert got(url_filter.judge(pages, many), "page_id", "host", "path", "rule") == rows
+    assert got(url_filter.judge(pages, few=0)) == got(url_filter.judge(pages.withColumns({"salt": F.lit(1), "host": F.lit(2), "shut": F.lit(3)})))
+    few = spark.createDataFrame([(i, f"x://{'a' if i < 3 else 'b'}.site.net2/p{i}") for i in range(40)], "page_id long, url string")
+    bad = (("a.site.net2", "/", "block"),)
+    shut = {r["host"]: r["verdict"] for r in url_filter.judge(few, bad).collect()}
+    assert shut["a.site.net2"] == "block"
     assert got(url_filter.judge(pages.limit(0))) == []
 
 
@@ -288,6 +353,125 @@ def test_quality_on_held_out_rows(spark, empty, docs):
     assert quality.keep(docs, model).columns == docs.columns
 
 
+def _enumerated(z, row, w, move, good):
+    """Objective and marginals of the field by summing over all labellings."""
+    from itertools import product
+
+    total, p, docs = 0.0, np.zeros(len(row)), np.unique(row)
+    for d in docs:
+        own = np.flatnonzero(row == d)
+        logit = z[own] @ w
+        sums = {y: float(logit @ np.array(y)) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False)) for y in product((0, 1), repeat=len(own))}
+        whole = np.log(sum(np.exp(v) for v in sums.values()))
+        for y, v in sums.items():
+            p[own] += np.exp(v - whole) * np.array(y)
+        total -= (sums[tuple(good[own].astype(int))] - whole) / len(own) / len(docs)
+    return total, p
+
+
+@pytest.mark.parametrize("most", [None, 1, 3])
+def test_field_marginals_and_gradient(most):
+    r = np.random.default_rng(1)
+    row = np.repeat([0, 1, 2, 3], [1, 7, 4, 9])
+    z, w, move, good = r.normal(size=(21, 3)), r.normal(size=3), r.normal(size=(2, 2)), (r.random(21) < 0.5).astype(float)
+    chain = quality.Chain(row, most)
+    value, p = _enumerated(z, row, w, move, good)
+    assert np.allclose(chain.marginals(z @ w, move)[0], p)
+    gw, gm = quality.gradient(z, chain, good, w, move)
+    step = 1e-6
+    for k in range(3):
+        more = w + step * (np.arange(3) == k)
+        assert abs((_enumerated(z, row, more, move, good)[0] - value) / step - gw[k]) < 1e-4
+    for k in np.ndindex(2, 2):
+        more = move.copy()
+        more[k] += step
+        assert abs((_enumerated(z, row, w, more, good)[0] - value) / step - gm[k]) < 1e-4
+
+
+def test_line_scores_of_groups_equal_whole_features(monkeypatch):
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    model = quality.Field.__new__(quality.Field)
+    model.w, model.move = r.normal(size=quality.FEATURES) / 9, r.normal(size=(2, 2))
+    model.mean, model.scale = r.normal(size=quality.FEATURES), np.full(quality.FEATURES, 2.0)
+    model.mean[-1], model.scale[-1] = 0, 1
+    data, offsets = quality.B.flat(pa.array(["one\ntwo three\n\nfour", "", None, "xé " * 3000, "ab\nabc\nab\n" * 50]))
+    _, row, groups = quality.line_groups(data, offsets)
+    x = np.concatenate([g for _, _, g in groups])
+    want = quality.Chain(row).marginals(((quality.with_neighbours(x, row) - model.mean) / model.scale) @ model.w, model.move)[0]
+    monkeypatch.setattr(quality, "GROUP_BYTES", 64)
+    monkeypatch.setattr(quality, "GROUP_LINES", 5)
+    _, row, groups = quality.line_groups(data, offsets)
+    again = list(groups)
+    assert np.allclose(np.concatenate([g for _, _, g in again]), x, atol=1e-6)
+    assert np.allclose(model.line_scores(len(row), row, again), want, atol=1e-4)
+
+
+def test_support_vectors_reach_the_dual_optimum():
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 5)), np.where(r.random(60) < 0.4, 1, -1)
+    x[:, 0] += 0.8 * y
+    w = language_id.svm(x, y, c=0.5, rounds=3000)
+    cost = np.where(y > 0, 60 / (2 * (y > 0).sum()), 60 / (2 * (y < 0).sum())) * 0.5
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert all(primal(w) <= primal(w + d) + 1e-6 for d in 0.01 * r.normal(size=(200, 5)))
+    a, b = language_id.slope(x @ w, y)
+    t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    assert abs((1 / (1 + np.exp(-(a * (x @ w) + b))) - t).sum()) < 1e-3
+
+
+def test_long_and_short_texts_have_the_same_features(monkeypatch):
+    import pyarrow as pa
+
+    data, offsets = quality.B.flat(pa.array([words(900, 3)]))
+    spans = quality.B.word_spans(data, offsets, quality.B.SPACED)[:2]
+    wide, hashes = language_id.features(data, offsets), quality.B.span_hashes(data, *spans)
+    one = quality.B.span_hashes(data, np.array([0]), np.array([len(data)]))
+    monkeypatch.setattr(quality.B, "PIECE_BYTES", 100)
+    assert np.allclose(language_id.features(data, offsets), wide)
+    assert np.array_equal(quality.B.span_hashes(data, *spans), hashes)
+    assert np.array_equal(quality.B.span_hashes(data, np.array([0]), np.array([len(data)])), one)
+
+
+def test_language_and_quality_of_awkward_rows(spark, docs):
+    wide = docs.withColumns({"x": F.lit(1), "lang_pred": F.lit("q"), "score": F.lit(2)}).unionByName(docs.withColumns({"x": F.lit(1), "lang_pred": F.lit("q"), "score": F.lit(2)}))
+    model = language_id.fit(docs.withColumn("lang", F.when(F.col("doc_id") > 5, "en").otherwise("de")))
+    assert language_id.predict(wide, model).count() == quality.score(wide, 0.5).count() == 2 * len(corpus())
+
+
+def test_sample_is_bounded_and_the_same(spark):
+    from keystrata.llm.rows import bounded_sample
+
+    rows = spark.range(20_000).selectExpr("id as doc_id", "if(id % 10 = 0, 'a', 'b') as label", "1 as _name").unionByName(spark.range(50).selectExpr("7L as doc_id", "'c' as label", "1 as _name"))
+    one = bounded_sample(rows, "label", 500, F.xxhash64("doc_id"))
+    n = {r["label"]: r["count"] for r in one.groupBy("label").count().collect()}
+    assert 380 < n["a"] < 620 and 380 < n["b"] < 620 and n["c"] == 1
+    assert got(one) == got(bounded_sample(rows.repartition(7), "label", 500, F.xxhash64("doc_id")))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from keystrata.llm import scratch
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(ValueError):
+        scratch.shared_folder(type("Session", (), {"conf": Conf(), "sparkContext": Context()})())
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(spark, name):
+    assert spark_rows(queries.QUERIES[name](spark, SF)) == duck_rows(queries.ORACLE_SQL[name], SF)
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(130)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7)]
@@ -320,3 +504,32 @@ def test_pipeline_stages(spark):
                 assert all(a == c for a, _, c in ngram_join.brute_force(rows, 5, 80, 100))
         seen.append(docs.count())
     assert seen[0] > seen[1] > seen[2] >= seen[3] == seen[4] > 0
+
+
+def test_pipeline_stages_equal_brute_force_on_awkward_rows(spark):
+    """The four stages after the classifier, one after the other, against plain loops."""
+    import re
+    import zlib
+
+    import corpus_pipeline as p
+
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    passage = bench[0][1]
+    rows = [*((d, t) for d, t in corpus() if d != 2), (30, passage), (31, words(50, 9) + " " + passage), (32, "key: password = hunter2222 " + words(30, 8)), (33, "AKIA" + "B" * 20), (34, words(9, 2) + " \ud83d\ude00 token=" + "a" * 300 + " x".encode("utf-8").decode())]
+    rows = [(d, t.encode("utf-16", "surrogatepass").decode("utf-16") if t else t) for d, t in rows]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t) if t else 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    found = docs
+    for name, stage in p.STAGES[1:]:
+        found = Scratch(spark, "t").save(stage(spark, found, SF), name)
+    least = ngram_join.brute_force([(d if d is not None else 10**9, t) for d, t in rows], 5, 80, 100)
+    kept = [r for r, (d, n, c) in zip(rows, least, strict=True) if not n or c == d]
+    kept = [r for r, x in zip(kept, decontamination.brute_force(kept, bench), strict=True) if not x[-1]]
+    library, want = token_counts.load(token_counts.default_path()), []
+    for d, t in kept:
+        spans = sorted(m.span() for rule in secret_scan.RULES for m in re.finditer(rule.pattern, t or "") if len(m[rule.group]) >= rule.least)
+        out, at = "", 0
+        for s, e in spans:
+            out, at = out + (t[at:s] + "[secret]" if s >= at else ""), max(at, e)
+        ids = [*library.encode(out + (t or "")[at:], add_special_tokens=False).ids, 0]
+        want += [(d, k, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
+    assert got(found, "doc_id", "piece", "length", "ids_crc32") == sorted(want, key=repr)
