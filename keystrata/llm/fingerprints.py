@@ -52,6 +52,15 @@ def signatures(text: Column) -> Column:
     return let(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _WORD, " ")), of)
 
 
+def packed(signs: Column) -> Column:
+    """A set of signatures as bytes, four each, for a shuffle."""
+    return F.unhex(F.array_join(signs, ""))
+
+
+def unpacked(own: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.hex(own)), F.lit(".{8}"), F.lit(0))
+
+
 def fingerprint(signs: Column) -> Column:
     """A set of signatures as one string."""
     return F.array_join(signs, ".")
@@ -92,11 +101,11 @@ def with_next(docs: DataFrame, bucket_rows: int = 2000) -> DataFrame:
     above = F.coalesce(F.lag("bucket").over(order), F.min("bucket").over(whole))  # the last sees the first of all
     heads = heads.select("place", above.alias("above"))
     to = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.when(F.col("above").isNotNull(), F.struct(F.col("above").alias("bucket"), F.lit(1).alias("guest")))))
-    signed = rows.withColumn("signs", signatures(F.col("text")))
+    signed = rows.withColumn("signs", packed(signatures(F.col("text"))))
     dealt = signed.join(F.broadcast(heads), "place", "left").withColumn("to", F.explode(to))
     by = Window.partitionBy("to.bucket").orderBy("to.guest", F.desc("place"), F.desc("text"))
     after = F.lead(F.struct("text", "signs")).over(by)
-    return dealt.select("doc_id", "text", "signs", "to.guest", after.alias("after")).where("guest = 0").select("doc_id", "text", "signs", F.col("after.text").alias("next"), F.col("after.signs").alias("next_signs"))
+    return dealt.select("doc_id", "text", "signs", "to.guest", after.alias("after")).where("guest = 0").select("doc_id", "text", unpacked(F.col("signs")).alias("signs"), F.col("after.text").alias("next"), unpacked(F.col("after.signs")).alias("next_signs"))
 
 
 def edited(text: Column, after: Column) -> Column:
