@@ -1,7 +1,7 @@
 """Secret scans by a trigram index: Boolean trigram queries select texts, regexes verify them.
 
 Each rule's regex is turned into a Boolean query over trigrams that any match must hold:
-runs of fixed characters give trigrams that are all needed, alternatives give an "or",
+runs of fixed characters give trigrams that cover them and are all needed, alternatives give an "or",
 optional and repeated parts give nothing. The inverted index is a table of postings
 (trigram, text), written to the shared folder; texts go by a hash, so a text with many copies
 is one entry. Intersecting the postings text by text answers the queries, and texts that
@@ -67,7 +67,8 @@ def trigram_query(pattern: str):
 
         def flush():
             nonlocal run
-            parts.extend(run[i : i + 3] for i in range(len(run) - 2))
+            parts.extend(run[i : i + 3] for i in range(0, len(run) - 2, 3))
+            parts.extend([run[-3:]] * (len(run) > 3))
             run = ""
 
         for op, arg in items:
