@@ -55,6 +55,17 @@ def judged_range(spec: Column, fixed: Column) -> Column:
     return F.when(spec.isNotNull() & fixed.isNotNull() & F.forall(branches, lambda b: F.rlike(b, F.lit(_BRANCH))), verdict)
 
 
+def pinned(ecosystem: Column, version: Column) -> Column:
+    """The one version that a declaration names, or null; a bare version of a crate stands for a range."""
+    exact = F.regexp_extract(version, r"^\s*(={0,3})\s*[vV]?(\d+(?:\.\d+)*(?:[-+][0-9A-Za-z.+-]+)?)\s*$", 2)
+    return F.when((exact != "") & ((ecosystem != "crates") | F.startswith(F.trim(version), F.lit("="))), exact)
+
+
+def constraint(ecosystem: Column, version: Column) -> Column:
+    """The range that a declaration means: a bare version of a crate is a caret range."""
+    return F.when((ecosystem == "crates") & version.rlike(r"^\s*\d"), F.concat(F.lit("^"), F.trim(version))).otherwise(version)
+
+
 def registry(spark: SparkSession) -> DataFrame:
     rows = [(e, n, s, p, f) for e, n, s, p, f in dims.REGISTRY]
     return spark.createDataFrame(rows, "ecosystem string, canon string, severity string, pq_status string, fixed_in string")
@@ -64,7 +75,7 @@ def match_deps(declared: DataFrame) -> DataFrame:
     """Declared packages that the registry knows, once for each manifest, name and version, assessed against the fixed version."""
     known = F.broadcast(registry(declared.sparkSession))
     rows = declared.withColumn("canon", canonical_name(F.col("ecosystem"), F.col("name"))).join(known, ["ecosystem", "canon"])
-    verdict = judged_range(F.col("version"), version_parts(F.col("fixed_in")))
+    verdict = judged_range(constraint(F.col("ecosystem"), F.col("version")), version_parts(F.col("fixed_in")))
     done = verdict == "at-or-above"
     return rows.select(
         "target", F.concat(F.lit("deps/"), "ecosystem", F.lit("-"), "canon").alias("rule_id"), F.format_string("%s:%s@%s", "manifest", "name", "version").alias("evidence"),
@@ -75,7 +86,7 @@ def match_deps(declared: DataFrame) -> DataFrame:
 
 def advisories(declared: DataFrame, known: DataFrame, shown: int = 5) -> DataFrame:
     """Exact pins with the first advisory ids of their version."""
-    pins = declared.where(F.col("version").rlike(r"^\d")).select("target", "ecosystem", "name", "version").distinct()
+    pins = declared.where(pinned(F.col("ecosystem"), F.col("version")).isNotNull()).select("target", "ecosystem", "name", "version").distinct()
     ids = known.groupBy("ecosystem", "name", "version").agg(F.array_join(F.slice(F.array_sort(F.collect_set("id")), 1, shown), ",").alias("ids"))
     return pins.join(ids, ["ecosystem", "name", "version"])
 
@@ -94,7 +105,7 @@ def tls_kex(shakes: DataFrame) -> DataFrame:
     curve = F.when(F.col("grp").isin("prime256v1", "secp256r1"), "P-256").when(F.col("grp") == "secp384r1", "P-384").when(F.col("grp") == "secp521r1", "P-521").otherwise(F.col("grp"))
     field = lambda name: F.concat_ws("-", F.lit(name), F.col("bits").cast("string"))
     label = (
-        F.when(~modern & F.col("cipher").rlike("(?i)^(?:AES|ARIA|CAMELLIA|DES|IDEA|NULL|RC2|RC4|SEED)"), "static-RSA-key-exchange")
+        F.when(~modern & F.exists(F.array(*map(F.lit, dims.STATIC_RSA_CIPHERS)), lambda p: F.startswith(F.upper("cipher"), p)), "static-RSA-key-exchange")
         .when(~modern & F.col("cipher").rlike("^(?:DHE|EDH)-"), field("DHE"))
         .when(F.col("grp").isNotNull() & ~pq, F.concat(F.lit("ECDHE-"), curve))
         .when(~modern & F.col("cipher").rlike("^(?:ECDHE|EECDH)-"), "ECDHE")
@@ -150,6 +161,51 @@ def address_policy(addresses: DataFrame) -> DataFrame:
     return addresses.withColumn("value", value).withColumn("allowed", ~blocked)
 
 
+def signature_posture(label: Column) -> Column:
+    """Struct of severity and pq_status of a certificate's signature algorithm."""
+    low = F.regexp_replace(F.lower(label), "[^a-z0-9]", "")
+    pair = lambda severity, pq: F.struct(F.lit(severity).alias("severity"), F.lit(pq).alias("pq_status"))
+    pq = F.exists(F.array(*map(F.lit, ("mldsa", "slhdsa", "hsslms", "xmss"))), lambda p: F.contains(low, p))
+    known = F.exists(F.array(*map(F.lit, ("rsa", "dsa", "ecdsa", "ed25519", "ed448"))), lambda p: F.contains(low, p))
+    return F.when(pq, pair("info", "safe")).when(~F.coalesce(known, F.lit(False)), pair("medium", "unknown")).when(F.rlike(low, F.lit("md[245]")), pair("critical", "vulnerable")).when(F.rlike(low, F.lit("sha1(?![0-9])")), pair("high", "vulnerable")).otherwise(pair("medium", "vulnerable"))
+
+
+def tls_leaf_keys(certs: DataFrame) -> DataFrame:
+    """The leaf's key of each endpoint: label, severity, pq_status and the years after which it is deprecated and disallowed."""
+    rows = key_posture(certs.where("chain_pos = 1"))
+    size = F.coalesce(F.col("key_bits").cast("string"), F.col("curve"))
+    classical = F.col("pq_status") == "vulnerable"
+    short = F.when(F.col("key_type").isin("rsa", "rsa-pss", "dsa"), F.col("key_bits") < 3072).otherwise(F.col("weak"))
+    return rows.select("host", "port", F.concat_ws("-", F.upper("key_type"), size).alias("label"), "severity", "pq_status", F.when(classical & F.coalesce(short, F.lit(False)), 2030).alias("deprecated"), F.when(classical, 2035).alias("disallowed"))
+
+
+def tls_signatures(certs: DataFrame) -> DataFrame:
+    """Signatures below the root: all of leaves, and of intermediates those that are unknown, weak or broken."""
+    rows = certs.where("chain_pos = 1 or not self_signed").withColumn("posture", signature_posture(F.col("signature_algorithm")))
+    told = (F.col("chain_pos") == 1) | (F.col("posture.pq_status") == "unknown") | F.col("posture.severity").isin("critical", "high")
+    return rows.where(told).select("host", "port", "chain_pos", "signature_algorithm", "posture.severity", "posture.pq_status")
+
+
+def tls_without_leaf(shakes: DataFrame, certs: DataFrame) -> DataFrame:
+    """Endpoints that shook hands and showed no leaf certificate."""
+    return shakes.select("host", "port", "protocol").join(certs.where("chain_pos = 1").select("host", "port"), ["host", "port"], "left_anti")
+
+
+def repositories(targets: DataFrame) -> DataFrame:
+    """owner and repo of each target that names a repository, in any of its spellings, with its canonical url."""
+    t = F.trim("raw")
+    owner = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})"
+    forms = rf"^(?:https?://(?:www\.)?github\.com/|git@github\.com:|ssh://git@github\.com/)?({owner})/([A-Za-z0-9._-]{{1,100}}?)(?:\.git)?/?$"
+    rows = targets.withColumns({"owner": F.regexp_extract(t, forms, 1), "repo": F.regexp_extract(t, forms, 2)})
+    return rows.where((F.col("owner") != "") & ~F.col("repo").isin(".", "..")).select("raw", "owner", "repo", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "repo", F.lit(".git")).alias("url"))
+
+
+def numeric_hosts(hosts: DataFrame) -> DataFrame:
+    """Whether a host's last label is a decimal or hexadecimal number, as in an address written unusually; such hosts are refused."""
+    last = F.element_at(F.split(F.regexp_replace("host", r"\.$", ""), r"\."), -1)
+    return hosts.withColumn("refused", F.rlike(F.lower(last), F.lit("^(?:[0-9]+|0x[0-9a-f]*)$")))
+
+
 def classify_targets(targets: DataFrame) -> DataFrame:
     """Kind of each scan target, the first that fits: path, github, remote, host; else invalid."""
     t = F.trim("raw")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import dims
+from keystrata.functions import dims, vocabulary
+from keystrata.functions.vocabulary import cnsa2_standing
 
 
 def rank_of(values, column: str) -> Column:
@@ -19,16 +20,6 @@ def rank_of(values, column: str) -> Column:
     return out
 
 
-def cnsa2_standing(label: Column) -> Column:
-    return F.when(F.rlike(label, F.lit(dims.CNSA2_ALGORITHM)), True).when(F.rlike(label, F.lit(dims.PUBLIC_KEY_ALGORITHM)), False)
-
-
-def _weak_label(label: Column) -> Column:
-    whole = F.regexp_extract(label, r"(?i)^(?:rsa|rsa-pss|dsa|dhe?|ffdhe)-(\d+)$", 1)
-    curve = F.regexp_extract(label, r"(?i)^(?:ecdsa|ecdhe?)-(?:p-|prime|secp|sect|brainpoolp)?(\d+)", 1)
-    return F.when(whole != "", F.try_to_number(whole, F.lit("9999999999")) < 2048).when(curve != "", F.try_to_number(curve, F.lit("9999999999")) < 224).otherwise(False)
-
-
 def with_threats(findings: DataFrame) -> DataFrame:
     """Adds uses (array), reason (classical break) and threats (array in order of urgency)."""
     usage = F.when(F.col("usage") != "", F.split("usage", ","))
@@ -36,10 +27,8 @@ def with_threats(findings: DataFrame) -> DataFrame:
         usage = F.coalesce(usage, F.when(F.col("rule_id") == rule, F.array(*map(F.lit, uses))))
     usage = F.coalesce(usage, F.when(F.col("rule_id").rlike("^keys/(?:[a-z0-9-]*-)?private-key"), F.array(F.lit("secret-material"))), F.when(F.startswith("rule_id", F.lit("jwt/")), F.array(F.lit("authentication"))), F.array().cast("array<string>"))
     rows = findings.withColumn("uses", usage)
-    broken = F.lit(None).cast("string")
-    for reason, pattern in reversed(dims.BROKEN):
-        broken = F.when(F.col("algorithm").rlike(pattern), reason).otherwise(broken)
-    weak = F.when(_weak_label(F.col("algorithm")), "below minimum strength")
+    label = F.col("algorithm")
+    broken, weak = vocabulary.broken(label), F.when(vocabulary.below_strength(label), "below minimum strength")
     reason = F.coalesce(F.when(F.array_contains("uses", "secret-material"), "secret material"), F.col("classical_break"), F.when(F.col("pq_status") == "vulnerable", F.coalesce(broken, weak)))
     rows = rows.withColumn("reason", reason)
     harvest = F.arrays_overlap("uses", F.array(*map(F.lit, dims.HARVEST)))

@@ -1,59 +1,17 @@
-"""Pattern-match jobs over files: offsets and line numbers from built-in regex functions.
+"""Call sites in files: offsets and line numbers from built-in regex functions, then joins to tables.
 
-A file's text is scanned once for each matcher whose gate it passes; matches of a pattern,
-and the parts between them, give offsets and lines as running sums. All of it is narrow.
+A file's text, its comments blanked, is scanned once by the pattern of its language; the
+matches and the parts between them give offsets and lines as running sums. Sites are joined
+to the tables of calls, literals and rules, which are small and fixed. All of it is narrow.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import dims
-
-
-@dataclass(frozen=True)
-class Matcher:
-    rule: str
-    language: str
-    pattern: str
-    gate: str = ""
-    #: Group that holds the algorithm's name; without one, ``algorithm`` is its name.
-    group: int = 0
-    algorithm: str = ""
-    #: The captured name has to be one of these, in small letters.
-    only: tuple[str, ...] = ()
-
-
-_Q = "[\"'`]"
-_WEAK_HASHES, _WEAK_CIPHERS = ("md5", "sha1", "sha-1", "md4"), ("des", "des-ede3-cbc", "des-cbc", "rc4", "rc2")
-_GET = r'\b{0}\s{{0,32}}\.\s{{0,32}}getInstance\s{{0,32}}\(\s{{0,32}}"([^"\\\r\n]{{1,64}})"'
-
-# Patterns of calls, by language.
-MATCHERS = (
-    Matcher("source/node-crypto/weak-hash", "javascript", rf"\b(?:createHash|crypto\s{{0,8}}\.\s{{0,8}}hash)\s{{0,16}}\(\s{{0,16}}{_Q}([\w-]{{1,32}}){_Q}", group=1, only=_WEAK_HASHES),
-    Matcher("source/node-crypto/weak-cipher", "javascript", rf"\bcreate(?:Cipher|Decipher)(?:iv)?\s{{0,16}}\(\s{{0,16}}{_Q}([\w-]{{1,64}}){_Q}", group=1, only=_WEAK_CIPHERS),
-    Matcher("source/node-crypto/keygen", "javascript", rf"\bgenerateKeyPair(?:Sync)?\s{{0,16}}\(\s{{0,16}}{_Q}([\w-]{{1,24}}){_Q}", group=1),
-    Matcher("source/node-crypto/signature", "javascript", rf"\b(?:createSign|createVerify)\s{{0,16}}\(\s{{0,16}}{_Q}([\w-]{{1,48}}){_Q}", group=1),
-    Matcher("source/node-crypto/ecdh", "javascript", rf"\bcreateECDH\s{{0,16}}\(\s{{0,16}}{_Q}([\w-]{{1,32}}){_Q}", group=1),
-    Matcher("source/node-crypto/rsa-encryption", "javascript", r"\b(publicEncrypt|privateDecrypt)\s{0,16}\(", algorithm="RSA"),
-    Matcher("source/python-cryptography/keygen-rsa", "python", r"\brsa\s{0,8}\.\s{0,8}generate_private_key\s{0,8}\(", r"\bcryptography\b", algorithm="RSA"),
-    Matcher("source/python-cryptography/keygen-ec", "python", r"\bec\s{0,8}\.\s{0,8}generate_private_key\s{0,8}\(", r"\bcryptography\b", algorithm="EC"),
-    Matcher("source/python-cryptography/ecdh", "python", r"\bec\s{0,8}\.\s{0,8}ECDH\s{0,8}\(", r"\bcryptography\b", algorithm="ECDH"),
-    Matcher("source/python-hashlib/weak-hash", "python", r"\bhashlib\s{0,8}\.\s{0,8}(md5|sha1)\s{0,8}\(", group=1),
-    Matcher("source/python-hashlib/weak-hash", "python", r"""\bhashlib\s{0,8}\.\s{0,8}new\s{0,8}\(\s{0,8}["']([\w-]{1,16})["']""", group=1, only=_WEAK_HASHES),
-    Matcher("source/pycryptodome/weak-cipher", "python", r"\b(DES3|DES|ARC4|ARC2)\s{0,8}\.\s{0,8}new\s{0,8}\(", r"\b(?:Crypto|Cryptodome)\s{0,4}\.", group=1),
-    Matcher("source/go/keygen-rsa", "go", r"\brsa\s{0,4}\.\s{0,4}(?:GenerateKey|GenerateMultiPrimeKey)\s{0,4}\(", '"crypto/rsa"', algorithm="RSA"),
-    Matcher("source/go/ecdsa", "go", r"\becdsa\s{0,4}\.\s{0,4}(?:Sign|SignASN1|Verify|VerifyASN1)\s{0,4}\(", '"crypto/ecdsa"', algorithm="ECDSA"),
-    Matcher("source/go/weak-hash", "go", r"\bmd5\s{0,4}\.\s{0,4}(?:New|Sum)\s{0,4}\(", '"crypto/md5"', algorithm="MD5"),
-    Matcher("source/go/weak-hash", "go", r"\bsha1\s{0,4}\.\s{0,4}(?:New|Sum)\s{0,4}\(", '"crypto/sha1"', algorithm="SHA-1"),
-    Matcher("source/java/keygen", "java", _GET.format("KeyPairGenerator"), group=1),
-    Matcher("source/java/signature", "java", _GET.format("Signature"), group=1),
-    Matcher("source/java/weak-hash", "java", _GET.format("MessageDigest"), group=1, only=_WEAK_HASHES),
-    Matcher("source/java/weak-cipher", "java", _GET.format("Cipher"), group=1, only=_WEAK_CIPHERS),
-)
+from keystrata.functions import calls, dims
+from keystrata.functions.arrays import let, running_totals
 
 
 def language(path: Column) -> Column:
@@ -86,42 +44,88 @@ def file_classes(files: DataFrame, most_bytes: int = 2_000_000) -> DataFrame:
     return files.select("target", "path", language(F.col("path")).alias("language"), path_context(F.col("path")).alias("context"), (F.octet_length("content") > most_bytes).alias("too_large"), binary.alias("is_binary"))
 
 
-_NO_HITS = "cast(array() as array<struct<rule:string,algorithm:string,at:int,line:int>>)"
-
-
 def _breaks(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
-def _hits(m: Matcher) -> Column:
-    """Array of a matcher's hits in ``content``, with offset from 0 and line from 1."""
-    whole = F.regexp_extract_all("content", F.lit(m.pattern), F.lit(0))
-    names = F.regexp_extract_all("content", F.lit(m.pattern), F.lit(m.group))
-    parts = F.slice(F.split("content", m.pattern, -1), F.lit(1), F.size(whole))
-
-    def add(state, x):
-        at, line = state["at"] + F.length(x["p"]), state["line"] + _breaks(x["p"])
-        name = x["a"] if m.group else F.lit(m.algorithm)
-        hit = F.struct(F.lit(m.rule).alias("rule"), name.alias("algorithm"), at.alias("at"), line.alias("line"))
-        return F.struct((at + F.length(x["m"])).alias("at"), (line + _breaks(x["m"])).alias("line"), F.array_append(state["hits"], hit).alias("hits"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit(1).alias("line"), F.expr(_NO_HITS).alias("hits"))
-    hits = F.aggregate(F.arrays_zip(whole.alias("m"), parts.alias("p"), names.alias("a")), start, add)["hits"]
-    return F.filter(hits, lambda h: F.lower(h["algorithm"]).isin(*m.only)) if m.only else hits
-
-
-def match(files: DataFrame, languages: tuple[str, ...], matchers=MATCHERS) -> DataFrame:
-    """(target, path, rule, algorithm, at, line): every match; "other" text files, if asked for, get the JavaScript matchers."""
-    rows = kept(files).withColumn("language", language(F.col("path"))).where(F.col("language").isin(*languages))
-    found = []
-    for m in matchers:
-        read = (m.language, "other") if m.language == "javascript" else (m.language,)
-        if set(read) & set(languages):
-            gate = F.col("language").isin(*read)
-            if m.gate:
-                gate &= F.col("content").rlike(m.gate)
-            found.append(F.when(gate & F.col("content").rlike(m.pattern), _hits(m)).otherwise(F.expr(_NO_HITS)))
-    return rows.select("target", "path", F.inline(F.concat(*found)))
+# Strings (kept) or comments (blanked) of a language. What is not closed ends with its line, or with the text, so a
+# token takes all that was read for it and no text is read twice.
+_TEXTS = "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+){{0,2000}}+{q}?+" for q in "\"'")
+_C_COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
+_TOKENS = {
+    "python": "|".join(rf"{q}(?s:.*?)(?:{q}|\z)" for q in ('"' * 3, "'" * 3)) + rf"|{_TEXTS}|#[^\n]*+",
+    "go": rf"`[^`]*+`?+|{_TEXTS}|{_C_COMMENT}",
+    "other": rf"{_TEXTS}|{_C_COMMENT}",
+}
+
+
+def without_comments(text: Column, kind: str) -> Column:
+    """The text with every character of a comment but its line breaks a space; strings stay, and so do offsets."""
+    pattern = _TOKENS[kind]
+
+    def glued(tokens):
+        blank = lambda t: F.when(F.substring(t, 1, 2).isin("//", "/*") | F.startswith(t, F.lit("#")), F.regexp_replace(t, r"[^\n]", " ")).otherwise(t)
+        return F.array_join(F.zip_with(F.split(text, pattern, -1), tokens, lambda p, t: F.concat(p, F.coalesce(blank(t), F.lit("")))), "")
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), glued)
+
+
+def strip_comments(files: DataFrame) -> DataFrame:
+    """``files`` with the comments of Python, Go, JVM and JavaScript files blanked; other text stays."""
+    kind, own = language(F.col("path")), F.col("content")
+    text = F.when(kind == "python", without_comments(own, "python")).when(kind == "go", without_comments(own, "go"))
+    return files.withColumn("content", text.when(kind.isin("java", "javascript"), without_comments(own, "other")).otherwise(own))
+
+
+def call_sites(files: DataFrame, kind: str) -> DataFrame:
+    """``files`` by call site: callee, literal (or ""), after (up to 256 characters behind it), at and line."""
+    pattern, text = calls.call_pattern(kind), F.col("content")
+
+    def placed(found):
+        parts = F.split(text, pattern, -1)
+        between = F.slice(parts, F.lit(1), F.size(found))
+        sizes = lambda own: F.zip_with(between, found, lambda b, m: own(b) + own(m))
+        rows = F.arrays_zip(
+            between.alias("b"), F.slice(parts, F.lit(2), F.size(found)).alias("after"), running_totals(sizes(F.length)).alias("at"), running_totals(sizes(_breaks)).alias("line"),
+            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("callee"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("literal"),
+        )
+        site = lambda x: F.struct(F.regexp_replace(x["callee"], r"\s", "").alias("callee"), x["literal"].alias("literal"), F.substring(x["after"], 1, 256).alias("after"), (x["at"] + F.length(x["b"])).alias("at"), (x["line"] + _breaks(x["b"]) + 1).alias("line"))
+        return F.transform(rows, site)
+
+    return files.where(text.rlike(pattern)).select("target", "path", "content", F.inline(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)))
+
+
+def _dimension(df: DataFrame, rows, schema: str) -> DataFrame:
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
+def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """(target, path, rule, algorithm, after, at, line): every use; "other" text files, if asked for, are read as JavaScript, their text as it is."""
+    rows = strip_comments(kept(files)).withColumn("language", language(F.col("path")))
+    found = None
+    for kind in ("javascript", "python", "go", "java"):
+        read = [n for n in languages if n == kind or n == "other" and kind == "javascript"]
+        if read:
+            sites = call_sites(rows.where(F.col("language").isin(*read)), kind).withColumn("language", F.lit(kind))
+            found = sites if found is None else found.unionByName(sites)
+    known = _dimension(files, calls.calls(), "language string, callee string, gate string, rule string, algorithm string, table string")
+    named = _dimension(files, calls.literals(), "table string, name string, named_rule string, named_algorithm string")
+    own = found.join(known, ["language", "callee"]).where((F.col("gate") == "") | F.contains("content", F.col("gate"))).withColumn("name", F.lower(F.split("literal", "/")[0]))
+    told = own.join(named, ["table", "name"], "left").where((F.col("table") == "") | F.col("named_rule").isNotNull())
+    return told.select("target", "path", F.coalesce("named_rule", "rule").alias("rule"), F.coalesce("named_algorithm", "algorithm").alias("algorithm"), "after", "at", "line")
+
+
+def assessed(hits: DataFrame) -> DataFrame:
+    """Hits once each, with what their rule says and what the key's size makes worse: bits, severity, pq_status, usage and reason."""
+    rules = _dimension(hits, calls.rules(), "rule string, severity string, pq_status string, usage string")
+    inside = F.regexp_extract("after", r"^[^;)]*+", 0)
+    said = F.regexp_extract(inside, r"(?i)(?:key_?size|modulusLength|bits)\W{1,4}(\d{3,5})\b", 1)
+    plain = F.get(F.filter(F.reverse(F.regexp_extract_all(inside, F.lit(r"\b(\d{3,5})\b"), F.lit(1))), lambda n: n != "65537"), F.lit(0))
+    bits = F.when(F.col("rule").rlike("/(?:keygen-(?:rsa|dsa)|dh|dsa)$"), F.coalesce(F.nullif(said, F.lit("")), plain).cast("int"))
+    rows = hits.dropDuplicates(["target", "path", "at", "rule", "algorithm"]).join(rules, "rule").withColumn("bits", bits)
+    worse = F.when(F.col("bits") < 1024, "critical").when(F.col("bits") < 2048, "high")
+    reason = F.when(F.col("bits") < 2048, F.format_string("a key of %d bits is below 2048", "bits"))
+    return rows.withColumns({"severity": F.coalesce(worse, "severity"), "reason": reason})
 
 
 def walk_order(files: DataFrame) -> DataFrame:

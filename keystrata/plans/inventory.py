@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import dims
-from keystrata.operators import estate, manifests, risk
+from keystrata.functions import calls, dims
+from keystrata.operators import estate, manifests, risk, source
 from keystrata.sources.fixtures import SQL, fixture
 from keystrata.streaming import arrivals
 
@@ -73,12 +73,12 @@ def extract_version(spark, sf_dir):
     return found.select("version", F.array_join(F.transform(parts, lambda p: p.cast("int").cast("string")), ".").alias("parts"))
 
 
-@query("SELECT DISTINCT ecosystem, name, version, concat('pkg:', CASE ecosystem WHEN 'crates' THEN 'cargo' ELSE ecosystem END, '/', CASE ecosystem WHEN 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) ELSE name END, CASE WHEN version SIMILAR TO '[0-9].*' THEN concat('@', version) ELSE '' END) AS purl FROM declared", "declared")
+@query("SELECT DISTINCT ecosystem, name, version, concat('pkg:', CASE ecosystem WHEN 'crates' THEN 'cargo' ELSE ecosystem END, '/', CASE ecosystem WHEN 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) ELSE name END, CASE WHEN version SIMILAR TO '[0-9].*' AND ecosystem <> 'crates' THEN concat('@', version) ELSE '' END) AS purl FROM declared", "declared")
 def purl(spark, sf_dir):
     rows = fixture(spark, sf_dir, "declared").select("ecosystem", "name", "version").distinct()
     kind = F.when(F.col("ecosystem") == "crates", "cargo").otherwise(F.col("ecosystem"))
     name = F.when(F.col("ecosystem") == "pypi", estate.canonical_name(F.col("ecosystem"), F.col("name"))).otherwise(F.col("name"))
-    pin = F.when(F.col("version").rlike(r"^\d"), F.concat(F.lit("@"), "version")).otherwise("")
+    pin = F.coalesce(F.concat(F.lit("@"), estate.pinned(F.col("ecosystem"), F.col("version"))), F.lit(""))
     return rows.withColumn("purl", F.concat(F.lit("pkg:"), kind, F.lit("/"), name, pin))
 
 
@@ -88,10 +88,52 @@ def report_order(spark, sf_dir):
     return fixture(spark, sf_dir, "findings").select("target", "ord", F.row_number().over(by).alias("place"))
 
 
-@query("SELECT target, rule_id, least(count(*), 500) AS kept, greatest(count(*) - 500, 0) AS beyond FROM findings GROUP BY target, rule_id", "findings")
+@query("SELECT target, path, least(count(*), 2) AS kept, greatest(count(*) - 2, 0) AS beyond FROM file_hits GROUP BY target, path", "file_hits")
 def findings_capped(spark, sf_dir):
+    """Uses in each file up to a cap (2 here, 500 in production), and how many are beyond it."""
     n = F.count("*")
-    return fixture(spark, sf_dir, "findings").groupBy("target", "rule_id").agg(F.least(n, F.lit(500)).alias("kept"), F.greatest(n - 500, F.lit(0)).alias("beyond"))
+    hits = source.match(fixture(spark, sf_dir, "files"), ("javascript", "python", "go", "java", "other"))
+    return hits.groupBy("target", "path").agg(F.least(n, F.lit(2)).alias("kept"), F.greatest(n - 2, F.lit(0)).alias("beyond"))
+
+
+@query(
+    """SELECT host, port, CASE key_type WHEN 'rsa' THEN concat('RSA-', key_bits) WHEN 'ec' THEN 'EC-secp192r1' ELSE upper(key_type) END AS label, CASE WHEN key_type IN ('ml-dsa-87', 'unknown') THEN 'info' WHEN key_bits < 1024 THEN 'critical' WHEN curve IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
+    CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 'vulnerable' WHEN key_type = 'ml-dsa-87' THEN 'safe' ELSE 'unknown' END AS pq_status, CASE WHEN key_type IN ('rsa', 'ec') THEN 2030 END AS deprecated, CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 2035 END AS disallowed FROM certs WHERE chain_pos = 1""",
+    "certs",
+)
+def tls_leaf_key(spark, sf_dir):
+    return estate.tls_leaf_keys(fixture(spark, sf_dir, "certs"))
+
+
+_SIGNED = """CASE WHEN s LIKE 'md5%' THEN 'critical' WHEN s LIKE 'sha1%' THEN 'high' WHEN s LIKE 'ML-%' THEN 'info' ELSE 'medium' END AS severity, CASE WHEN s LIKE 'ML-%' THEN 'safe' WHEN s IS NULL OR s = '1.2.3.4' THEN 'unknown' ELSE 'vulnerable' END AS pq_status"""
+
+
+@query(f"SELECT * FROM (SELECT host, port, chain_pos, s AS signature_algorithm, {_SIGNED} FROM (SELECT *, signature_algorithm AS s FROM certs) WHERE chain_pos = 1 OR NOT self_signed) WHERE chain_pos = 1 OR severity IN ('critical', 'high') OR pq_status = 'unknown'", "certs")
+def tls_signatures(spark, sf_dir):
+    return estate.tls_signatures(fixture(spark, sf_dir, "certs"))
+
+
+@query("SELECT host, port, protocol FROM handshakes WHERE (host, port) NOT IN (SELECT (host, port) FROM certs WHERE chain_pos = 1)", "handshakes", "certs")
+def tls_without_leaf(spark, sf_dir):
+    return estate.tls_without_leaf(fixture(spark, sf_dir, "handshakes"), fixture(spark, sf_dir, "certs"))
+
+
+@query("SELECT raw, 'octo' AS owner, 'widgets' AS repo, 'https://github.com/octo/widgets.git' AS url FROM scan_targets WHERE raw LIKE '%octo/widgets%'", "scan_targets")
+def parse_repo(spark, sf_dir):
+    return estate.repositories(fixture(spark, sf_dir, "scan_targets"))
+
+
+@query("SELECT event_id, host, event_id % 6 IN (1, 2, 3) AS refused FROM hosts", "hosts")
+def numeric_hosts(spark, sf_dir):
+    return estate.numeric_hosts(fixture(spark, sf_dir, "hosts"))
+
+
+@query("SELECT rule_id, severity, pq_status, count(*) AS findings FROM findings WHERE rule_id LIKE 'source/%' AND rule_id <> 'source/node-crypto/keygen' GROUP BY ALL", "findings")
+def catalogued_findings(spark, sf_dir):
+    """Findings of rules in the catalogue, with what the catalogue says of them."""
+    rules = spark.createDataFrame(calls.rules(), "rule_id string, severity string, pq_status string, usage string").where("rule_id like 'source/%'")
+    counts = fixture(spark, sf_dir, "findings").groupBy("rule_id").agg(F.count("*").alias("findings"))
+    return counts.join(F.broadcast(rules), "rule_id").select("rule_id", "severity", "pq_status", "findings")
 
 
 @query(f"SELECT target, concat('crypto/algorithm/', trim(regexp_replace(lower(algorithm), '[^a-z0-9]+', '-', 'g'), '-')) AS ref, min({_PQ}) AS pq, min({_SEV}) AS sev, array_to_string(list_sort(list(DISTINCT rule_id)), ',') AS rules, count(*) AS occurrences FROM findings WHERE algorithm IS NOT NULL GROUP BY ALL", "findings")

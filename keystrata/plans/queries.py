@@ -81,8 +81,8 @@ def sarif_rules(spark, sf_dir):
     return rows.select("target", "rule_id", place.alias("rule_index"), F.element_at(F.array(*map(F.lit, dims.SEVERITIES)), F.col("sev") + 1).alias("severity"), "results")
 
 
-_RE = lambda p: p.replace("'", "''")
-_CNSA = f"CASE WHEN regexp_matches(algorithm, '{_RE(dims.CNSA2_ALGORITHM)}') THEN true WHEN regexp_matches(algorithm, '{_RE(dims.PUBLIC_KEY_ALGORITHM)}') THEN false END"
+# The labels of the findings, judged by hand.
+_CNSA = "CASE WHEN algorithm = 'MLKEM1024' THEN true WHEN algorithm IN ('RSA-2048', 'RSA-1024', 'ECDH-P-256', 'ECDSA-P-256', 'ECDHE-P-256', 'JWT-RS256', 'sha256WithRSAEncryption') THEN false END"
 
 
 @query(f"SELECT algorithm, {_CNSA} AS cnsa2, count(*) AS n FROM findings WHERE algorithm IS NOT NULL GROUP BY algorithm", "findings")
@@ -201,33 +201,45 @@ def coverage_samples(spark, sf_dir):
     return source.coverage_samples(fixture(spark, sf_dir, "files"))
 
 
-def _match_sql(languages: tuple[str, ...]) -> str:
-    each = []
-    for m in source.MATCHERS:
-        if m.language in languages:
-            p = _RE(m.pattern)
-            name = f"unnest(regexp_extract_all(content, '{p}', {m.group}))" if m.group else f"unnest(list_transform(regexp_extract_all(content, '{p}'), lambda x: '{m.algorithm}'))"
-            gate = f" AND regexp_matches(content, '{_RE(m.gate)}')" if m.gate else ""
-            only = f" WHERE lower(algorithm) IN ({', '.join(map(repr, m.only))})" if m.only else ""
-            parts = f"regexp_split_to_array(content, '{p}')"
-            each.append(
-                f"SELECT target, path, '{m.rule}' AS rule, algorithm, length(head) AS at, length(head) - length(replace(head, chr(10), '')) + 1 AS line FROM ("
-                f"SELECT target, path, algorithm, concat(array_to_string(list_transform(range(1, k), lambda i: concat(parts[i], ms[i])), ''), parts[k]) AS head FROM ("
-                f"SELECT target, path, {name} AS algorithm, {parts} AS parts, regexp_extract_all(content, '{p}') AS ms, generate_subscripts(regexp_extract_all(content, '{p}'), 1) AS k FROM kept WHERE language = '{m.language}'{gate})){only}"
-            )
-    return f", kept AS (SELECT *, {_LANG} AS language FROM files WHERE path NOT LIKE 'vendor/%' AND path NOT LIKE '.venv/%') " + " UNION ALL ".join(each)
+# The oracle places the snippets' uses, listed by hand, in the files: it knows no pattern.
+_PLACED = "strpos(code, needle) - 1 + CASE needle WHEN 'k = RSA.generate' THEN 4 ELSE 0 END"
+
+
+def _hits_sql(columns: str, *languages: str) -> str:
+    own = f" WHERE {_LANG} IN ({', '.join(map(repr, languages))})" if languages else ""
+    return f"SELECT target, path, rule, algorithm, {columns} FROM (SELECT *, CAST(length(text) + 1 + ({_PLACED}) AS INT) AS at, concat(text, chr(10), left(code, CAST({_PLACED} AS INT))) AS head FROM file_hits{own})"
+
+
+_LINE = "CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INT) AS line"
 
 
 def _matches(*languages: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source.match(fixture(spark, sf_dir, "files"), languages)
+        return source.match(fixture(spark, sf_dir, "files"), languages).drop("after")
 
     run.__name__ = f"match_{languages[0]}"
-    return query(_match_sql(languages), "files")(run)
+    return query(_hits_sql(f'"at", {_LINE}', *languages), "file_hits")(run)
+
+
+for _language in (("python",), ("javascript", "other"), ("go",), ("java",)):
+    _matches(*_language)
+
+_EVERY = ("javascript", "python", "go", "java", "other")
+
+
+@query(_hits_sql(f'"at", {_LINE}', *_EVERY), "file_hits")
+def match_all(spark, sf_dir):
+    return source.match(fixture(spark, sf_dir, "files"), _EVERY).drop("after")
+
 
+@query(
+    _hits_sql('"at", ' + "severity, 'vulnerable' AS pq_status, CAST(nullif(bits, '') AS INT) AS bits, CASE WHEN rule LIKE '%/weak-hash' THEN 'hashing' WHEN rule LIKE '%/weak-cipher' THEN 'encryption' WHEN rule LIKE '%/keygen-rsa' THEN '' "
+              "WHEN rule LIKE '%/dh' OR rule LIKE '%/xdh' OR rule LIKE '%/key-agreement' THEN 'key-establishment' ELSE 'signature' END AS usage, CASE WHEN CAST(nullif(bits, '') AS INT) < 2048 THEN concat('a key of ', bits, ' bits is below 2048') END AS reason", *_EVERY),
+    "file_hits",
+)
+def assess_hits(spark, sf_dir):
+    return source.assessed(source.match(fixture(spark, sf_dir, "files"), _EVERY)).select("target", "path", "rule", "algorithm", "at", "severity", "pq_status", "bits", "usage", "reason")
 
-for _language in ("python", "javascript", "go", "java"):
-    _matches(_language)
 
 _PARTS = "list_resize(list_transform(string_split(regexp_extract({0}, '([0-9]+(?:\\.[0-9]+)*)', 1), '.'), lambda x: CAST(x AS INT)), 4, 0)"
 _RANGE = f"""
@@ -246,7 +258,7 @@ def judge_range(spark, sf_dir):
 _REGISTRY = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in dims.REGISTRY) + ") AS r(ecosystem, canon, severity, pq_status, fixed_in)"
 
 
-@query(_RANGE + f""", joined AS (SELECT *, CASE WHEN fixed_in IS NOT NULL THEN {_PARTS.format("fixed_in")} END AS fixed FROM (SELECT *, CASE ecosystem WHEN 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) WHEN 'crates' THEN lower(replace(name, '_', '-')) ELSE name END AS canon FROM tops) JOIN {_REGISTRY} USING (ecosystem, canon)),
+@query(_RANGE + f""", cargo AS (SELECT * REPLACE (CASE WHEN ecosystem = 'crates' AND op = '=' THEN '^' ELSE op END AS op, CASE WHEN ecosystem = 'crates' AND op = '=' THEN CASE WHEN v[1] > 0 THEN [v[1] + 1, 0, 0, 0] WHEN v[2] > 0 THEN [0, v[2] + 1, 0, 0] ELSE [0, 0, v[3] + 1, 0] END ELSE top END AS top) FROM tops), joined AS (SELECT *, CASE WHEN fixed_in IS NOT NULL THEN {_PARTS.format("fixed_in")} END AS fixed FROM (SELECT *, CASE ecosystem WHEN 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) WHEN 'crates' THEN lower(replace(name, '_', '-')) ELSE name END AS canon FROM cargo) JOIN {_REGISTRY} USING (ecosystem, canon)),
  seen AS (SELECT *, {_JUDGE} AS verdict FROM joined)
  SELECT DISTINCT target, concat('deps/', ecosystem, '-', canon) AS rule_id, concat(manifest, ':', name, '@', version) AS evidence, coalesce(verdict, 'none') AS verdict, CASE WHEN verdict = 'at-or-above' THEN 'info' ELSE severity END AS severity,
  CASE WHEN verdict = 'at-or-above' THEN 'transitional' ELSE pq_status END AS pq_status, CASE WHEN fixed_in IS NULL THEN 'medium' WHEN verdict = 'either' THEN 'low' ELSE 'high' END AS confidence FROM seen""", "declared")
@@ -254,7 +266,7 @@ def match_deps(spark, sf_dir):
     return estate.match_deps(fixture(spark, sf_dir, "declared"))
 
 
-@query("SELECT target, ecosystem, name, version, array_to_string(list_sort(list(DISTINCT id))[1:5], ',') AS ids FROM declared JOIN advisories USING (ecosystem, name, version) WHERE version SIMILAR TO '[0-9].*' GROUP BY ALL", "declared", "advisories")
+@query("SELECT target, ecosystem, name, version, array_to_string(list_sort(list(DISTINCT id))[1:5], ',') AS ids FROM declared JOIN advisories USING (ecosystem, name, version) WHERE version SIMILAR TO '[0-9].*' AND ecosystem <> 'crates' GROUP BY ALL", "declared", "advisories")
 def advisories_join(spark, sf_dir):
     return estate.advisories(fixture(spark, sf_dir, "declared"), fixture(spark, sf_dir, "advisories")).select("target", "ecosystem", "name", "version", "ids")
 
@@ -307,7 +319,7 @@ def address_policy(spark, sf_dir):
     return estate.address_policy(fixture(spark, sf_dir, "addresses"))
 
 
-@query("""SELECT raw, kind, CASE WHEN kind = 'host' THEN CASE WHEN raw LIKE '%:8443' THEN 8443 ELSE 443 END END AS port FROM (SELECT raw, CASE WHEN raw LIKE './%' OR raw LIKE '/%' THEN 'path' WHEN raw LIKE 'https://github.com/%' THEN 'github'
+@query("""SELECT raw, kind, CASE WHEN kind = 'host' THEN CASE WHEN raw LIKE '%:8443' THEN 8443 ELSE 443 END END AS port FROM (SELECT raw, CASE WHEN raw LIKE './%' OR raw LIKE '/%' THEN 'path' WHEN raw LIKE 'https://github.com/%' OR raw LIKE 'https://www.github.com/%' THEN 'github'
   WHEN raw LIKE '%.git' THEN 'remote' WHEN raw LIKE '%://%' OR raw LIKE '[%' THEN 'host' WHEN raw LIKE '%/%' THEN 'github' WHEN raw LIKE '% %' THEN 'invalid' ELSE 'host' END AS kind FROM scan_targets)""", "scan_targets")
 def classify_targets(spark, sf_dir):
     return estate.classify_targets(fixture(spark, sf_dir, "scan_targets"))

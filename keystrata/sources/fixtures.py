@@ -37,6 +37,42 @@ _SNIPPETS = (
     ("src", ".java", "KeyPairGenerator.getInstance(\"RSA\"); MessageDigest.getInstance(\"MD5\");"),
     (".venv", ".py", "x = 1"),
     ("src", ".txt", "nothing here"),
+    ("src", ".js", "// createHash(\"md5\")\\nconst k = generateKeyPairSync(\"rsa\", @omodulusLength: 1024@c)\\ngenerateKeyPair('ml-kem-768', f)\\nsubtle.sign(@o name: \"ECDSA\" @c, k)"),
+    ("src", ".ts", "const u = \"http://x\"; createCipheriv( 'rc4' , k) /* createECDH('x')\\n */ privateEncrypt(k, b)\\ncreateHash('sha256'); getDiffieHellman('modp14')"),
+    ("src", ".py", "from Crypto.PublicKey import RSA\\n# RSA.generate(512)\\nk = RSA.generate(512)\\nc = DES3.new(k)\\ns = '''\\n# x'''; d = DSS.new(k, 'fips-186-3')"),
+    ("src", ".py", "from cryptography import x\\nec.ECDSA(h); X25519PrivateKey.generate()\\nrsa . generate_private_key(public_exponent=65537, key_size=4096)\\nmydsa.generate_private_key(2)"),
+    ("src", ".go", "import \"crypto/rsa\"\\nimport \"crypto/des\"\\nk, e := rsa.GenerateKey(rand.Reader, 1024)\\nb := des.NewTripleDESCipher(k)\\ns := `// ` + md5.New()\\n"),
+    ("src", ".kt", "Cipher.getInstance(\"DES/CBC/PKCS5Padding\"); MessageDigest . getInstance(\"SHA\")\\nSignature.getInstance(\"SHA256withECDSA\"); KeyAgreement.getInstance(\"ECDH\"); Cipher.getInstance(\"AES/GCM/NoPadding\")"),
+)
+
+# What the snippets hold, by hand: (snippet, rule, algorithm, text at the place, bits, severity).
+HITS = (
+    (0, "source/python-hashlib/weak-hash", "MD5", "hashlib.md5", "", "medium"),
+    (0, "source/python-hashlib/weak-hash", "SHA-1", "hashlib.new", "", "medium"),
+    (1, "source/python-cryptography/keygen-rsa", "RSA", "rsa.generate", "2048", "medium"),
+    (2, "source/node-crypto/weak-hash", "MD5", "createHash", "", "medium"),
+    (2, "source/node-crypto/signature", "RSA/DSA/ECDSA", "createSign", "", "medium"),
+    (3, "source/node-crypto/weak-cipher", "3DES", "createCipheriv", "", "high"),
+    (4, "source/go/weak-hash", "MD5", "md5.New", "", "medium"),
+    (6, "source/java/keygen-rsa", "RSA", "KeyPairGenerator", "", "medium"),
+    (6, "source/java/weak-hash", "MD5", "MessageDigest", "", "medium"),
+    (9, "source/node-crypto/keygen-rsa", "RSA", "generateKeyPairSync", "1024", "high"),
+    (9, "source/webcrypto/ecdsa", "ECDSA", "subtle.sign", "", "medium"),
+    (10, "source/node-crypto/weak-cipher", "RC4", "createCipheriv", "", "high"),
+    (10, "source/node-crypto/rsa-private-encrypt", "RSA", "privateEncrypt", "", "medium"),
+    (10, "source/node-crypto/dh", "DH", "getDiffieHellman", "", "medium"),
+    (11, "source/pycryptodome/keygen-rsa", "RSA", "k = RSA.generate", "512", "critical"),
+    (11, "source/pycryptodome/weak-cipher", "3DES", "DES3.new", "", "high"),
+    (11, "source/pycryptodome/dss", "ECDSA/DSA", "DSS.new", "", "medium"),
+    (12, "source/python-cryptography/ecdsa", "ECDSA", "ec.ECDSA", "", "medium"),
+    (12, "source/python-cryptography/xdh", "X25519", "X25519PrivateKey", "", "medium"),
+    (12, "source/python-cryptography/keygen-rsa", "RSA", "rsa . generate", "4096", "medium"),
+    (13, "source/go/keygen-rsa", "RSA", "rsa.GenerateKey", "1024", "high"),
+    (13, "source/go/weak-cipher", "3DES", "des.NewTriple", "", "high"),
+    (14, "source/java/weak-cipher", "DES", "Cipher.getInstance(\"DES", "", "high"),
+    (14, "source/java/weak-hash", "SHA-1", "MessageDigest", "", "medium"),
+    (14, "source/java/ecdsa", "ECDSA", "Signature", "", "medium"),
+    (14, "source/java/key-agreement", "ECDH", "KeyAgreement", "", "medium"),
 )
 _PACKAGES = (
     ("npm", "jsonwebtoken"), ("npm", "node-forge"), ("npm", "left-pad"), ("npm", "elliptic"), ("pypi", "PyJWT"), ("pypi", "Rsa"),
@@ -79,8 +115,12 @@ SQL = {
                CASE category WHEN 'tls' THEN concat('h', CAST(l_suppkey % 20 AS STRING), '.example') END AS host, 443 AS port
         FROM {{lineitem}} JOIN {_values(_FINDINGS, "rule_id, category, severity, pq_status, algorithm, usage, broken")} ON (l_partkey + l_suppkey) % {len(_FINDINGS)} = k""",
     "files": f"""
-        SELECT source AS target, concat(dir, '/', lang, '/f', CAST(doc_id AS STRING), ext) AS path, concat(text, chr(10), replace(code, '\\n', chr(10))) AS content
+        SELECT source AS target, concat(dir, '/', lang, '/f', CAST(doc_id AS STRING), ext) AS path, concat(text, chr(10), replace(replace(replace(code, '\\n', chr(10)), '@o', chr(123)), '@c', chr(125))) AS content
         FROM {{documents}} JOIN {_values(_SNIPPETS, "dir, ext, code")} ON (doc_id + n_chars) % {len(_SNIPPETS)} = k""",
+    "file_hits": f"""
+        SELECT source AS target, concat(dir, '/', lang, '/f', CAST(doc_id AS STRING), ext) AS path, text, replace(replace(replace(code, '\\n', chr(10)), '@o', chr(123)), '@c', chr(125)) AS code, h.rule, h.algorithm, h.needle, h.bits, h.severity
+        FROM {{documents}} JOIN {_values(_SNIPPETS, "dir, ext, code")} ON (doc_id + n_chars) % {len(_SNIPPETS)} = v.k
+        JOIN (SELECT * FROM {_values(HITS, "snippet, rule, algorithm, needle, bits, severity")}) AS h ON h.snippet = CAST(v.k AS STRING)""",
     "declared": f"""
         SELECT l_orderkey % 50 AS target, concat('m', CAST(l_orderkey % 7 AS STRING), '/manifest') AS manifest, ecosystem, name,
                concat(CASE l_suppkey % 5 WHEN 0 THEN '^' WHEN 1 THEN '>=' WHEN 2 THEN '~' WHEN 3 THEN '<' ELSE '' END,
@@ -112,15 +152,19 @@ SQL = {
         SELECT concat('h', CAST(l_orderkey AS STRING), '.example') AS host, 443 AS port, l_linenumber AS chain_pos, l_partkey % 11 = 0 AS self_signed,
                CASE l_partkey % 6 WHEN 0 THEN 'rsa' WHEN 1 THEN 'ec' WHEN 2 THEN 'ed25519' WHEN 3 THEN 'ml-dsa-87' WHEN 4 THEN 'rsa' ELSE 'unknown' END AS key_type,
                CASE l_partkey % 6 WHEN 0 THEN 2048 WHEN 4 THEN 1000 END AS key_bits, CASE l_partkey % 6 WHEN 1 THEN 'secp192r1' END AS curve,
+               CASE l_suppkey % 7 WHEN 0 THEN 'md5WithRSAEncryption' WHEN 1 THEN 'sha1WithRSAEncryption' WHEN 2 THEN 'ecdsa-with-SHA384' WHEN 3 THEN 'ML-DSA-65' WHEN 4 THEN '1.2.3.4' WHEN 5 THEN 'sha256WithRSAEncryption' END AS signature_algorithm,
                CAST(l_shipdate AS DATE) AS valid_to
         FROM {lineitem}""",
     "addresses": """
         SELECT event_id, concat(CAST(event_id % 256 AS STRING), '.', CAST((event_id * 7) % 256 AS STRING), '.', CAST((event_id * 13) % 256 AS STRING), '.', CAST((event_id * 31) % 300 AS STRING)) AS ip
         FROM {events}""",
+    "hosts": """
+        SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('h', CAST(event_id AS STRING), '.example') WHEN 1 THEN concat('10.0.', CAST(event_id % 256 AS STRING)) WHEN 2 THEN concat('0x', CAST(event_id % 90 + 10 AS STRING)) WHEN 3 THEN concat('a.', CAST(event_id AS STRING), '.') WHEN 4 THEN 'x.0xzz' ELSE '1a.example' END AS host
+        FROM {events}""",
     "scan_targets": """
         SELECT DISTINCT url AS raw FROM {pages}
         UNION SELECT raw FROM (VALUES ('./src'), ('/opt/app'), ('octo/widgets'), ('example.com'), ('example.com:8443'), ('[2001:db8::1]:443'),
-          ('git@host.example:team/repo.git'), ('ssh://git@host.example/team/repo.git'), ('https://github.com/octo/widgets'), ('https://host.example/x.git'), ('not a target')) AS t(raw)""",
+          ('git@host.example:team/repo.git'), ('ssh://git@host.example/team/repo.git'), ('https://github.com/octo/widgets'), ('https://host.example/x.git'), ('not a target'), ('git@github.com:octo/widgets.git'), ('https://www.github.com/octo/widgets/'), ('octo/..'), ('-octo/x')) AS t(raw)""",
 }
 _TABLES = ("lineitem", "documents", "part", "orders", "events", "pages")
 

@@ -76,14 +76,14 @@ def test_address_policy(spark, ip, allowed):
 def test_matches_have_offsets_and_lines(spark):
     text = "import hashlib\n\nx = hashlib.md5(a)\ny = hashlib.sha1(b)"
     files = spark.createDataFrame([("t", "src/a.py", text), ("t", "vendor/b.py", text), ("t", "src/c.py", "")], "target string, path string, content string")
-    rows = [tuple(r) for r in source.match(files, ("python",)).orderBy("at").collect()]
-    assert [(r[1], r[3], r[4], r[5]) for r in rows] == [("src/a.py", "md5", text.index("hashlib.md5"), 3), ("src/a.py", "sha1", text.index("hashlib.sha1"), 4)]
+    rows = source.match(files, ("python",)).orderBy("at").collect()
+    assert [(r["path"], r["algorithm"], r["at"], r["line"]) for r in rows] == [("src/a.py", "MD5", text.index("hashlib.md5"), 3), ("src/a.py", "SHA-1", text.index("hashlib.sha1"), 4)]
 
 
 def test_other_text_files_get_the_javascript_matchers(spark):
     text = "see createCipheriv('rc4', k)"
     files = spark.createDataFrame([("t", "README.md", text), ("t", "a.js", text), ("t", "a.py", text), ("t", "vendor/b.md", text)], "target string, path string, content string")
-    assert sorted((r[1], r[3], r[4]) for r in source.match(files, ("javascript", "other")).collect()) == [("README.md", "rc4", 4), ("a.js", "rc4", 4)]
+    assert sorted((r["path"], r["algorithm"], r["at"]) for r in source.match(files, ("javascript", "other")).collect()) == [("README.md", "RC4", 4), ("a.js", "RC4", 4)]
     assert [r[1] for r in source.match(files, ("other",)).collect()] == ["README.md"]
     assert [r[1] for r in source.match(files, ("javascript", "python")).collect()] == ["a.js"]
 
@@ -127,3 +127,38 @@ def test_markdown_rows_escape(spark):
 
     rows = spark.createDataFrame([("t", 1, "low", "a_b|c", None)], "target string, ord long, severity string, rule_id string, algorithm string")
     assert reports.markdown_rows(rows).first()["line"] == "| LOW | a\\_b\\|c |  |"
+
+
+@pytest.mark.parametrize(
+    ("path", "text", "want"),
+    [
+        ("a.py", "x = 'a # b' # c\ny = 1", "x = 'a # b'    \ny = 1"),
+        ("a.js", "a /* b\n c */ d // e\n'//f'", "a     \n      d     \n'//f'"),
+        ("a.go", "s := `// x`; \"//\" // y", "s := `// x`; \"//\"     "),
+        ("a.py", '"""# x\n# y""" # z', '"""# x\n# y"""    '),
+        ("a.md", "// text", "// text"),
+    ],
+)
+def test_comments_are_blanked(spark, path, text, want):
+    files = spark.createDataFrame([("t", path, text)], "target string, path string, content string")
+    assert source.strip_comments(files).first()["content"] == want
+
+
+def test_hostile_files_take_little_time(spark):
+    import time
+
+    texts = [("a.js", "createHash(" * 100_000), ("b.js", "/*" * 300_000), ("c.py", "'" * 400_001), ("d.py", "rsa" + " " * 500_000), ("e.go", '"\\' * 200_000), ("f.js", "createHash('md5')\n" * 50_000), ("g.js", '"' + "\\a" * 300_000)]
+    files = spark.createDataFrame([("t", p, t) for p, t in texts], "target string, path string, content string").repartition(4)
+    began = time.time()
+    assert source.match(files, ("javascript", "python", "go")).count() == 50_000
+    assert time.time() - began < 120
+
+
+def test_every_call_and_rule_is_known():
+    from keystrata.functions import calls
+
+    rules = [r[0] for r in calls.rules()]
+    tables = {r[0] for r in calls.literals()}
+    assert len(rules) == len(set(rules)) == 104
+    assert {r for *_, r, _, t in calls.calls() if not t} | {r for _, _, r, _ in calls.literals()} <= set(rules)
+    assert {t for *_, t in calls.calls() if t} == tables
