@@ -118,7 +118,7 @@ def described(label: Column) -> Column:
 def cnsa2_standing(label: Column) -> Column:
     """True for what CNSA 2.0 names, false for other public-key algorithms, else null."""
     own = normal(label)
-    public = _head(own).isin(*PUBLIC_KEY) | described(label)["primitive"].isin("kem", "key-agree", "pke") | (described(label)["primitive"] == "signature")
+    public = _head(own).isin(*PUBLIC_KEY) | described(label)["primitive"].isin("kem", "key-agree", "pke", "signature")
     return F.when(own.isin(*CNSA2), True).when(public, False)
 
 
