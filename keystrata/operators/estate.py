@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import dims
+from keystrata.operators.targets import blocked_ipv4
 
 
 def version_parts(text: Column) -> Column:
@@ -138,10 +139,21 @@ def key_posture(certs: DataFrame) -> DataFrame:
 
 
 def tls_chain(certs: DataFrame) -> DataFrame:
-    """How many intermediates of each endpoint are classical, post-quantum or unknown."""
-    rows = key_posture(certs).where("chain_pos > 1 and not self_signed")
-    count = lambda s: F.count_if(F.col("pq_status") == s)
-    return rows.groupBy("host", "port").agg(count("vulnerable").alias("classical"), count("safe").alias("post_quantum"), count("unknown").alias("unknown"))
+    """How many intermediates of each endpoint are classical, post-quantum or unknown by the weaker of key and signature, and what that makes of the chain.
+
+    cnsa2 is false if a known key or signature is outside CNSA 2.0, true if all are inside, else null."""
+    rows = key_posture(certs.where("chain_pos > 1 and not self_signed")).withColumn("signature", signature_posture(F.col("signature_algorithm"))["pq_status"])
+    kind = F.when((F.col("pq_status") == "vulnerable") | (F.col("signature") == "vulnerable"), "classical").when((F.col("pq_status") == "safe") & (F.col("signature") == "safe"), "post_quantum").otherwise("unknown")
+    key = F.when(F.col("key_type") != "unknown", F.col("key_type").isin("ml-kem-1024", "ml-dsa-87"))
+    signed = F.when(F.col("signature") != "unknown", F.rlike(F.lower("signature_algorithm"), F.lit("^(?:hash)?ml-dsa-87(?:-with-sha512)?$")))
+    count = lambda k: F.count_if(F.col("kind") == k).alias(k)
+    sums = rows.withColumns({"kind": kind, "meets": key & signed}).groupBy("host", "port").agg(*map(count, ("classical", "post_quantum", "unknown")), F.count_if(F.col("meets") == F.lit(False)).alias("outside"), F.count_if("meets").alias("inside"))
+    total = F.col("classical") + F.col("post_quantum") + F.col("unknown")
+    return sums.select(
+        "host", "port", "classical", "post_quantum", "unknown", F.when(F.col("post_quantum") == total, "info").otherwise("medium").alias("severity"),
+        F.when(F.col("classical") > 0, "vulnerable").when(F.col("unknown") > 0, "unknown").otherwise("safe").alias("pq_status"), F.when(F.col("unknown") == 0, "confirmed").otherwise("high").alias("confidence"),
+        F.when(F.col("outside") > 0, F.lit(False)).when(F.col("inside") == total, F.lit(True)).alias("cnsa2"),
+    )
 
 
 def tls_validity(certs: DataFrame, today: str) -> DataFrame:
@@ -155,10 +167,7 @@ def address_policy(addresses: DataFrame) -> DataFrame:
     octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
     parts = F.transform(F.split("ip", r"\."), lambda p: p.cast("long"))
     value = F.when(F.col("ip").rlike(rf"^{octet}(?:\.{octet}){{3}}$"), F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a * 256 + p))
-    blocked = F.lit(False)
-    for low, high in map(dims.cidr_bounds, dims.BLOCKED_IPV4):
-        blocked = blocked | F.col("value").between(low, high)
-    return addresses.withColumn("value", value).withColumn("allowed", ~blocked)
+    return addresses.withColumn("value", value).withColumn("allowed", ~blocked_ipv4(F.col("value")))
 
 
 def signature_posture(label: Column) -> Column:
@@ -175,8 +184,10 @@ def tls_leaf_keys(certs: DataFrame) -> DataFrame:
     rows = key_posture(certs.where("chain_pos = 1"))
     size = F.coalesce(F.col("key_bits").cast("string"), F.col("curve"))
     classical = F.col("pq_status") == "vulnerable"
-    short = F.when(F.col("key_type").isin("rsa", "rsa-pss", "dsa"), F.col("key_bits") < 3072).otherwise(F.col("weak"))
-    return rows.select("host", "port", F.concat_ws("-", F.upper("key_type"), size).alias("label"), "severity", "pq_status", F.when(classical & F.coalesce(short, F.lit(False)), 2030).alias("deprecated"), F.when(classical, 2035).alias("disallowed"))
+    strength = F.coalesce(F.regexp_extract("curve", r"(\d{3})", 1).try_cast("int"), F.lit(256))
+    short = F.when(F.col("key_type").isin("rsa", "rsa-pss", "dsa"), F.col("key_bits") < 3072).otherwise((F.col("key_type") == "ec") & (strength < 256))
+    covered = classical & ~F.col("weak")
+    return rows.select("host", "port", F.concat_ws("-", F.upper("key_type"), size).alias("label"), "severity", "pq_status", F.when(covered & F.coalesce(short, F.lit(False)), 2030).alias("deprecated"), F.when(covered, 2035).alias("disallowed"))
 
 
 def tls_signatures(certs: DataFrame) -> DataFrame:
@@ -192,12 +203,15 @@ def tls_without_leaf(shakes: DataFrame, certs: DataFrame) -> DataFrame:
 
 
 def repositories(targets: DataFrame) -> DataFrame:
-    """owner and repo of each target that names a repository, in any of its spellings, with its canonical url."""
+    """owner and repo of each target that names a repository as owner/repo, with the site's name before it or as its https url; with its canonical url."""
     t = F.trim("raw")
-    owner = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})"
-    forms = rf"^(?:https?://(?:www\.)?github\.com/|git@github\.com:|ssh://git@github\.com/)?({owner})/([A-Za-z0-9._-]{{1,100}}?)(?:\.git)?/?$"
-    rows = targets.withColumns({"owner": F.regexp_extract(t, forms, 1), "repo": F.regexp_extract(t, forms, 2)})
-    return rows.where((F.col("owner") != "") & ~F.col("repo").isin(".", "..")).select("raw", "owner", "repo", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "repo", F.lit(".git")).alias("url"))
+    short = F.regexp_replace(t, r"^(?i:(?:https://)?(?:www\.)?github\.com/)", "")
+    url = F.startswith(F.lower(t), F.lit("https://"))
+    short = F.regexp_replace(F.when(url, F.regexp_replace(short, "/$", "")).otherwise(short), r"\.git$", "")
+    parts = F.split(short, "/", -1)
+    owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    fits = (F.size(parts) == 2) & F.rlike(owner, F.lit("^[A-Za-z0-9](?:[A-Za-z0-9-]{0,37}[A-Za-z0-9])?$")) & F.rlike(repo, F.lit("^[A-Za-z0-9._-]{1,100}$")) & ~F.lower(repo).isin(".", "..", ".git")
+    return targets.where(fits).select("raw", owner.alias("owner"), repo.alias("repo")).withColumn("url", F.concat(F.lit("https://github.com/"), "owner", F.lit("/"), "repo", F.lit(".git")))
 
 
 def numeric_hosts(hosts: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def findings_capped(spark, sf_dir):
 
 @query(
     """SELECT host, port, CASE key_type WHEN 'rsa' THEN concat('RSA-', key_bits) WHEN 'ec' THEN 'EC-secp192r1' ELSE upper(key_type) END AS label, CASE WHEN key_type IN ('ml-dsa-87', 'unknown') THEN 'info' WHEN key_bits < 1024 THEN 'critical' WHEN curve IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
-    CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 'vulnerable' WHEN key_type = 'ml-dsa-87' THEN 'safe' ELSE 'unknown' END AS pq_status, CASE WHEN key_type IN ('rsa', 'ec') THEN 2030 END AS deprecated, CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 2035 END AS disallowed FROM certs WHERE chain_pos = 1""",
+    CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 'vulnerable' WHEN key_type = 'ml-dsa-87' THEN 'safe' ELSE 'unknown' END AS pq_status, CASE WHEN key_bits = 2048 THEN 2030 END AS deprecated, CASE WHEN key_bits = 2048 OR key_type = 'ed25519' THEN 2035 END AS disallowed FROM certs WHERE chain_pos = 1""",
     "certs",
 )
 def tls_leaf_key(spark, sf_dir):
@@ -118,7 +118,7 @@ def tls_without_leaf(spark, sf_dir):
     return estate.tls_without_leaf(fixture(spark, sf_dir, "handshakes"), fixture(spark, sf_dir, "certs"))
 
 
-@query("SELECT raw, 'octo' AS owner, 'widgets' AS repo, 'https://github.com/octo/widgets.git' AS url FROM scan_targets WHERE raw LIKE '%octo/widgets%'", "scan_targets")
+@query("SELECT raw, 'octo' AS owner, 'widgets' AS repo, 'https://github.com/octo/widgets.git' AS url FROM scan_targets WHERE raw IN ('octo/widgets', 'https://github.com/octo/widgets', 'https://www.github.com/octo/widgets/')", "scan_targets")
 def parse_repo(spark, sf_dir):
     return estate.repositories(fixture(spark, sf_dir, "scan_targets"))
 

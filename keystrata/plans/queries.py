@@ -301,7 +301,13 @@ def key_posture(spark, sf_dir):
     return estate.key_posture(fixture(spark, sf_dir, "certs")).groupBy("key_type", "key_bits", "curve", "pq_status", "severity").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT host, port, count(*) FILTER (p = 'vulnerable') AS classical, count(*) FILTER (p = 'safe') AS post_quantum, count(*) FILTER (p = 'unknown') AS unknown FROM (SELECT *, {_POSTURE} AS p FROM certs WHERE chain_pos > 1 AND NOT self_signed) GROUP BY host, port", "certs")
+_SIGNED = "CASE WHEN signature_algorithm IS NULL OR signature_algorithm = '1.2.3.4' THEN 'unknown' WHEN signature_algorithm = 'ML-DSA-65' THEN 'safe' ELSE 'vulnerable' END"
+
+
+@query(f"""SELECT host, port, classical, post_quantum, n - classical - post_quantum AS unknown, CASE WHEN post_quantum = n THEN 'info' ELSE 'medium' END AS severity, CASE WHEN classical > 0 THEN 'vulnerable' WHEN post_quantum < n THEN 'unknown' ELSE 'safe' END AS pq_status,
+  CASE WHEN classical + post_quantum = n THEN 'confirmed' ELSE 'high' END AS confidence, CASE WHEN outside > 0 THEN false END AS cnsa2
+  FROM (SELECT host, port, count(*) AS n, count(*) FILTER (p = 'vulnerable' OR g = 'vulnerable') AS classical, count(*) FILTER (p = 'safe' AND g = 'safe') AS post_quantum, count(*) FILTER (p = 'vulnerable' OR g <> 'unknown') AS outside
+    FROM (SELECT *, {_POSTURE} AS p, {_SIGNED} AS g FROM certs WHERE chain_pos > 1 AND NOT self_signed) GROUP BY host, port)""", "certs")
 def tls_chain(spark, sf_dir):
     return estate.tls_chain(fixture(spark, sf_dir, "certs"))
 

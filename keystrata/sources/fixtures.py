@@ -166,6 +166,77 @@ SQL = {
         UNION SELECT raw FROM (VALUES ('./src'), ('/opt/app'), ('octo/widgets'), ('example.com'), ('example.com:8443'), ('[2001:db8::1]:443'),
           ('git@host.example:team/repo.git'), ('ssh://git@host.example/team/repo.git'), ('https://github.com/octo/widgets'), ('https://host.example/x.git'), ('not a target'), ('git@github.com:octo/widgets.git'), ('https://www.github.com/octo/widgets/'), ('octo/..'), ('-octo/x')) AS t(raw)""",
 }
+# Texts with what a reader has to find in them, by hand. "@v" is the row's number, "@n" a line break, "@b" a backslash, "@k" 64 characters of base64.
+_LINES = (
+    ("etag = hashlib.md5(body)", "non-security", "etag"), ("passwordHash = md5(x)", "security", "passwordHash"), ("cache_key = sha1(password)", "security", "password"), ("h = md5(data)", "", ""),
+    ("E_Tag: sha1(x)", "non-security", "E_Tag"), ("design = md5(x)", "", ""), ("Sec-WebSocket-Accept: sha1(k)", "non-security", "Sec-WebSocket-Accept"), ("JWTToken = sha1(a)", "security", "JWTToken"),
+    ("const apiKey = md5(a)", "security", "apiKey"), ("git_oid = sha1(blob) # sign", "security", "sign"), (" ".join(f"a{i}" for i in range(32)) + " secret", "", ""), ("", "", ""),
+)
+_ODD_CHARACTERS = ("\t", "\x1b", "\x7f", "\x85", "\u2028", "\u202e", "\u2066", "\u00e9", "\r")
+_TITLES = ("DES  (CBC) mode", "source: SHA-1", "--", "tls/x", "Schl\u00fcssel")
+_GAPS = (("source/file-too-large", "2 files are too large"), ("source/directories-skipped", "vendor left out"), ("deps/unsupported-manifest", "go.mod is not read"), ("jwt/jose/hmac", "HS256"), ("source/ast-fallback", "1 file by pattern"), ("deps/npm-elliptic", "elliptic"), ("deps/scan-truncated", "cut short"))
+_ODD_FILES = (
+    ("go.mod", "unread-manifest"), ("App.csproj", "unread-manifest"), ("a.CSPROJ", ""), ("csproj", ""), ("setup.py", "unread-manifest"), ("main.go", ""), ("x.min.js.map", "source-map"), ("x.map", ""), ("x.py.map", ""), ("x.CSS.MAP", "source-map"),
+    ("logo.PNG", "non-code"), ("png", ""), ("key.p12", ""), ("m.wasm", "non-code"), ("package.json", ""), ("js.map", ""), ("Gemfile", "unread-manifest"), ("gemfile", ""),
+)
+_REMOTES = (
+    ("https://Git.example/team@v/repo.git", "https", "git.example", "443"), ("https://git.example:8443/r@v", "https", "git.example", "8443"), ("https://git.example:0/r@v", "", "", ""), ("https://git.example:70000/r@v", "", "", ""),
+    ("ssh://git@git.example/r@v.git", "ssh", "git.example", ""), ("SSH://git.example:22/r@v", "ssh", "git.example", ""), ("deploy@Host.example:team/r@v.git", "ssh", "host.example", ""), ("git@host.example:../r@v", "", "", ""),
+    ("https://[2001:db8::1]/r@v", "https", "[2001:db8::1]", "443"), ("https://user@host.example/r@v", "", "", ""), ("http://host.example/r@v", "", "", ""), ("https://host.example/a/../r@v", "", "", ""), ("https://-bad.example/r@v", "", "", ""),
+    ("git@host.example:a b@v", "", "", ""), ("https://host.example/r@v?x=1", "", "", ""), ("owner/repo@v", "", "", ""), ("https://host.example/", "", "", ""), ("git@host.example:r@v", "ssh", "host.example", ""), ("ssh://git@[::1]/r@v", "", "", ""),
+)
+_IPV6 = (
+    ("2606:4700::1111", "y"), ("::1", ""), ("::ffff:8.8.8.8", "y"), ("::ffff:10.0.0.1", ""), ("::ffff:0:8.8.8.8", "y"), ("64:ff9b::808:808", "y"), ("64:ff9b::a00:1", ""), ("2002:808:808::1", "y"), ("2002:a00:1::", ""), ("fe80::1%eth0", ""),
+    ("2001:db8::5", ""), ("2001::1", ""), ("2001:200::1", "y"), ("3fff::1", ""), ("3fff:1000::1", "y"), ("fc00::1", ""), ("1:2:3", ""), ("2606::1::2", ""), ("2606:4700:0:0:0:0:0:1111", "y"), ("2606:47000::1", ""), ("no address", ""), ("", ""),
+    ("2606:4700::1.2.3.400", ""), ("2A00:1450::8%1", "y"), ("2606:1:2:3:4:5:6::7", ""), ("::", ""),
+)
+_KEYS = (
+    ("x = 1@n-----BEGIN RSA PRIVATE KEY-----@n@k@n-----END RSA PRIVATE KEY-----@n", "2", "RSA PRIVATE KEY", "keys/private-key-block", "", "critical", "vulnerable"),
+    ('k = "-----BEGIN PRIVATE KEY-----@bn@k@bn-----END PRIVATE KEY-----@bn"', "1", "PRIVATE KEY", "keys/private-key-block", "", "critical", "vulnerable"),
+    ("-----BEGIN PRIVATE KEY-----@nQUJD@n-----END PRIVATE KEY-----", "", "", "", "", "", ""),
+    ("-----BEGIN EC PRIVATE KEY-----@nProc-Type: 4,ENCRYPTED@nDEK-Info: AES-128-CBC,00@n@n  @k@n-----END EC PRIVATE KEY-----", "1", "EC PRIVATE KEY", "keys/private-key-block", "", "critical", "vulnerable"),
+    ("-----BEGIN PUBLIC KEY-----@n@k@n-----END PUBLIC KEY-----", "1", "PUBLIC KEY", "keys/public-key-block", "", "low", "unknown"),
+    ("@n-----BEGIN RSA PUBLIC KEY-----@n@k@n-----END RSA PUBLIC KEY-----", "2", "RSA PUBLIC KEY", "keys/public-key-block", "RSA", "medium", "vulnerable"),
+    ("-----BEGIN CERTIFICATE-----@n@k@n-----END CERTIFICATE-----", "", "", "", "", "", ""),
+    ("-----BEGIN PRIVATE KEY-----@n@k@n...@n-----END PRIVATE KEY-----", "", "", "", "", "", ""),
+    ("-----BEGIN PRIVATE KEY-----@n@k", "", "", "", "", "", ""),
+)
+
+
+def _labelled(table: str, number: str, rows, columns: str, text: str, more: str = "") -> str:
+    """Each row of a given table with one of the texts and what is in it."""
+    shown = f"replace({text}, '@v', CAST({number} AS STRING)) AS {text}"
+    return f"SELECT {number}, {shown}, {more}{', '.join(f'nullif({c}, {chr(39) * 2}) AS {c}' for c in columns.split(', ') if c != text)} FROM {{{table}}} JOIN {_values(rows, columns)} ON {number} % {len(rows)} = k"
+
+
+SQL |= {
+    "digest_lines": _labelled("events", "event_id", _LINES, "line, role, signal", "line"),
+    "odd_files": _labelled("documents", "doc_id", _ODD_FILES, "path, class", "path"),
+    "remotes": _labelled("events", "event_id", _REMOTES, "raw, transport, host, port", "raw"),
+    "addresses_v6": _labelled("events", "event_id", _IPV6, "ip, fine", "ip"),
+    "controls": f"SELECT doc_id, concat(mark, text, mark, mark) AS text FROM {{documents}} JOIN {_values([(c,) for c in _ODD_CHARACTERS], 'mark')} ON doc_id % {len(_ODD_CHARACTERS)} = k",
+    "raw_findings": f"""
+        SELECT target, ord, category, severity, CASE ord % 2 WHEN 0 THEN algorithm END AS algorithm, CASE ord % 5 WHEN 0 THEN rule_id END AS rule_id, CASE ord % 3 WHEN 0 THEN 'high' END AS confidence, title
+        FROM ({SQL["findings"]}) AS f JOIN {_values([(t,) for t in _TITLES], "title")} ON ord % {len(_TITLES)} = v.k""",
+    "scan_gaps": f"""
+        SELECT concat('t', CAST(l_orderkey % 50 AS STRING)) AS target, rule_id, title
+        FROM {{lineitem}} JOIN {_values(_GAPS, "rule_id, title")} ON (l_orderkey % 50 * 3 + l_linenumber % 2) % {len(_GAPS)} = k""",
+    "tree": """
+        SELECT l_orderkey % 50 AS target, CASE WHEN l_partkey % 41 = 0 THEN 'CACHEDIR.TAG' WHEN l_partkey % 53 = 0 THEN concat('a', CAST(l_suppkey % 10 AS STRING), '/b', CAST(l_partkey % 20 AS STRING), '/pyvenv.cfg')
+          ELSE concat('a', CAST(l_suppkey % 10 AS STRING), '/b', CAST(l_partkey % 20 AS STRING), '/c', CAST(l_linenumber AS STRING), '/f', CAST(l_orderkey AS STRING), '.py') END AS path
+        FROM {lineitem}""",
+    "profiles": """
+        SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'soon' WHEN 1 THEN '1996-02-30' ELSE '1996-01-01' END AS today, 1900 + CAST(o_custkey % 350 AS INT) AS crqc_year, CAST(o_orderkey % 115 AS DOUBLE) - 5 AS migration_years,
+               CAST(o_orderkey % 30 AS DOUBLE) - 2 AS horizon_years, CAST(o_custkey % 12 AS DOUBLE) / 10 AS sensitivity
+        FROM {orders}""",
+    "tls_errors": """
+        SELECT concat('h', CAST(o_orderkey AS STRING), '.example') AS host, 443 AS port, CASE o_orderkey % 5 WHEN 0 THEN 'self-signed' WHEN 1 THEN 'name mismatch' END AS authorization_error, CASE o_orderkey % 9 WHEN 0 THEN 'handshake failure' END AS handshake_refused
+        FROM {orders}""",
+    "key_files": f"""
+        SELECT source AS target, concat('k/', CAST(doc_id AS STRING), '.pem') AS path, concat(text, chr(10), replace(replace(replace(code, '@n', chr(10)), '@b', chr(92)), '@k', repeat('QUJD', 16))) AS content,
+               CAST(nullif(line, '') AS INT) + 1 + length(text) - length(replace(text, chr(10), '')) AS line, nullif(label, '') AS label, rule_id, nullif(algorithm, '') AS algorithm, severity, pq_status
+        FROM {{documents}} JOIN {_values(_KEYS, "code, line, label, rule_id, algorithm, severity, pq_status")} ON doc_id % {len(_KEYS)} = k""",
+}
 _TABLES = ("lineitem", "documents", "part", "orders", "events", "pages")
 
 
