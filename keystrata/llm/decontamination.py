@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from .rows import bounded, free_name, key
 from .scratch import Scratch
-from .sketch import bloom_filter, bloom_has, bloom_sized, merged, sent_sketch
+from .sketch import Sketch, bloom_filter, bloom_has, bloom_sized, merged, sent_sketch
 
 WINDOW = 13
 SHINGLE = 3
@@ -69,7 +69,7 @@ def _grams(h: np.ndarray, row: np.ndarray, lengths=range(1, SHINGLE + 1)):
         yield k, g, row[: len(g)] == row[k - 1 :] if len(g) else np.zeros(0, bool)
 
 
-def corpus_sketch(docs: DataFrame) -> np.ndarray:
+def corpus_sketch(docs: DataFrame) -> Sketch:
     """Counters of the corpus's shingles of one to SHINGLE words."""
 
     def grams(batches):
@@ -83,19 +83,20 @@ def corpus_sketch(docs: DataFrame) -> np.ndarray:
     return merged(docs.select("text").mapInArrow(lambda batches: sent_sketch(grams(batches)), "part int, counts binary"))
 
 
-def prefixes(windows: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(windows: DataFrame, sketch: Sketch) -> DataFrame:
     """(shingle, place, n, window, items): each window by its rarest shingle, the place of that in it and its words."""
-    sent = windows.sparkSession.sparkContext.broadcast(counts)
+    sent = windows.sparkSession.sparkContext.broadcast(sketch)
 
     def pick(batches):
         for batch in batches:
+            counts = sent.value.counts()
             shingle, place, n = [], [], []
             for window in batch.column(0).to_pylist():
                 data = np.frombuffer(window, np.uint8)
                 starts, stops, _ = B.word_spans(data, np.array([0, len(data)]), B.ALNUM)
                 h = B.span_hashes(data, starts, stops)
                 g = B.chained(h, min(SHINGLE, len(h)))
-                j = int(np.lexsort((g, sent.value[(g % np.uint64(len(sent.value))).astype(np.int64)]))[0])
+                j = int(np.lexsort((g, counts[(g % np.uint64(len(counts))).astype(np.int64)]))[0])
                 shingle.append(g[j])
                 place.append(j)
                 n.append(len(h))

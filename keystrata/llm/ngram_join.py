@@ -35,7 +35,7 @@ from . import blocks as B
 from .components import connected_components
 from .rows import bounded, free_name, key
 from .scratch import Scratch
-from .sketch import COUNTERS, Counts, merged
+from .sketch import COUNTERS, Counts, Sketch, merged
 
 GROUP_TOKENS = 10_000_000
 #: Classes that a task remembers to give their set but once; forgetting them changes no result.
@@ -75,20 +75,21 @@ def classes_and_sketch(docs: DataFrame, k: int, named: bool = False) -> DataFram
     return rows.mapInArrow(scan, "doc_id long, n long, sid long, row binary, part int, counts binary")
 
 
-def prefix_rows(docs: DataFrame, sketch: np.ndarray, k: int, num: int, den: int) -> DataFrame:
+def prefix_rows(docs: DataFrame, sketch: Sketch, k: int, num: int, den: int) -> DataFrame:
     """(token, sid, size): the rarest shingles of each class; of copies a task gives one."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def scan(batches):
         given: set[int] = set()
         for _, _, sets in _sets(batches, k):
+            counts = sent.value.counts()
             tokens, sids, sizes = [], [], []
             for s in sets:
                 if not len(s) or (sid := _class_id(s)) in given:
                     continue
                 given.add(sid)
                 p = len(s) - (num * len(s) + den - 1) // den + 1
-                rare = np.lexsort((s, sent.value[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:p]
+                rare = np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:p]
                 tokens.append(s[rare])
                 sids.append(np.full(p, sid, np.int64))
                 sizes.append(np.full(p, len(s), np.int32))

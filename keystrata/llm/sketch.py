@@ -48,8 +48,23 @@ def sent_sketch(hashes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(list(counts.parts()), ["part", "counts"])
 
 
-def merged(rows: DataFrame) -> np.ndarray:
-    """The counters over all tasks: COUNTERS numbers, however large the corpus."""
+class Sketch:
+    """The counters over all tasks, COUNTERS numbers however large the corpus, packed by parts; a task's process unpacks them once."""
+
+    def __init__(self, parts: dict[int, bytes]):
+        self.parts, self._counts = parts, None
+
+    def counts(self) -> np.ndarray:
+        if self._counts is None:
+            out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int32)
+            for part, packed in self.parts.items():
+                out[part] = np.frombuffer(zlib.decompress(packed), np.int32)
+            self._counts = out.ravel()
+        return self._counts
+
+
+def merged(rows: DataFrame) -> Sketch:
+    """The sketch from the rows of all tasks; the driver passes it on packed."""
 
     def merge(batches):
         sums: dict[int, np.ndarray] = {}
@@ -57,12 +72,10 @@ def merged(rows: DataFrame) -> np.ndarray:
             for part, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(counts), np.int32).astype(np.int64)
         most = np.iinfo(np.int32).max
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, most).astype(np.int32).tobytes() for s in sums.values()], pa.binary())], ["part", "counts"])
+        packed = [zlib.compress(np.minimum(s, most).astype(np.int32).tobytes(), 1) for s in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
 
-    out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int32)
-    for r in rows.select("part", "counts").repartition("part").mapInArrow(merge, "part int, counts binary").collect():
-        out[r["part"]] = np.frombuffer(bytes(r["counts"]), np.int32)
-    return out.ravel()
+    return Sketch({r["part"]: bytes(r["counts"]) for r in rows.select("part", "counts").repartition("part").mapInArrow(merge, "part int, counts binary").collect()})
 
 
 def bloom_sized(n: int) -> int:
