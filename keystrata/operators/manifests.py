@@ -20,6 +20,8 @@ KINDS = (
     ("yarn.lock", "yarn-lock", "npm"),
     ("poetry.lock", "poetry-lock", "pypi"),
     ("uv.lock", "uv-lock", "pypi"),
+    ("pnpm-lock.yaml", "pnpm-lock", "npm"),
+    ("Pipfile.lock", "pipfile-lock", "pypi"),
 )
 STANZA_LOCKS = ("Cargo.lock", "poetry.lock", "uv.lock")
 _NPM_SECTIONS = ("dependencies", "devDependencies", "optionalDependencies", "peerDependencies")
@@ -77,6 +79,54 @@ def npm_lock(files: DataFrame) -> DataFrame:
     return rows.select("target", "path", F.coalesce("own.name", place).alias("name"), "own.version")
 
 
+#: Levels of nested ``dependencies`` that a version 1 lock is read to.
+LOCK_LEVELS = 6
+
+
+def npm_lock_v1(files: DataFrame) -> DataFrame:
+    """(target, path, name, version, whole) of the nested ``dependencies`` of a package-lock.json without ``packages``.
+
+    ``whole`` is false for a package whose own dependencies lie below LOCK_LEVELS and are not
+    read. Packages without a version and text that is no JSON give no row.
+    """
+    level = "string"
+    for _ in range(LOCK_LEVELS):
+        level = f"map<string,struct<version:string,dependencies:{level}>>"
+
+    def packages(own: Column, levels: int) -> Column:
+        entries = F.map_entries(own)
+        whole = lambda e: e["value"]["dependencies"].isNull() if levels == 1 else F.lit(True)
+        found = F.transform(entries, lambda e: F.struct(e["key"].alias("name"), e["value"]["version"].alias("version"), whole(e).alias("whole")))
+        if levels > 1:
+            below = F.filter(entries, lambda e: e["value"]["dependencies"].isNotNull())
+            found = F.concat(found, F.flatten(F.transform(below, lambda e: packages(e["value"]["dependencies"], levels - 1))))
+        return found
+
+    parsed = F.from_json("content", f"packages string, dependencies {level}")
+    rows = _named(files, "package-lock.json").select("target", "path", parsed.alias("lock")).where("lock.packages is null")
+    return rows.select("target", "path", F.inline(packages(F.col("lock.dependencies"), LOCK_LEVELS)).alias("name", "version", "whole")).where("version is not null")
+
+
+def pnpm_lock(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of the keys below ``packages:`` of pnpm-lock.yaml, of all its formats; peers in brackets or after ``_`` are left off."""
+    section = F.filter(F.split("content", r"\r?\n(?=[^\s#])"), lambda part: F.startswith(part, F.lit("packages:")))
+    line = F.explode(F.flatten(F.transform(section, lambda part: F.split(part, r"\r?\n")))).alias("line")
+    key = r"^  ['\"]?/?((?:@[^/@\s]+/)?[^/@\s:'\"]+)[@/]([0-9][^\s:'\"()_/]*)[^:]*:\s*$"
+    rows = _named(files, "pnpm-lock.yaml").select("target", "path", line)
+    rows = rows.select("target", "path", F.regexp_extract("line", key, 1).alias("name"), F.regexp_extract("line", key, 2).alias("version"))
+    return rows.where("name <> ''")
+
+
+def pipfile_lock(files: DataFrame) -> DataFrame:
+    """(target, path, name, version) of both sections of Pipfile.lock, without ``==``; packages without a version give no row."""
+    parsed = F.from_json("content", ", ".join(f"{s} map<string,struct<version:string>>" for s in ("default", "develop")))
+    none = F.expr("cast(array() as array<struct<key:string,value:struct<version:string>>>)")
+    rows = _named(files, "Pipfile.lock").withColumn("parsed", parsed)
+    entries = F.concat(*(F.coalesce(F.map_entries(F.col("parsed")[s]), none) for s in ("default", "develop")))
+    rows = rows.select("target", "path", F.inline(entries).alias("name", "own"))
+    return rows.select("target", "path", "name", F.regexp_replace("own.version", "^==", "").alias("version")).where("version is not null")
+
+
 def yarn_lock(files: DataFrame) -> DataFrame:
     """(target, path, name, version) of the stanzas of yarn.lock, of either format."""
     rows = _named(files, "yarn.lock").select("target", "path", F.explode(F.split("content", r"\n(?=\S)")).alias("part"))

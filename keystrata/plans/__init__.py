@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import inventory, posture, reports  # noqa: F401
+from . import documents, inventory, posture, reports  # noqa: F401

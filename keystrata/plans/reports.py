@@ -80,6 +80,6 @@ def report_markdown(spark, sf_dir):
     return reports.markdown_rows(fixture(spark, sf_dir, "findings"))
 
 
-@query("SELECT target, ord, CAST(dense_rank() OVER (PARTITION BY target ORDER BY rule_id) - 1 AS INT) AS rule_index, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level FROM findings", "findings")
+@query("SELECT target, ord, CAST(dense_rank() OVER (PARTITION BY target ORDER BY rule_id) - 1 AS INT) AS rule_index, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' WHEN severity = 'low' THEN 'note' ELSE 'none' END AS level FROM findings", "findings")
 def sarif_results(spark, sf_dir):
     return reports.results(fixture(spark, sf_dir, "findings"))

@@ -209,7 +209,39 @@ def _labelled(table: str, number: str, rows, columns: str, text: str, more: str
     return f"SELECT {number}, {shown}, {more}{', '.join(f'nullif({c}, {chr(39) * 2}) AS {c}' for c in columns.split(', ') if c != text)} FROM {{{table}}} JOIN {_values(rows, columns)} ON {number} % {len(rows)} = k"
 
 
+# Lock files by number: (file, code). @n is a new line, @o and @c are braces, @v a number of the row.
+_LOCKS = (
+    ("package-lock.json", '@o"lockfileVersion": 1, "dependencies": @o"a": @o"version": "1.0.@v", "dependencies": @o"@s/b": @o"version": "2.0.0", "requires": @o"c": "^1"@c@c@c@c, "c": @o"bundled": true, "version": "1.4.0"@c, "d": @o"dev": true@c@c@c'),
+    ("package-lock.json", "@o" + "".join(f'"dependencies": @o"l{k}": @o"version": "{k}", ' for k in range(1, 7)) + '"dependencies": @o"l7": @o"version": "7"' + "@c" * 15),
+    ("package-lock.json", '@o"packages": @o"node_modules/x": @o"version": "1.0.0"@c@c, "dependencies": @o"x": @o"version": "1.0.0"@c@c@c'),
+    ("pnpm-lock.yaml", "lockfileVersion: 5.4@n@nspecifiers:@n  elliptic: ^6.5.0@n@npackages:@n@n  /elliptic/6.5.@v:@n    resolution: @ointegrity: sha512-x@c@n    dependencies:@n      bn.js: 4.12.0@n@n  /@babel/core/1.2.0_abc:@n    dev: false@n"),
+    ("pnpm-lock.yaml", "lockfileVersion: '9.0'@nimporters:@n  .:@n    dependencies:@n      jose:@n        version: 4.0.0@npackages:@n  jose@@4.15.@v:@n    engines: @onode: '>=1'@c@n  '@scope/pkg@@1.0.0-rc.1(react@@18.0.0)':@n    peerDependencies:@n      react: 18.0.0@nsnapshots:@n  jose@@4.15.@v: @o@c@n  other@@9.9.9:@n    x: y@n"),
+    ("Pipfile.lock", '@o"_meta": @o"hash": @o"sha256": "x"@c@c, "default": @o"pyjwt": @o"hashes": ["sha256:x"], "version": "==2.8.@v"@c, "own": @o"path": "."@c@c, "develop": @o"ecdsa": @o"version": "==0.18.0"@c@c@c'),
+    ("Pipfile.lock", "@o not json"),
+)
+# What the lock files declare, by hand: (number, name, version, whole).
+LOCKED = (
+    (0, "a", "1.0.@v", True),
+    (0, "@s/b", "2.0.0", True),
+    (0, "c", "1.4.0", True),
+    *((1, f"l{k}", str(k), k < 6) for k in range(1, 7)),
+    (3, "elliptic", "6.5.@v", True),
+    (3, "@babel/core", "1.2.0", True),
+    (4, "jose", "4.15.@v", True),
+    (4, "@scope/pkg", "1.0.0-rc.1", True),
+    (5, "pyjwt", "2.8.@v", True),
+    (5, "ecdsa", "0.18.0", True),
+)
+
 SQL |= {
+    "lock_files": f"""
+        SELECT source AS target, concat('p', CAST(doc_id AS STRING), '/', file) AS path, k AS number, CAST(n_chars % 7 AS STRING) AS fill,
+               replace(replace(replace(replace(replace(code, '@n', chr(10)), '@o', chr(123)), '@c', chr(125)), '@v', CAST(n_chars % 7 AS STRING)), '@@', '@') AS content
+        FROM {{documents}} JOIN {_values(_LOCKS, "file, code")} ON doc_id % {len(_LOCKS)} = k""",
+    "oids": """
+        SELECT event_id, CASE event_id % 5 WHEN 0 THEN concat('1.2.840.113549.1.1.', CAST(user_id % 16 AS STRING)) WHEN 1 THEN concat('1.2.840.10045.4.3.', CAST(user_id % 6 AS STRING))
+               WHEN 2 THEN concat('2.16.840.1.101.3.4.3.', CAST(user_id % 49 AS STRING)) WHEN 3 THEN concat('1.3.101.11', CAST(user_id % 5 AS STRING)) END AS oid
+        FROM {events}""",
     "digest_lines": _labelled("events", "event_id", _LINES, "line, role, signal", "line"),
     "odd_files": _labelled("documents", "doc_id", _ODD_FILES, "path, class", "path"),
     "remotes": _labelled("events", "event_id", _REMOTES, "raw, transport, host, port", "raw"),

@@ -57,6 +57,30 @@ def test_registry_knows_the_recoverable_libraries(spark):
     assert sorted(r["rule_id"] for r in estate.match_deps(df).collect()) == want
 
 
+def test_sarif_lines_are_one_log_for_each_target(spark):
+    import json
+
+    from keystrata.operators import reports
+
+    rows = [("t", 1, "b/y", "high", "vulnerable", 'a"b', None, None), ("t", 1, "b/y", "high", "vulnerable", 'a"b', None, None), ("t", 2, "a/x-z", "info", "safe", None, "::1", None), ("u", 5, "c", "low", "safe", "\n", "h", 443), (None, 1, "c", "low", "safe", None, None, None), ("w", 1, None, "low", "safe", None, None, None)]
+    schema = "target string, ord long, rule_id string, severity string, pq_status string, algorithm string, host string, port int"
+    lines = reports.sarif_lines(spark.createDataFrame(rows, schema)).orderBy("target", "part", "ord", F.desc("line")).collect()
+    logs = {t: json.loads("".join(r["line"] for r in lines if r["target"] == t))["runs"][0] for t in {r["target"] for r in lines}}
+    assert {t: [(r["ruleId"], r["level"], r["rank"]) for r in log["results"]] for t, log in logs.items()} == {"t": [("b/y", "error", 80), ("b/y", "error", 80), ("a/x-z", "none", 0)], "u": [("c", "note", 30)]}
+    assert all(log["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] for log in logs.values() for r in log["results"])
+    assert [r["name"] for r in logs["t"]["tool"]["driver"]["rules"]] == ["AXZ", "BY"]
+    assert reports.sarif_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_lock_readers_pass_over_other_texts(spark):
+    from keystrata.operators import manifests
+
+    texts = [None, "", "[]", "packages:", "packages: {}\n", '{"dependencies": null}', '{"default": {"x": "1"}}', "x: y\n" * 100_000]
+    rows = [("t", f"d/{name}", text) for name in ("package-lock.json", "pnpm-lock.yaml", "Pipfile.lock") for text in texts]
+    files = spark.createDataFrame(rows, "target string, path string, content string")
+    assert [read(files).count() for read in (manifests.npm_lock_v1, manifests.pnpm_lock, manifests.pipfile_lock)] == [0, 0, 0]
+
+
 def test_mosca_inequality_over_the_grid(spark):
     from pyspark.sql import functions as F
 
