@@ -81,6 +81,26 @@ CNSA2 = tuple("ml-kem-1024 ml-kem1024 mlkem-1024 mlkem1024 secp384r1mlkem1024 ml
 PUBLIC_KEY = tuple("rsa rsassa dsa ec ecdsa ecdh ecdhe dh dhe ffdhe x25519 x448 ed25519 ed448 eddsa ml mlkem slh hashml hashslh static".split())
 
 
+# Curves by the names that labels give them, with their own name and strength; strengths of moduli; strengths of DES by what follows.
+CURVES = {
+    ("p-192", "prime192v1", "secp192r1"): ("secp192r1", 80),
+    ("secp192k1",): ("secp192k1", 80),
+    ("p-224", "secp224r1"): ("secp224r1", 112),
+    ("p-256", "prime256v1", "secp256r1"): ("secp256r1", 128),
+    ("p-384", "secp384r1"): ("secp384r1", 192),
+    ("p-521", "secp521r1"): ("secp521r1", 256),
+    ("secp256k1",): ("secp256k1", 128),
+    ("brainpoolp256r1",): ("brainpoolP256r1", 128),
+    ("brainpoolp384r1",): ("brainpoolP384r1", 192),
+    ("brainpoolp512r1",): ("brainpoolP512r1", 256),
+    ("x25519",): ("Curve25519", 128),
+    ("x448",): ("Curve448", 224),
+}
+MODULI = {"1024": 80, "2048": 112, "3072": 128, "7680": 192, "15360": 256}
+MODES = "cbc ecb ccm gcm cfb ofb ctr"
+FRIENDLY = {"prime256v1": "P-256", "secp256r1": "P-256", "secp384r1": "P-384", "secp521r1": "P-521"}
+
+
 def normal(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9]+", "-"), "^-|-$", "")
 
@@ -137,3 +157,44 @@ def below_strength(label: Column) -> Column:
     head, size = _head(own), F.regexp_extract(own, "([0-9]{3,5})$", 1).cast("int")
     curve = F.regexp_extract(F.regexp_replace(own, "^[a-z]+", ""), "([0-9]{3})", 1).cast("int")
     return F.coalesce(F.when(head.isin("rsa", "dsa", "dh", "dhe", "ffdhe"), size < 2048).when(head.isin("ecdsa", "ecdh", "ecdhe"), curve < 224), F.lit(False))
+
+
+def _found(table: dict, key: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))[key]
+
+
+def details(label: Column) -> Column:
+    """Struct of parameter_set, curve, bits (classical strength) and mode of a label; each is null where the label does not tell it."""
+    own = normal(label)
+    head = _head(own)
+    after = F.when(head.isin("ecdsa", "ecdh", "ecdhe"), F.nullif(F.regexp_extract(own, "^[a-z]+-(.+)$", 1), F.lit("")))
+    plain = F.when(own.isin("x25519", "x448"), own)
+    by_name = {name: kind for names, kind in CURVES.items() for name in names}
+    place = F.coalesce(after, plain)
+    written = F.nullif(F.regexp_extract(label, "^[A-Za-z]+-(.+)$", 1), F.lit("unknown-curve"))
+    edwards = F.when(own == "ed25519", "Ed25519").when(own == "ed448", "Ed448")
+    curve = F.coalesce(_found({n: c for n, (c, _) in by_name.items()}, place), F.when(after.isNotNull(), written), edwards)
+
+    digits = F.nullif(F.regexp_extract(own, "([0-9]+)$", 1), F.lit(""))
+    modulus = F.when(F.rlike(own, F.lit("^(?:rsa|rsa-pss|dsa)-[0-9]+$")), digits)
+    cipher = F.when(head.isin("aes", "camellia"), F.nullif(F.regexp_extract(own, "^(?:aes|camellia)-?(128|192|256)", 1), F.lit("")))
+    digest = F.when(F.rlike(own, F.lit("^(?:sha-?|sha3-)(?:224|256|384|512)$")), digits)
+    lattice = F.when(F.rlike(own, F.lit("^(?:ml-?kem|(?:hash)?ml-dsa)-?[0-9]+(?:-with-sha512)?$")), F.regexp_extract(own, "^[a-z-]+([0-9]+)", 1))
+    tree = F.when(F.rlike(own, F.lit("^(?:hash)?slh-dsa-(?:sha2|shake)-(?:128|192|256)[sf]")), F.concat(F.upper(F.regexp_extract(own, "slh-dsa-(sha2|shake)-", 1)), F.lit("-"), F.regexp_extract(own, "-((?:128|192|256)[sf])", 1)))
+    des = F.when(F.rlike(own, F.lit("^(?:des-ede3|3des|tripledes|desede|des3)(?:-|$)")), 112).when(F.rlike(own, F.lit("^des-ede(?:-|$)")), 80).when(F.rlike(own, F.lit("^des(?:-|$)")), 56)
+    ciphers = des.isNotNull() | head.isin("aes", "camellia", "desx", "rc2", "arc2")
+    mode = F.when(ciphers, F.nullif(F.regexp_extract(own, f"-({MODES.replace(' ', '|')})[0-9]*$", 1), F.lit("")))
+    bits = F.coalesce(
+        _found({n: b for n, (_, b) in by_name.items()}, place), F.when(edwards == "Ed25519", 128).when(edwards == "Ed448", 224), _found(MODULI, modulus),
+        cipher.cast("int"), (digest.cast("int") / 2).cast("int"), des,
+    )
+    return F.struct(F.coalesce(modulus, cipher, digest, lattice, tree).alias("parameter_set"), curve.alias("curve"), bits.alias("bits"), mode.alias("mode"))
+
+
+def key_label(kind: Column, bits: Column, curve: Column) -> Column:
+    """The label of a public key: its type with size, curve or parameters; ``unknown-key`` for types without a label, null included."""
+    tree = F.concat(F.upper(F.regexp_extract(kind, "^(.*)[sf]$", 1)), F.regexp_extract(kind, "([sf])$", 1))
+    named = F.coalesce(_found(FRIENDLY, curve), curve, F.lit("unknown-curve"))
+    out = F.when(F.rlike(kind, F.lit("^slh-dsa-(?:sha2|shake)-[0-9]+[sf]$")), tree).when(F.rlike(kind, F.lit("^(?:ml-kem|ml-dsa|slh-dsa|hss-lms|xmss)")), F.upper(kind))
+    out = out.when(kind.isin("rsa", "rsa-pss", "dsa"), F.concat(F.upper(kind), F.lit("-"), F.coalesce(bits.cast("string"), F.lit("?"))))
+    return out.when(kind == "ec", F.concat(F.lit("ECDSA-"), named)).when(kind == "ed25519", "Ed25519").when(kind == "ed448", "Ed448").otherwise("unknown-key")

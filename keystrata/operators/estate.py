@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import dims
+from keystrata.functions.vocabulary import key_label
 from keystrata.operators.targets import blocked_ipv4
 
 
@@ -182,12 +183,11 @@ def signature_posture(label: Column) -> Column:
 def tls_leaf_keys(certs: DataFrame) -> DataFrame:
     """The leaf's key of each endpoint: label, severity, pq_status and the years after which it is deprecated and disallowed."""
     rows = key_posture(certs.where("chain_pos = 1"))
-    size = F.coalesce(F.col("key_bits").cast("string"), F.col("curve"))
     classical = F.col("pq_status") == "vulnerable"
     strength = F.coalesce(F.regexp_extract("curve", r"(\d{3})", 1).try_cast("int"), F.lit(256))
     short = F.when(F.col("key_type").isin("rsa", "rsa-pss", "dsa"), F.col("key_bits") < 3072).otherwise((F.col("key_type") == "ec") & (strength < 256))
     covered = classical & ~F.col("weak")
-    return rows.select("host", "port", F.concat_ws("-", F.upper("key_type"), size).alias("label"), "severity", "pq_status", F.when(covered & F.coalesce(short, F.lit(False)), 2030).alias("deprecated"), F.when(covered, 2035).alias("disallowed"))
+    return rows.select("host", "port", key_label(F.col("key_type"), F.col("key_bits"), F.col("curve")).alias("label"), "severity", "pq_status", F.when(covered & F.coalesce(short, F.lit(False)), 2030).alias("deprecated"), F.when(covered, 2035).alias("disallowed"))
 
 
 def tls_signatures(certs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.functions import oids
+from keystrata.functions import oids, vocabulary
 from keystrata.operators import manifests, reports
 from keystrata.sources.fixtures import LOCKED, fixture
 
@@ -69,3 +69,8 @@ _PASCAL = "array_to_string([concat(upper(w[1]), w[2:]) for w in string_split_reg
 )
 def sarif_document(spark, sf_dir):
     return reports.sarif_lines(fixture(spark, sf_dir, "findings"))
+
+
+@query("SELECT p_partkey, params AS parameter_set, curve, bits, mode FROM label_details", "label_details")
+def algorithm_details(spark, sf_dir):
+    return fixture(spark, sf_dir, "label_details").select("p_partkey", vocabulary.details(F.col("label")).alias("d")).select("p_partkey", "d.*")

@@ -97,7 +97,7 @@ def findings_capped(spark, sf_dir):
 
 
 @query(
-    """SELECT host, port, CASE key_type WHEN 'rsa' THEN concat('RSA-', key_bits) WHEN 'ec' THEN 'EC-secp192r1' ELSE upper(key_type) END AS label, CASE WHEN key_type IN ('ml-dsa-87', 'unknown') THEN 'info' WHEN key_bits < 1024 THEN 'critical' WHEN curve IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
+    """SELECT host, port, CASE key_type WHEN 'rsa' THEN concat('RSA-', key_bits) WHEN 'ec' THEN 'ECDSA-secp192r1' WHEN 'ed25519' THEN 'Ed25519' WHEN 'unknown' THEN 'unknown-key' ELSE upper(key_type) END AS label, CASE WHEN key_type IN ('ml-dsa-87', 'unknown') THEN 'info' WHEN key_bits < 1024 THEN 'critical' WHEN curve IS NOT NULL THEN 'high' ELSE 'medium' END AS severity,
     CASE WHEN key_type IN ('rsa', 'ec', 'ed25519') THEN 'vulnerable' WHEN key_type = 'ml-dsa-87' THEN 'safe' ELSE 'unknown' END AS pq_status, CASE WHEN key_bits = 2048 THEN 2030 END AS deprecated, CASE WHEN key_bits = 2048 OR key_type = 'ed25519' THEN 2035 END AS disallowed FROM certs WHERE chain_pos = 1""",
     "certs",
 )

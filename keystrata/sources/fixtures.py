@@ -233,7 +233,17 @@ LOCKED = (
     (5, "ecdsa", "0.18.0", True),
 )
 
+# What labels tell, by hand: (label, parameter set, curve, strength, mode).
+_DETAILS = (
+    ("RSA-2048", "2048", "", "112", ""), ("RSA-1000", "1000", "", "", ""), ("RSA-PSS-3072", "3072", "", "128", ""), ("RSA-?", "", "", "", ""), ("DSA-1024", "1024", "", "80", ""),
+    ("ECDSA-P-256", "", "secp256r1", "128", ""), ("ECDH-brainpoolP384r1", "", "brainpoolP384r1", "192", ""), ("ECDHE-X25519", "", "Curve25519", "128", ""), ("ECDSA-Wei25519", "", "Wei25519", "", ""), ("ECDSA-unknown-curve", "", "", "", ""), ("EC", "", "", "", ""),
+    ("Ed448", "", "Ed448", "224", ""), ("X25519", "", "Curve25519", "128", ""), ("AES-256-GCM", "256", "", "256", "gcm"), ("aes128", "128", "", "128", ""), ("AES-CFB8", "", "", "", "cfb"), ("Camellia-192-CBC", "192", "", "192", "cbc"),
+    ("DES-EDE3-CBC", "", "", "112", "cbc"), ("des-ede", "", "", "80", ""), ("DES", "", "", "56", ""), ("desx-cbc", "", "", "", "cbc"), ("RC4", "", "", "", ""), ("SHA-384", "384", "", "192", ""), ("SHA3-224", "224", "", "112", ""), ("MD5", "", "", "", ""),
+    ("ML-KEM-768", "768", "", "", ""), ("HashML-DSA-65-with-SHA512", "65", "", "", ""), ("SLH-DSA-SHAKE-192f", "SHAKE-192f", "", "", ""), ("none of these", "", "", "", ""),
+)
+
 SQL |= {
+    "label_details": f"SELECT p_partkey, label, nullif(params, '') AS params, nullif(curve, '') AS curve, CAST(nullif(bits, '') AS INT) AS bits, nullif(mode, '') AS mode FROM {{part}} JOIN {_values(_DETAILS, 'label, params, curve, bits, mode')} ON p_partkey % {len(_DETAILS)} = k",
     "lock_files": f"""
         SELECT source AS target, concat('p', CAST(doc_id AS STRING), '/', file) AS path, k AS number, CAST(n_chars % 7 AS STRING) AS fill,
                replace(replace(replace(replace(replace(code, '@n', chr(10)), '@o', chr(123)), '@c', chr(125)), '@v', CAST(n_chars % 7 AS STRING)), '@@', '@') AS content

@@ -72,6 +72,17 @@ def test_sarif_lines_are_one_log_for_each_target(spark):
     assert reports.sarif_lines(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_key_labels(spark):
+    from keystrata.functions.vocabulary import details, key_label
+
+    rows = [("rsa", 2048, None, "RSA-2048"), ("rsa-pss", None, None, "RSA-PSS-?"), ("ec", None, "prime256v1", "ECDSA-P-256"), ("ec", None, "secp192r1", "ECDSA-secp192r1"), ("ec", None, None, "ECDSA-unknown-curve")]
+    rows += [("ed25519", None, None, "Ed25519"), ("slh-dsa-sha2-128s", None, None, "SLH-DSA-SHA2-128s"), ("ml-dsa-87", None, None, "ML-DSA-87"), ("x", 1, "y", "unknown-key"), (None, None, None, "unknown-key")]
+    df = spark.createDataFrame(rows, "kind string, bits int, curve string, want string")
+    assert df.where(key_label(F.col("kind"), F.col("bits"), F.col("curve")) != F.col("want")).count() == 0
+    empty = spark.createDataFrame([(None,), ("",), ("-",), ("RSA-99999999999999999999",)], "label string").select(details(F.col("label")).alias("d"))
+    assert {tuple(r["d"]) for r in empty.collect()} == {(None,) * 4, ("99999999999999999999", None, None, None)}
+
+
 def test_lock_readers_pass_over_other_texts(spark):
     from keystrata.operators import manifests
 
