@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fingerprints, ngram_join, secret_scan, substring_dedup, url_filter
+from . import decontamination, fingerprints, ngram_join, periodic_runs, secret_scan, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,13 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf)}
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import periodic_runs as op
+
+    return op.digest(op.find(table(spark, sf_dir, "documents"), prepare=op.looped))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf, op12_periodic_runs)}
 #: SQL has no word for the library's tokens, trained models and packing; tests hold these against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
@@ -84,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_secret_scan": secret_scan.ORACLE_SQL,
     "op8_suffix_dedup": substring_dedup.ORACLE_SQL,
     "op9_url_filter": url_filter.ORACLE_SQL,
+    "op12_periodic_runs": periodic_runs.ORACLE_SQL,
 }
