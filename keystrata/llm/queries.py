@@ -81,7 +81,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.digest(op.find(table(spark, sf_dir, "documents"), prepare=op.looped))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf, op12_periodic_runs)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversation_repair as op
+
+    rows = table(spark, sf_dir, "conversations")
+    return op.repair(rows, op.damaged(rows))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf, op12_periodic_runs, op13_conversation_repair)}
 #: SQL has no word for the library's tokens, trained models and packing; tests hold these against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
