@@ -75,6 +75,14 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity as op
+
+    docs = table(spark, sf_dir, "documents")
+    model = op.fit(docs.where(remainder(5) != 0), table(spark, sf_dir, "labels"))
+    return op.score(docs, model).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= op.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import periodic_runs as op
 
@@ -88,7 +96,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.repair(rows, op.damaged(rows))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf, op12_periodic_runs, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_language_id, op3_ngram_jaccard, op4_token_counts, op5_spotsigs, op6_secret_scan, op7_best_fit_packing, op8_suffix_dedup, op9_url_filter, op10_quality_crf, op11_toxicity, op12_periodic_runs, op13_conversation_repair)}
 #: SQL has no word for the library's tokens, trained models and packing; tests hold these against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontamination": decontamination.ORACLE_SQL,
