@@ -174,6 +174,12 @@ def literals() -> list[tuple[str, str, str, str]]:
     return [(table, name, rule, algorithm) for table, names, rule, algorithm in LITERALS for name in names.split()]
 
 
+def needed_names(language: str) -> list[str]:
+    """Names of which a text with any call of the language holds one; those that hold another are left out."""
+    names = {callee.rsplit(".", 1)[-1] for own, callee, *_ in calls() if own == language}
+    return sorted(n for n in names if not any(other != n and other in n for other in names))
+
+
 def call_pattern(language: str) -> str:
     """A pattern of any call of the language: group 1 is the callee, group 2 the literal in its first argument (or in that object's ``name``)."""
     names = sorted({callee for own, callee, *_ in calls() if own == language}, key=lambda n: (-len(n), n))

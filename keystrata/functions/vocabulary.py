@@ -154,8 +154,8 @@ def broken(label: Column) -> Column:
 def below_strength(label: Column) -> Column:
     """Whether the label names a key below 2,048 bits, or a curve below 224."""
     own = normal(label)
-    head, size = _head(own), F.regexp_extract(own, "([0-9]{3,5})$", 1).cast("int")
-    curve = F.regexp_extract(F.regexp_replace(own, "^[a-z]+", ""), "([0-9]{3})", 1).cast("int")
+    head, size = _head(own), F.regexp_extract(own, "([0-9]{3,5})$", 1).try_cast("int")
+    curve = F.regexp_extract(F.regexp_replace(own, "^[a-z]+", ""), "([0-9]{3})", 1).try_cast("int")
     return F.coalesce(F.when(head.isin("rsa", "dsa", "dh", "dhe", "ffdhe"), size < 2048).when(head.isin("ecdsa", "ecdh", "ecdhe"), curve < 224), F.lit(False))
 
 

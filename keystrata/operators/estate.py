@@ -10,10 +10,13 @@ from keystrata.functions.vocabulary import key_label
 from keystrata.operators.targets import blocked_ipv4
 
 
+_TOP = 2_000_000_000
+
+
 def version_parts(text: Column) -> Column:
     """First dotted number of a text as four whole numbers; null if there is none."""
     found = F.regexp_extract(text, r"(\d+(?:\.\d+)*)", 1)
-    parts = F.transform(F.split(found, r"\."), lambda p: p.cast("int"))
+    parts = F.transform(F.split(found, r"\."), lambda p: F.least(F.coalesce(p.try_cast("int"), F.lit(_TOP)), F.lit(_TOP)))  # a part beyond that, a date say, counts as that
     return F.when(found != "", F.slice(F.concat(parts, F.array_repeat(F.lit(0), 4)), 1, 4))
 
 
@@ -25,7 +28,6 @@ def canonical_name(ecosystem: Column, name: Column) -> Column:
 _TERM = r"(?:(===|~=|==|!=|>=|<=|\^|~|=|>|<)\s{0,8})?[vV]?(?:([0-9]+(?:\.[0-9]+)*)((?:\.[xX*])+)?(?:(?:[-+]|\.?(?=[A-Za-z]))[0-9A-Za-z.+-]*)?|[xX*])"
 _BRANCH = rf"^\s*{_TERM}(?:(?:[\s,]+|(?=[<>=!~^])){_TERM})*\s*$"
 _HYPHEN = r"^\s*[vV]?([0-9]\S*)\s+-\s+[vV]?([0-9]\S*)\s*$"
-_TOP = 2_000_000_000
 
 
 def _interval(term: Column) -> Column:
@@ -131,7 +133,7 @@ def tls_untried_groups(shakes: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def key_posture(certs: DataFrame) -> DataFrame:
-    curve = F.regexp_extract("curve", r"(\d{3})", 1).cast("int")
+    curve = F.regexp_extract("curve", r"(\d{3})", 1).try_cast("int")
     classical, pq = F.col("key_type").isin(*dims.CLASSICAL_KEYS), F.rlike("key_type", F.lit("^(?:ml-kem|ml-dsa|slh-dsa|hss-lms|xmss)"))
     weak = F.coalesce(F.when(F.col("key_type").isin("rsa", "rsa-pss", "dsa"), F.col("key_bits") < 2048).when(F.col("key_type") == "ec", F.when(F.col("curve").isNotNull(), curve < 224)), F.lit(False))
     status = F.when(pq, "safe").when(classical, "vulnerable").otherwise("unknown")

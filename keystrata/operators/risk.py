@@ -20,15 +20,29 @@ def rank_of(values, column: str) -> Column:
     return out
 
 
+#: Up to so many different labels are judged once and sent to every task; beyond that every finding's label is judged where it is.
+MOST_LABELS = 100_000
+
+
+def by_label(findings: DataFrame) -> DataFrame:
+    """``findings`` with what their label alone tells: broken (why its use is broken today), weak (below minimum strength) and standing (CNSA 2.0)."""
+    own = F.col("algorithm")
+    judged = {"broken": vocabulary.broken(own), "weak": vocabulary.below_strength(own), "standing": cnsa2_standing(own)}
+    labels = findings.select("algorithm").distinct().limit(MOST_LABELS + 1).collect()
+    if len(labels) > MOST_LABELS:
+        return findings.withColumns(judged)
+    known = findings.sparkSession.createDataFrame(labels, "algorithm string").withColumns(judged).withColumnRenamed("algorithm", "_label")
+    return findings.join(F.broadcast(known), F.col("algorithm").eqNullSafe(F.col("_label")), "left").drop("_label")
+
+
 def with_threats(findings: DataFrame) -> DataFrame:
-    """Adds uses (array), reason (classical break) and threats (array in order of urgency)."""
+    """Adds uses (array), reason (classical break), threats (array in order of urgency) and the columns of ``by_label``."""
     usage = F.when(F.col("usage") != "", F.split("usage", ","))
     for rule, uses in dims.USAGE_BY_RULE.items():
         usage = F.coalesce(usage, F.when(F.col("rule_id") == rule, F.array(*map(F.lit, uses))))
     usage = F.coalesce(usage, F.when(F.col("rule_id").rlike("^keys/(?:[a-z0-9-]*-)?private-key"), F.array(F.lit("secret-material"))), F.when(F.startswith("rule_id", F.lit("jwt/")), F.array(F.lit("authentication"))), F.array().cast("array<string>"))
-    rows = findings.withColumn("uses", usage)
-    label = F.col("algorithm")
-    broken, weak = vocabulary.broken(label), F.when(vocabulary.below_strength(label), "below minimum strength")
+    rows = by_label(findings).withColumn("uses", usage)
+    broken, weak = F.col("broken"), F.when(F.col("weak"), "below minimum strength")
     reason = F.coalesce(F.when(F.array_contains("uses", "secret-material"), "secret material"), F.col("classical_break"), F.when(F.col("pq_status") == "vulnerable", F.coalesce(broken, weak)))
     rows = rows.withColumn("reason", reason)
     harvest = F.arrays_overlap("uses", F.array(*map(F.lit, dims.HARVEST)))
@@ -60,7 +74,7 @@ def asset_threats(findings: DataFrame) -> DataFrame:
     endpoint = (F.col("category") == "tls") & F.col("host").isNotNull() & F.array_contains("threats", "harvest-now")
     key = F.when(endpoint, F.format_string("tls/key-establishment@%s:%d", "host", "port")).otherwise(F.concat_ws(":", "rule_id", "algorithm"))
     own = F.when(F.exists("uses", lambda u: u.isin("key-establishment", "signature", "authentication")) & (F.col("pq_status") == "vulnerable"), False)
-    rows = rows.withColumns({"asset": key, "nonprod": F.col("context").isNotNull(), "cnsa2": F.coalesce(cnsa2_standing(F.col("algorithm")), own), "sev": rank_of(dims.SEVERITIES, "severity"), "pq": rank_of(dims.PQ_STATUSES, "pq_status")})
+    rows = rows.withColumns({"asset": key, "nonprod": F.col("context").isNotNull(), "cnsa2": F.coalesce(F.col("standing"), own), "sev": rank_of(dims.SEVERITIES, "severity"), "pq": rank_of(dims.PQ_STATUSES, "pq_status")})
     each = rows.withColumn("threat", F.explode("threats")).groupBy("target", "nonprod", "asset", "threat").agg(F.min("ord").alias("ord"), F.count("*").alias("n"), F.min("sev").alias("sev"), F.min("pq").alias("pq"), F.bool_and("cnsa2").alias("cnsa2"))
     whole = Window.partitionBy("target", "nonprod", "asset")
     return each.withColumns({"sev": F.min("sev").over(whole), "pq": F.min("pq").over(whole), "cnsa2": F.min(F.col("cnsa2").cast("int")).over(whole)})

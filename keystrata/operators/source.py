@@ -7,11 +7,14 @@ to the tables of calls, literals and rules, which are small and fixed. All of it
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import calls, dims
-from keystrata.functions.arrays import let, running_totals
+from keystrata.functions.arrays import chunks, cut, let, running_totals
 
 
 def language(path: Column) -> Column:
@@ -50,7 +53,7 @@ def _breaks(text: Column) -> Column:
 
 # Strings (kept) or comments (blanked) of a language. What is not closed ends with its line, or with the text, so a
 # token takes all that was read for it and no text is read twice.
-_TEXTS = "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+){{0,2000}}+{q}?+" for q in "\"'")
+_TEXTS = "|".join(rf"{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}?+" for q in "\"'")
 _C_COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
 _TOKENS = {
     "python": "|".join(rf"{q}(?s:.*?)(?:{q}|\z)" for q in ('"' * 3, "'" * 3)) + rf"|{_TEXTS}|#[^\n]*+",
@@ -78,21 +81,27 @@ def strip_comments(files: DataFrame) -> DataFrame:
 
 
 def call_sites(files: DataFrame, kind: str) -> DataFrame:
-    """``files`` by call site: callee, literal (or ""), after (up to 256 characters behind it), at and line."""
+    """``files`` by call site: callee, literal (or ""), after (up to 256 characters behind it), at and line, with the gates the file holds."""
     pattern, text = calls.call_pattern(kind), F.col("content")
 
     def placed(found):
-        parts = F.split(text, pattern, -1)
-        between = F.slice(parts, F.lit(1), F.size(found))
+        between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
         sizes = lambda own: F.zip_with(between, found, lambda b, m: own(b) + own(m))
         rows = F.arrays_zip(
-            between.alias("b"), F.slice(parts, F.lit(2), F.size(found)).alias("after"), running_totals(sizes(F.length)).alias("at"), running_totals(sizes(_breaks)).alias("line"),
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("callee"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("literal"),
+            between.alias("b"), F.transform(found, F.length).alias("size"), running_totals(sizes(F.length)).alias("at"), running_totals(sizes(_breaks)).alias("line"),
+            F.transform(found, lambda m: F.regexp_extract(m, pattern, 1)).alias("callee"), F.transform(found, lambda m: F.regexp_extract(m, pattern, 2)).alias("literal"),
         )
-        site = lambda x: F.struct(F.regexp_replace(x["callee"], r"\s", "").alias("callee"), x["literal"].alias("literal"), F.substring(x["after"], 1, 256).alias("after"), (x["at"] + F.length(x["b"])).alias("at"), (x["line"] + _breaks(x["b"]) + 1).alias("line"))
-        return F.transform(rows, site)
+        def sites(pieces):
+            def site(x):
+                at = x["at"] + F.length(x["b"])
+                after = cut(pieces, at + x["size"], at + x["size"] + 256)
+                return F.struct(F.regexp_replace(x["callee"], r"\s", "").alias("callee"), x["literal"].alias("literal"), after.alias("after"), at.alias("at"), (x["line"] + _breaks(x["b"]) + 1).alias("line"))
+
+            return F.transform(rows, site)
+
+        return let(chunks(text), sites)
 
-    return files.where(text.rlike(pattern)).select("target", "path", "content", F.inline(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)))
+    return files.select("target", "path", "gates", F.inline(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)))
 
 
 def _dimension(df: DataFrame, rows, schema: str) -> DataFrame:
@@ -101,7 +110,12 @@ def _dimension(df: DataFrame, rows, schema: str) -> DataFrame:
 
 def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     """(target, path, rule, algorithm, after, at, line): every use; "other" text files, if asked for, are read as JavaScript, their text as it is."""
-    rows = strip_comments(kept(files)).withColumn("language", language(F.col("path")))
+    # texts without any name of a call are left before their comments are blanked; what gates the others' code holds is seen once
+    some = kept(files).withColumn("language", language(F.col("path"))).where(F.col("language").isin(*languages))
+    named = lambda kind: reduce(or_, (F.contains("content", F.lit(n)) for n in calls.needed_names(kind)))
+    some = some.where(F.when(F.col("language").isin("python", "go", "java"), reduce(lambda held, k: F.when(F.col("language") == k, named(k)).otherwise(held), ("python", "go", "java"), F.lit(False))).otherwise(named("javascript")))
+    gates = sorted({gate for _, _, gate, *_ in calls.calls() if gate})
+    rows = strip_comments(some).withColumn("gates", F.filter(F.array(*map(F.lit, gates)), lambda g: F.contains(F.col("content"), g)))
     found = None
     for kind in ("javascript", "python", "go", "java"):
         read = [n for n in languages if n == kind or n == "other" and kind == "javascript"]
@@ -110,7 +124,7 @@ def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
             found = sites if found is None else found.unionByName(sites)
     known = _dimension(files, calls.calls(), "language string, callee string, gate string, rule string, algorithm string, table string")
     named = _dimension(files, calls.literals(), "table string, name string, named_rule string, named_algorithm string")
-    own = found.join(known, ["language", "callee"]).where((F.col("gate") == "") | F.contains("content", F.col("gate"))).withColumn("name", F.lower(F.split("literal", "/")[0]))
+    own = found.join(known, ["language", "callee"]).where((F.col("gate") == "") | F.array_contains("gates", F.col("gate"))).withColumn("name", F.lower(F.split("literal", "/")[0]))
     told = own.join(named, ["table", "name"], "left").where((F.col("table") == "") | F.col("named_rule").isNotNull())
     return told.select("target", "path", F.coalesce("named_rule", "rule").alias("rule"), F.coalesce("named_algorithm", "algorithm").alias("algorithm"), "after", "at", "line")
 

@@ -66,11 +66,11 @@ def reconcile(spark, sf_dir):
     return manifests.reconciled(fixture(spark, sf_dir, "sites"), fixture(spark, sf_dir, "manifest_dirs"))
 
 
-@query("SELECT DISTINCT version, array_to_string(list_transform(string_split(regexp_extract(version, '[0-9]+([.][0-9]+)*'), '.'), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), '.') AS parts FROM declared", "declared")
+@query("SELECT DISTINCT version, array_to_string(list_transform(string_split(regexp_extract(version, '[0-9]+([.][0-9]+)*'), '.'), lambda x: CAST(CAST(x AS DECIMAL(38, 0)) AS VARCHAR)), '.') AS parts FROM declared", "declared")
 def extract_version(spark, sf_dir):
     found = fixture(spark, sf_dir, "declared").select("version").distinct()
     parts = F.split(F.regexp_extract("version", r"(\d+(?:\.\d+)*)", 1), r"\.")
-    return found.select("version", F.array_join(F.transform(parts, lambda p: p.cast("int").cast("string")), ".").alias("parts"))
+    return found.select("version", F.array_join(F.transform(parts, lambda p: p.try_cast("decimal(38,0)").cast("string")), ".").alias("parts"))
 
 
 @query("SELECT DISTINCT ecosystem, name, version, concat('pkg:', CASE ecosystem WHEN 'crates' THEN 'cargo' ELSE ecosystem END, '/', CASE ecosystem WHEN 'pypi' THEN lower(regexp_replace(name, '[-_.]+', '-', 'g')) ELSE name END, CASE WHEN version SIMILAR TO '[0-9].*' AND ecosystem <> 'crates' THEN concat('@', version) ELSE '' END) AS purl FROM declared", "declared")
