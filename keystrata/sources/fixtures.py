@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scripts
+
 _FINDINGS = (
     ("source/node-crypto/keygen-rsa", "source", "medium", "vulnerable", "RSA-2048", "", ""),
     ("source/node-crypto/weak-hash", "source", "medium", "vulnerable", "MD5", "hashing", ""),
@@ -279,6 +281,16 @@ SQL |= {
                CAST(nullif(line, '') AS INT) + 1 + length(text) - length(replace(text, chr(10), '')) AS line, nullif(label, '') AS label, rule_id, nullif(algorithm, '') AS algorithm, severity, pq_status
         FROM {{documents}} JOIN {_values(_KEYS, "code, line, label, rule_id, algorithm, severity, pq_status")} ON doc_id % {len(_KEYS)} = k""",
 }
+_SCRIPT = "replace(replace(replace(code, '@n', chr(10)), '@o', chr(123)), '@c', chr(125))"
+_SCRIPTS = _values([(ext, scripts.written(code)) for ext, code in scripts.SCRIPTS], "ext, code")
+_PLACED = "source AS target, concat('src/', lang, '/s', CAST(doc_id AS STRING), ext) AS path"
+SQL |= {
+    "scripts": f"SELECT {_PLACED}, concat({_SCRIPT}, chr(10), text) AS content FROM {{documents}} JOIN {_SCRIPTS} ON doc_id % {len(scripts.SCRIPTS)} = k",
+    "script_calls": f"""
+        SELECT {_PLACED}, {_SCRIPT} AS code, h.rule, nullif(h.algorithm, '') AS algorithm, CAST(nullif(h.bits, '') AS INT) AS bits, replace(replace(h.needle, '@o', chr(123)), '@c', chr(125)) AS needle, h.confidence, h.severity
+        FROM {{documents}} JOIN {_SCRIPTS} ON doc_id % {len(scripts.SCRIPTS)} = v.k
+        JOIN (SELECT * FROM {_values([(*r[:4], scripts.written(r[4]), *r[5:]) for r in scripts.RESOLVED], "script, rule, algorithm, bits, needle, confidence, severity")}) AS h ON h.script = CAST(v.k AS STRING)""",
+}
 _TABLES = ("lineitem", "documents", "part", "orders", "events", "pages")
 
 

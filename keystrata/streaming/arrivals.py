@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keystrata.sources.shared import shared_folder
+
 
 def arriving(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
     """Stream of the Parquet files at ``path``, with the schema of those there now."""
@@ -18,11 +19,7 @@ def arriving(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataF
 
 def judged_once(spark: SparkSession, rows: DataFrame, job: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """Runs ``job`` over all that has arrived, appends its rows to a table in the shared folder and reads them."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
-    there = there or "file://" + tempfile.mkdtemp(prefix="spark-")  # a local session, as in tests
-    root = f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     out = job(rows)
     run = out.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     run.awaitTermination()
