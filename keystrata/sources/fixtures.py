@@ -291,6 +291,17 @@ SQL |= {
         FROM {{documents}} JOIN {_SCRIPTS} ON doc_id % {len(scripts.SCRIPTS)} = v.k
         JOIN (SELECT * FROM {_values([(*r[:4], scripts.written(r[4]), *r[5:]) for r in scripts.RESOLVED], "script, rule, algorithm, bits, needle, confidence, severity")}) AS h ON h.script = CAST(v.k AS STRING)""",
 }
+_DIR = "CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a/' ELSE 'a/b/' END"
+SQL["scanned"] = f"""
+    SELECT concat('t', CAST(l_orderkey % 500 AS STRING)) AS target, CAST(l_orderkey AS BIGINT) * 1000000 + l_linenumber * 100000 + l_partkey AS ord,
+           CASE WHEN l_linenumber < 5 THEN CASE WHEN (l_orderkey + l_suppkey) % 3 = 0 AND l_partkey % 11 = 0 THEN 'jwt/jsonwebtoken/rsa' WHEN (l_orderkey + l_suppkey) % 5 = 0 AND l_partkey % 13 = 0 THEN 'jwt/jsonwebtoken/algorithm-unresolved' ELSE 'jwt/jsonwebtoken/hmac' END
+             WHEN l_linenumber = 5 THEN 'deps/npm-jsonwebtoken' WHEN l_linenumber = 6 THEN CASE l_partkey % 3 WHEN 0 THEN 'deps/npm-jsonwebtoken' WHEN 1 THEN 'deps/npm-jsrsasign' ELSE 'deps/pypi-pyjwt' END
+             WHEN l_orderkey % 500 % 7 = 0 THEN 'source/ast-fallback' ELSE 'tls/hybrid-kex' END AS rule_id,
+           CASE WHEN l_linenumber < 5 THEN 'source' WHEN l_linenumber < 7 THEN 'deps' ELSE 'tls' END AS category, 'high' AS severity, 'vulnerable' AS pq_status, CASE l_partkey % 4 WHEN 0 THEN 'confirmed' ELSE 'medium' END AS confidence,
+           CASE WHEN l_linenumber < 5 AND l_partkey % 5 > 0 THEN 'JWT-HS256' END AS algorithm,
+           CASE WHEN l_linenumber < 5 THEN concat({_DIR}, 'c/f', CAST(l_partkey % 7 AS STRING), '.js') WHEN l_linenumber = 6 AND l_partkey % 3 = 0 THEN concat({_DIR}, 'pnpm-lock.yaml') WHEN l_linenumber < 7 THEN concat({_DIR}, 'package.json') END AS path,
+           concat('line ', CAST(l_partkey % 90 AS STRING)) AS evidence, 'Replace it.' AS recommendation
+    FROM {{lineitem}}"""
 _TABLES = ("lineitem", "documents", "part", "orders", "events", "pages")
 
 
