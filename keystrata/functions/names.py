@@ -53,9 +53,9 @@ def _role(name: Column) -> Column:
     return let(_words(name), told)
 
 
-def digest_role(line: Column, read: int = 32) -> Column:
-    """Struct of role and signal: what the first names of a line tell of the digest made there; a security word wins. Null if none tells."""
-    names = F.slice(F.regexp_extract_all(line, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{0,63}"), F.lit(0)), 1, read)
+def digest_role(line: Column, read: int = 32, digits: bool = False) -> Column:
+    """Struct of role and signal: what the first names of a line tell of the digest made there; a security word wins. Null if none tells. With ``digits`` names may begin with one."""
+    names = F.slice(F.regexp_extract_all(line, F.lit(rf"[A-Za-z_{'0-9' * digits}][A-Za-z0-9_-]{{0,63}}"), F.lit(0)), 1, read)
     roles = F.transform(names, lambda n: F.struct(_role(n).alias("role"), n.alias("signal")))
     first = lambda own, role: F.get(F.filter(own, lambda r: r["role"] == role), F.lit(0))
     return let(roles, lambda own: F.coalesce(first(own, "security"), first(own, "non-security")))

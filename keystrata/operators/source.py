@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keystrata.functions import calls, dims
+from keystrata.functions import calls, dims, names
 from keystrata.functions.arrays import chunks, cut, let, running_totals
 
 
@@ -81,8 +81,9 @@ def strip_comments(files: DataFrame) -> DataFrame:
 
 
 def call_sites(files: DataFrame, kind: str) -> DataFrame:
-    """``files`` by call site: callee, literal (or ""), after (up to 256 characters behind it), at and line, with the gates the file holds."""
+    """``files`` by call site: callee, literal (or ""), after (up to 256 characters behind it), before and ahead (of its place), at and line, with the gates the file holds."""
     pattern, text = calls.call_pattern(kind), F.col("content")
+    reach = 2048 if kind == "javascript" else 512  # where a digest goes next is read in JavaScript only
 
     def placed(found):
         between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
@@ -95,7 +96,7 @@ def call_sites(files: DataFrame, kind: str) -> DataFrame:
             def site(x):
                 at = x["at"] + F.length(x["b"])
                 after = cut(pieces, at + x["size"], at + x["size"] + 256)
-                return F.struct(F.regexp_replace(x["callee"], r"\s", "").alias("callee"), x["literal"].alias("literal"), after.alias("after"), at.alias("at"), (x["line"] + _breaks(x["b"]) + 1).alias("line"))
+                return F.struct(F.regexp_replace(x["callee"], r"\s", "").alias("callee"), x["literal"].alias("literal"), after.alias("after"), cut(pieces, F.greatest(at - 256, F.lit(0)), at).alias("before"), cut(pieces, at, at + reach).alias("ahead"), at.alias("at"), (x["line"] + _breaks(x["b"]) + 1).alias("line"))
 
             return F.transform(rows, site)
 
@@ -104,12 +105,24 @@ def call_sites(files: DataFrame, kind: str) -> DataFrame:
     return files.select("target", "path", "gates", F.inline(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)))
 
 
+def digest_context(before: Column, ahead: Column, follow: Column) -> Column:
+    """The line of a call and, where ``follow``, those of the next 16 lines that name the variable it is assigned to."""
+    start = F.regexp_extract(before, r"[^\n]*\z", 0)
+    variable = F.regexp_extract(start, r"([A-Za-z_$][\w$]*)\s*(?::[^=:]*)?:?=\s*(?:(?:await|new)\s+)*[\w$.]*\z", 1)
+
+    def told(lines):
+        uses = F.filter(F.slice(lines, 2, 16), lambda own: follow & (variable != "") & F.array_contains(F.split(own, r"[^\w$]+"), variable))
+        return F.concat_ws(" ", start, F.get(lines, F.lit(0)), F.array_join(uses, " "))
+
+    return let(F.split(ahead, "\n"), told)
+
+
 def _dimension(df: DataFrame, rows, schema: str) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
 
 
 def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(target, path, rule, algorithm, after, at, line): every use; "other" text files, if asked for, are read as JavaScript, their text as it is."""
+    """(target, path, rule, algorithm, after, context, at, line): every use, of a weak digest with the code that tells its role; "other" text files, if asked for, are read as JavaScript, their text as it is."""
     # texts without any name of a call are left before their comments are blanked; what gates the others' code holds is seen once
     some = kept(files).withColumn("language", language(F.col("path"))).where(F.col("language").isin(*languages))
     named = lambda kind: reduce(or_, (F.contains("content", F.lit(n)) for n in calls.needed_names(kind)))
@@ -126,19 +139,29 @@ def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
     named = _dimension(files, calls.literals(), "table string, name string, named_rule string, named_algorithm string")
     own = found.join(known, ["language", "callee"]).where((F.col("gate") == "") | F.array_contains("gates", F.col("gate"))).withColumn("name", F.lower(F.split("literal", "/")[0]))
     told = own.join(named, ["table", "name"], "left").where((F.col("table") == "") | F.col("named_rule").isNotNull())
-    return told.select("target", "path", F.coalesce("named_rule", "rule").alias("rule"), F.coalesce("named_algorithm", "algorithm").alias("algorithm"), "after", "at", "line")
+    rule = F.coalesce("named_rule", "rule")
+    context = F.when(rule.endswith("/weak-hash"), digest_context(F.col("before"), F.col("ahead"), F.col("language") == "javascript"))
+    return told.select("target", "path", rule.alias("rule"), F.coalesce("named_algorithm", "algorithm").alias("algorithm"), "after", context.alias("context"), "at", "line")
 
 
 def assessed(hits: DataFrame) -> DataFrame:
-    """Hits once each, with what their rule says and what the key's size makes worse: bits, severity, pq_status, usage and reason."""
+    """Hits once each, with what their rule says and what the key's size or the digest's role changes: bits, role, severity, pq_status, usage and reason.
+
+    A weak digest that the names around it, or Python's ``usedforsecurity=False``, show to be no security control goes to its rule's
+    ``-non-security`` variant; one made for security is high.
+    """
     rules = _dimension(hits, calls.rules(), "rule string, severity string, pq_status string, usage string")
     inside = F.regexp_extract("after", r"^[^;)]*+", 0)
     said = F.regexp_extract(inside, r"(?i)(?:key_?size|modulusLength|bits)\W{1,4}(\d{3,5})\b", 1)
     plain = F.get(F.filter(F.reverse(F.regexp_extract_all(inside, F.lit(r"\b(\d{3,5})\b"), F.lit(1))), lambda n: n != "65537"), F.lit(0))
     bits = F.when(F.col("rule").rlike("/(?:keygen-(?:rsa|dsa)|dh|dsa)$"), F.coalesce(F.nullif(said, F.lit("")), plain).cast("int"))
-    rows = hits.dropDuplicates(["target", "path", "at", "rule", "algorithm"]).join(rules, "rule").withColumn("bits", bits)
-    worse = F.when(F.col("bits") < 1024, "critical").when(F.col("bits") < 2048, "high")
-    reason = F.when(F.col("bits") < 2048, F.format_string("a key of %d bits is below 2048", "bits"))
+    waived = F.col("rule").startswith("source/python-hashlib/") & F.rlike("after", F.lit(r"^[^\r\n]{0,240}?\busedforsecurity\s{0,4}=\s{0,4}False\b"))
+    role = F.when(F.col("context").isNotNull(), F.when(waived, F.struct(F.lit("non-security").alias("role"), F.lit("usedforsecurity=False").alias("signal"))).when(F.col("rule").startswith("source/node-crypto/"), names.digest_role(F.col("context"), 64, digits=True)).otherwise(names.digest_role(F.col("context"))))
+    once = hits.dropDuplicates(["target", "path", "at", "rule", "algorithm"]).withColumn("_role", role)
+    rule = F.when(F.col("_role.role") == "non-security", F.concat("rule", F.lit("-non-security"))).otherwise(F.col("rule"))
+    rows = once.withColumns({"rule": rule, "role": F.col("_role.role"), "signal": F.col("_role.signal")}).drop("_role").join(rules, "rule").withColumn("bits", bits)
+    worse = F.when(F.col("bits") < 1024, "critical").when((F.col("bits") < 2048) | (F.col("role") == "security"), "high")
+    reason = F.when(F.col("bits") < 2048, F.format_string("a key of %d bits is below 2048", "bits")).when(F.col("role").isNotNull(), F.concat("role", F.lit(": "), "signal"))
     return rows.withColumns({"severity": F.coalesce(worse, "severity"), "reason": reason})
 
 

@@ -215,7 +215,7 @@ _LINE = "CAST(length(head) - length(replace(head, chr(10), '')) + 1 AS INT) AS l
 
 def _matches(*languages: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return source.match(fixture(spark, sf_dir, "files"), languages).drop("after")
+        return source.match(fixture(spark, sf_dir, "files"), languages).drop("after", "context")
 
     run.__name__ = f"match_{languages[0]}"
     return query(_hits_sql(f'"at", {_LINE}', *languages), "file_hits")(run)
@@ -229,7 +229,7 @@ _EVERY = ("javascript", "python", "go", "java", "other")
 
 @query(_hits_sql(f'"at", {_LINE}', *_EVERY), "file_hits")
 def match_all(spark, sf_dir):
-    return source.match(fixture(spark, sf_dir, "files"), _EVERY).drop("after")
+    return source.match(fixture(spark, sf_dir, "files"), _EVERY).drop("after", "context")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keystrata.operators import reconcile, resolved
+from keystrata.operators import reconcile, resolved, source
 from keystrata.sources.fixtures import fixture
 
 from .queries import query
@@ -45,3 +45,9 @@ def reconcile_verdicts(spark, sf_dir):
 )
 def reconciled_findings(spark, sf_dir):
     return reconcile.updated(fixture(spark, sf_dir, "scanned")).select("target", "ord", "rule_id", "path", "severity", "pq_status", "confidence", "recommendation")
+
+
+@query("SELECT target, path, rule, severity, CASE WHEN severity = 'low' THEN 'unknown' ELSE 'vulnerable' END AS pq_status, signal FROM digest_files", "digest_files")
+def hash_role_uses(spark, sf_dir):
+    files = fixture(spark, sf_dir, "digest_files").select("target", "path", "content")
+    return source.assessed(source.match(files, ("javascript", "python", "go", "java"))).select("target", "path", "rule", "severity", "pq_status", "signal")

@@ -291,6 +291,8 @@ SQL |= {
         FROM {{documents}} JOIN {_SCRIPTS} ON doc_id % {len(scripts.SCRIPTS)} = v.k
         JOIN (SELECT * FROM {_values([(*r[:4], scripts.written(r[4]), *r[5:]) for r in scripts.RESOLVED], "script, rule, algorithm, bits, needle, confidence, severity")}) AS h ON h.script = CAST(v.k AS STRING)""",
 }
+_DIGESTS = _values([(end, scripts.written(code), *rest) for end, code, *rest in scripts.DIGESTS], "ending, code, rule, severity, signal")
+SQL["digest_files"] = f"SELECT source AS target, concat('src/', lang, '/', CAST(doc_id AS STRING), ending) AS path, concat(text, chr(10), {_SCRIPT}) AS content, rule, severity, nullif(signal, '') AS signal FROM {{documents}} JOIN {_DIGESTS} ON doc_id % {len(scripts.DIGESTS)} = k"
 _DIR = "CASE l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a/' ELSE 'a/b/' END"
 SQL["scanned"] = f"""
     SELECT concat('t', CAST(l_orderkey % 500 AS STRING)) AS target, CAST(l_orderkey AS BIGINT) * 1000000 + l_linenumber * 100000 + l_partkey AS ord,

@@ -59,6 +59,23 @@ RESOLVED = (
     (18, f"{_NODE}/legacy-digest", "PBKDF2-SHA-1", "", "crypto.pb", "high", "low"),
 )
 
+# Weak digests by what the code around them says: (path ending, code, rule, severity, signal).
+DIGESTS = (
+    ("a.js", "const crypto = require('node:crypto')\nfunction onResponse (response, keyValue) {\n  const digest = crypto.createHash('sha1').update(keyValue + uid).digest('base64')\n  if (secWSAccept !== digest) {\n  }\n}", f"{_NODE}/weak-hash-non-security", "low", "secWSAccept"),
+    ("b.js", 'const accept = crypto.createHash("sha1").update(key + "258EAFA5-E914-47DA-95CA-C5AB0DC85B11").digest("base64");', f"{_NODE}/weak-hash-non-security", "low", "258EAFA5-E914-47DA-95CA-C5AB0DC85B11"),
+    ("c.ts", 'const digest = createHash("md5").update(body).digest("hex");\nres.setHeader("ETag", digest);', f"{_NODE}/weak-hash-non-security", "low", "ETag"),
+    ("d.ts", 'const digest = createHash("md5").update(pw).digest("hex");\nres.setHeader("ETag", digest);\nif (digest !== storedPassword) throw new Error("no");', f"{_NODE}/weak-hash", "high", "storedPassword"),
+    ("e.py", "import hashlib\netag = hashlib.md5(body).hexdigest()", "source/python-hashlib/weak-hash-non-security", "low", "etag"),
+    ("f.py", 'git_oid = hashlib.new("sha1", blob).hexdigest()', "source/python-hashlib/weak-hash-non-security", "low", "git_oid"),
+    ("g.py", "password_hash = hashlib.md5(pw).hexdigest()", "source/python-hashlib/weak-hash", "high", "password_hash"),
+    ("h.py", "etag = compute()\nh = hashlib.sha1(data)\nsend(etag, h)", "source/python-hashlib/weak-hash", "medium", ""),
+    ("i.py", "h = hashlib.md5(password, usedforsecurity=False)", "source/python-hashlib/weak-hash-non-security", "low", "usedforsecurity=False"),
+    ("j.py", "from Crypto.Hash import SHA\ncache_key = SHA.new(data).hexdigest()", "source/pycryptodome/weak-hash-non-security", "low", "cache_key"),
+    ("k.go", 'import "crypto/md5"\netag := fmt.Sprintf("%x", md5.Sum(body))', "source/go/weak-hash-non-security", "low", "etag"),
+    ("l.java", 'String etag = toHex(MessageDigest.getInstance("MD5").digest(body));', "source/java/weak-hash-non-security", "low", "etag"),
+    ("m.js", 'const c = createHash("md5").update(x);\nconst etag = y;', f"{_NODE}/weak-hash", "medium", ""),
+)
+
 
 def written(code: str) -> str:
     """The code as the derived tables hold it: @n, @o and @c for a new line and braces, which SQL and its templates read otherwise."""
