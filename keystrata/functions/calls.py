@@ -20,7 +20,10 @@ CALLS = (
     ("javascript", _CRYPTO, "", "diffieHellman", "source/node-crypto/key-agreement", "DH"),
     ("javascript", _CRYPTO, "", "publicEncrypt privateDecrypt", "source/node-crypto/rsa-encryption", "RSA"),
     ("javascript", _CRYPTO, "", "privateEncrypt publicDecrypt", "source/node-crypto/rsa-private-encrypt", "RSA"),
-    ("javascript", _CRYPTO, "subtle", "generateKey importKey sign verify deriveKey deriveBits encrypt decrypt wrapKey unwrapKey", "", "@subtle"),
+    ("javascript", _CRYPTO, "subtle", "generateKey importKey unwrapKey", "", "@subtle-key"),
+    ("javascript", _CRYPTO, "subtle", "sign verify", "", "@subtle-sign"),
+    ("javascript", _CRYPTO, "subtle", "deriveKey deriveBits", "", "@subtle-derive"),
+    ("javascript", _CRYPTO, "subtle", "encrypt decrypt wrapKey", "", "@subtle-encrypt"),
     ("python", _PYCA, "rsa", "generate_private_key", "source/python-cryptography/keygen-rsa", "RSA"),
     ("python", _PYCA, "ec", "generate_private_key", "source/python-cryptography/keygen-ec", "EC"),
     ("python", _PYCA, "dsa", "generate_private_key generate_parameters", "source/python-cryptography/keygen-dsa", "DSA"),
@@ -75,16 +78,14 @@ CALLS = (
     ("java", "", "MessageDigest", "getInstance", "", "@jvm-digest"),
 )
 
-# Fixed values: (table, literals in small letters, rule, algorithm). Of a literal with "/" the first part counts.
+# Fixed values: (table, pattern of the whole literal in small letters, rule, algorithm; "=" is the literal in capitals).
+# Of a literal with "/" the first part counts. At most one pattern of a table fits.
+_NO_EDWARDS = "(?!.*(?:ecdsa|ed25519|ed448|eddsa))"
 LITERALS = (
     ("digest", "md5", "source/node-crypto/weak-hash", "MD5"),
-    ("digest", "md4", "source/node-crypto/weak-hash", "MD4"),
-    ("digest", "sha1 sha-1", "source/node-crypto/weak-hash", "SHA-1"),
-    ("cipher", "des des-cbc des-ecb", "source/node-crypto/weak-cipher", "DES"),
-    ("cipher", "des-ede3 des-ede3-cbc", "source/node-crypto/weak-cipher", "3DES"),
-    ("cipher", "rc4", "source/node-crypto/weak-cipher", "RC4"),
-    ("cipher", "rc2 rc2-cbc", "source/node-crypto/weak-cipher", "RC2"),
-    ("keypair", "rsa rsa-pss", "source/node-crypto/keygen-rsa", "RSA"),
+    ("digest", "sha-?1", "source/node-crypto/weak-hash", "SHA-1"),
+    ("cipher", ".*(?:des|rc4|rc2).*", "source/node-crypto/weak-cipher", "="),
+    ("keypair", "rsa|rsa-pss", "source/node-crypto/keygen-rsa", "RSA"),
     ("keypair", "dsa", "source/node-crypto/keygen-dsa", "DSA"),
     ("keypair", "ec", "source/node-crypto/keygen-ec", "EC"),
     ("keypair", "ed25519", "source/node-crypto/keygen-eddsa", "Ed25519"),
@@ -92,37 +93,40 @@ LITERALS = (
     ("keypair", "x25519", "source/node-crypto/keygen-xdh", "X25519"),
     ("keypair", "x448", "source/node-crypto/keygen-xdh", "X448"),
     ("keypair", "dh", "source/node-crypto/keygen-dh", "DH"),
-    ("subtle", "rsassa-pkcs1-v1_5 rsa-pss", "source/webcrypto/rsa-signature", "RSA"),
-    ("subtle", "rsa-oaep", "source/webcrypto/rsa-oaep", "RSA-OAEP"),
-    ("subtle", "ecdsa", "source/webcrypto/ecdsa", "ECDSA"),
-    ("subtle", "ed25519", "source/webcrypto/eddsa", "Ed25519"),
-    ("subtle", "ecdh", "source/webcrypto/key-agreement", "ECDH"),
-    ("subtle", "x25519", "source/webcrypto/key-agreement", "X25519"),
+    ("subtle-key", "rsassa-pkcs1-v1_5|rsa-pss|rsa-oaep", "source/webcrypto/keygen-rsa", "RSA"),
+    ("subtle-key", "ecdsa|ecdh", "source/webcrypto/keygen-ec", "="),
+    ("subtle-key", "ed25519", "source/webcrypto/keygen-eddsa", "Ed25519"),
+    ("subtle-key", "ed448", "source/webcrypto/keygen-eddsa", "Ed448"),
+    ("subtle-key", "x25519|x448", "source/webcrypto/keygen-xdh", "="),
+    ("subtle-sign", "rsassa-pkcs1-v1_5|rsa-pss", "source/webcrypto/rsa-signature", "RSA"),
+    ("subtle-sign", "ecdsa", "source/webcrypto/ecdsa", "ECDSA"),
+    ("subtle-sign", "ed25519", "source/webcrypto/eddsa", "Ed25519"),
+    ("subtle-sign", "ed448", "source/webcrypto/eddsa", "Ed448"),
+    ("subtle-derive", "ecdh|x25519|x448", "source/webcrypto/key-agreement", "="),
+    ("subtle-encrypt", "rsa-oaep", "source/webcrypto/rsa-oaep", "RSA-OAEP"),
     ("hashlib", "md5", "source/python-hashlib/weak-hash", "MD5"),
-    ("hashlib", "md4", "source/python-hashlib/weak-hash", "MD4"),
-    ("hashlib", "sha1 sha-1", "source/python-hashlib/weak-hash", "SHA-1"),
-    ("jvm-keypair", "rsa rsassa-pss", "source/java/keygen-rsa", "RSA"),
-    ("jvm-keypair", "ec", "source/java/keygen-ec", "EC"),
+    ("hashlib", "sha-?1", "source/python-hashlib/weak-hash", "SHA-1"),
+    ("jvm-keypair", "rsa|rsassa-pss", "source/java/keygen-rsa", "RSA"),
+    ("jvm-keypair", "ec|ecdsa", "source/java/keygen-ec", "EC"),
     ("jvm-keypair", "dsa", "source/java/keygen-dsa", "DSA"),
-    ("jvm-keypair", "dh diffiehellman", "source/java/keygen-dh", "DH"),
-    ("jvm-keypair", "ed25519 ed448 eddsa", "source/java/keygen-eddsa", "EdDSA"),
-    ("jvm-keypair", "x25519 x448 xdh", "source/java/keygen-xdh", "XDH"),
-    ("jvm-signature", "sha256withrsa sha384withrsa sha512withrsa sha1withrsa md5withrsa rsassa-pss", "source/java/rsa-signature", "RSA"),
-    ("jvm-signature", "sha256withecdsa sha384withecdsa sha512withecdsa sha1withecdsa", "source/java/ecdsa", "ECDSA"),
-    ("jvm-signature", "sha256withdsa sha1withdsa", "source/java/dsa-signature", "DSA"),
-    ("jvm-signature", "ed25519 ed448 eddsa", "source/java/eddsa", "EdDSA"),
-    ("jvm-agreement", "ecdh", "source/java/key-agreement", "ECDH"),
-    ("jvm-agreement", "dh diffiehellman", "source/java/key-agreement", "DH"),
-    ("jvm-agreement", "x25519 x448 xdh", "source/java/key-agreement", "XDH"),
+    ("jvm-keypair", "dh|diffiehellman", "source/java/keygen-dh", "DH"),
+    ("jvm-keypair", "ed25519|eddsa", "source/java/keygen-eddsa", "Ed25519"),
+    ("jvm-keypair", "ed448", "source/java/keygen-eddsa", "Ed448"),
+    ("jvm-keypair", "x25519|xdh", "source/java/keygen-xdh", "X25519"),
+    ("jvm-keypair", "x448", "source/java/keygen-xdh", "X448"),
+    ("jvm-signature", ".*ecdsa.*", "source/java/ecdsa", "ECDSA"),
+    ("jvm-signature", "(?!.*(?:ecdsa|448)).*(?:ed25519|eddsa).*", "source/java/eddsa", "Ed25519"),
+    ("jvm-signature", "(?!.*ecdsa).*ed448.*", "source/java/eddsa", "Ed448"),
+    ("jvm-signature", f"{_NO_EDWARDS}.*(?:rsa|pss).*", "source/java/rsa-signature", "RSA"),
+    ("jvm-signature", f"{_NO_EDWARDS}(?!.*(?:rsa|pss)).*dsa.*", "source/java/dsa-signature", "DSA"),
+    ("jvm-agreement", "ecdh|ecmqv", "source/java/key-agreement", "ECDH"),
+    ("jvm-agreement", "dh|diffiehellman", "source/java/key-agreement", "DH"),
+    ("jvm-agreement", "x25519|xdh", "source/java/key-agreement", "X25519"),
+    ("jvm-agreement", "x448", "source/java/key-agreement", "X448"),
     ("jvm-cipher", "rsa", "source/java/rsa-encryption", "RSA"),
-    ("jvm-cipher", "des", "source/java/weak-cipher", "DES"),
-    ("jvm-cipher", "desede", "source/java/weak-cipher", "3DES"),
-    ("jvm-cipher", "rc4 arcfour", "source/java/weak-cipher", "RC4"),
-    ("jvm-cipher", "rc2", "source/java/weak-cipher", "RC2"),
-    ("jvm-digest", "md2", "source/java/weak-hash", "MD2"),
-    ("jvm-digest", "md4", "source/java/weak-hash", "MD4"),
-    ("jvm-digest", "md5", "source/java/weak-hash", "MD5"),
-    ("jvm-digest", "sha sha1 sha-1", "source/java/weak-hash", "SHA-1"),
+    ("jvm-cipher", "desede|tripledes|des|rc2|rc4|arcfour", "source/java/weak-cipher", "="),
+    ("jvm-digest", "md[25]", "source/java/weak-hash", "="),
+    ("jvm-digest", "sha(?:-?1)?", "source/java/weak-hash", "SHA-1"),
 )
 
 # Rules of public-key use by API; all are medium and vulnerable.
@@ -171,7 +175,7 @@ def calls() -> list[tuple[str, str, str, str, str, str]]:
 
 
 def literals() -> list[tuple[str, str, str, str]]:
-    return [(table, name, rule, algorithm) for table, names, rule, algorithm in LITERALS for name in names.split()]
+    return [(table, f"^(?:{pattern})$", rule, algorithm) for table, pattern, rule, algorithm in LITERALS]
 
 
 def needed_names(language: str) -> list[str]:

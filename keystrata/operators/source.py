@@ -122,7 +122,7 @@ def _dimension(df: DataFrame, rows, schema: str) -> DataFrame:
 
 
 def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
-    """(target, path, rule, algorithm, after, context, at, line): every use, of a weak digest with the code that tells its role; "other" text files, if asked for, are read as JavaScript, their text as it is."""
+    """(target, path, rule, algorithm, literal, after, context, at, line): every use, of a weak digest with the code that tells its role; "other" text files, if asked for, are read as JavaScript, their text as it is."""
     # texts without any name of a call are left before their comments are blanked; what gates the others' code holds is seen once
     some = kept(files).withColumn("language", language(F.col("path"))).where(F.col("language").isin(*languages))
     named = lambda kind: reduce(or_, (F.contains("content", F.lit(n)) for n in calls.needed_names(kind)))
@@ -136,16 +136,16 @@ def match(files: DataFrame, languages: tuple[str, ...]) -> DataFrame:
             sites = call_sites(rows.where(F.col("language").isin(*read)), kind).withColumn("language", F.lit(kind))
             found = sites if found is None else found.unionByName(sites)
     known = _dimension(files, calls.calls(), "language string, callee string, gate string, rule string, algorithm string, table string")
-    named = _dimension(files, calls.literals(), "table string, name string, named_rule string, named_algorithm string")
+    named = _dimension(files, calls.literals(), "table string, pattern string, named_rule string, named_algorithm string").withColumnRenamed("table", "of")
     own = found.join(known, ["language", "callee"]).where((F.col("gate") == "") | F.array_contains("gates", F.col("gate"))).withColumn("name", F.lower(F.split("literal", "/")[0]))
-    told = own.join(named, ["table", "name"], "left").where((F.col("table") == "") | F.col("named_rule").isNotNull())
+    told = own.join(named, (F.col("table") == F.col("of")) & F.rlike("name", F.col("pattern")), "left").where((F.col("table") == "") | F.col("named_rule").isNotNull())
     rule = F.coalesce("named_rule", "rule")
     context = F.when(rule.endswith("/weak-hash"), digest_context(F.col("before"), F.col("ahead"), F.col("language") == "javascript"))
-    return told.select("target", "path", rule.alias("rule"), F.coalesce("named_algorithm", "algorithm").alias("algorithm"), "after", context.alias("context"), "at", "line")
+    return told.select("target", "path", rule.alias("rule"), F.coalesce(F.when(F.col("named_algorithm") == "=", F.upper("name")).otherwise(F.col("named_algorithm")), "algorithm").alias("algorithm"), "literal", "after", context.alias("context"), "at", "line")
 
 
 def assessed(hits: DataFrame) -> DataFrame:
-    """Hits once each, with what their rule says and what the key's size or the digest's role changes: bits, role, severity, pq_status, usage and reason.
+    """Hits once each, with what their rule says and what the key's size, its curve, the signed digest or a digest's role changes: bits, role, severity, pq_status, usage and reason.
 
     A weak digest that the names around it, or Python's ``usedforsecurity=False``, show to be no security control goes to its rule's
     ``-non-security`` variant; one made for security is high.
@@ -160,8 +160,11 @@ def assessed(hits: DataFrame) -> DataFrame:
     once = hits.dropDuplicates(["target", "path", "at", "rule", "algorithm"]).withColumn("_role", role)
     rule = F.when(F.col("_role.role") == "non-security", F.concat("rule", F.lit("-non-security"))).otherwise(F.col("rule"))
     rows = once.withColumns({"rule": rule, "role": F.col("_role.role"), "signal": F.col("_role.signal")}).drop("_role").join(rules, "rule").withColumn("bits", bits)
-    worse = F.when(F.col("bits") < 1024, "critical").when((F.col("bits") < 2048) | (F.col("role") == "security"), "high")
-    reason = F.when(F.col("bits") < 2048, F.format_string("a key of %d bits is below 2048", "bits")).when(F.col("role").isNotNull(), F.concat("role", F.lit(": "), "signal"))
+    curve = F.when(F.col("rule").endswith("/keygen-ec"), F.nullif(F.regexp_extract(inside, r"(?i)curve\W{1,4}[\"'`]([\w-]{1,64})[\"'`]", 1), F.lit("")))
+    curve = F.when(F.regexp_extract(curve, r"(\d{3})", 1).try_cast("int") < 224, curve)
+    signed = F.when(F.col("rule").rlike("/(?:signature|rsa-signature|dsa-signature|ecdsa)$") & F.rlike("literal", F.lit(r"(?i)md[245]|sha-?1(?!\d)")), F.col("literal"))
+    worse = F.when(F.col("bits") < 1024, "critical").when((F.col("bits") < 2048) | (F.col("role") == "security") | curve.isNotNull() | signed.isNotNull(), "high")
+    reason = F.when(F.col("bits") < 2048, F.format_string("a key of %d bits is below 2048", "bits")).when(curve.isNotNull(), F.concat(F.lit("the curve "), curve, F.lit(" is below 224 bits"))).when(signed.isNotNull(), F.concat(F.lit("a signature over "), signed)).when(F.col("role").isNotNull(), F.concat("role", F.lit(": "), "signal"))
     return rows.withColumns({"severity": F.coalesce(worse, "severity"), "reason": reason})
 
 

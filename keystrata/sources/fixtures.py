@@ -53,8 +53,8 @@ HITS = (
     (0, "source/python-hashlib/weak-hash", "SHA-1", "hashlib.new", "", "medium"),
     (1, "source/python-cryptography/keygen-rsa", "RSA", "rsa.generate", "2048", "medium"),
     (2, "source/node-crypto/weak-hash", "MD5", "createHash", "", "medium"),
-    (2, "source/node-crypto/signature", "RSA/DSA/ECDSA", "createSign", "", "medium"),
-    (3, "source/node-crypto/weak-cipher", "3DES", "createCipheriv", "", "high"),
+    (2, "source/node-crypto/signature", "RSA/DSA/ECDSA", "createSign", "", "high"),
+    (3, "source/node-crypto/weak-cipher", "DES-EDE3-CBC", "createCipheriv", "", "high"),
     (4, "source/go/weak-hash", "MD5", "md5.New", "", "medium"),
     (6, "source/java/keygen-rsa", "RSA", "KeyPairGenerator", "", "medium"),
     (6, "source/java/weak-hash", "MD5", "MessageDigest", "", "medium"),

@@ -56,3 +56,19 @@ def test_what_follows_a_call_goes_past_the_next_one(spark):
     code = 'generateKeyPairSync("rsa", { x: createHash("md5"), modulusLength: 1024 })'
     hits = {h["rule"]: h["after"] for h in source.match(spark.createDataFrame([("t", "src/a.js", code, 1)], FILES), ("javascript",)).collect()}
     assert "modulusLength: 1024" in hits["source/node-crypto/keygen-rsa"]
+
+
+def test_literals_by_pattern_and_method(spark):
+    js = ["des-cfb", "des3", "des-ede-cbc", "rc2-40-cbc", "rc4-40", "aes-256-cbc"]
+    jvm = {"SHA224withRSA": "RSA", "SHA256withRSAandMGF1": "RSA", "NONEwithECDSA": "ECDSA", "SHA1withDSA": "DSA", "EdDSA": "Ed25519", "Ed448": "Ed448"}
+    code = {
+        "src/a.js": "\n".join(f'createCipheriv("{c}", k)' for c in js) + '\ncreateHash("md4")\n' + 'subtle.generateKey({ name: "ECDSA" })\nsubtle.generateKey({ name: "RSA-PSS", modulusLength: 1024 })\nsubtle.sign({ name: "RSA-PSS" })\n'
+        + 'generateKeyPairSync("ec", { namedCurve: "secp192r1" })\ncreateSign("RSA-SHA1")\ncreateSign("RSA-SHA256")',
+        "src/b.java": "\n".join(f'Signature.getInstance("{s}")' for s in jvm) + '\nKeyAgreement.getInstance("ECMQV"); KeyAgreement.getInstance("X448"); Cipher.getInstance("TripleDES/CBC"); KeyPairGenerator.getInstance("ECDSA"); MessageDigest.getInstance("MD4"); MessageDigest.getInstance("MD2")',
+    }
+    rows = source.assessed(source.match(spark.createDataFrame([("t", p, c, 1) for p, c in code.items()], FILES), ("javascript", "java"))).orderBy("path", "at").collect()
+    got = [(r["rule"].split("/", 1)[1], r["algorithm"], r["severity"]) for r in rows]
+    assert got[:5] == [("node-crypto/weak-cipher", c.upper(), "high") for c in js[:5]]
+    assert got[5:11] == [("webcrypto/keygen-ec", "ECDSA", "medium"), ("webcrypto/keygen-rsa", "RSA", "high"), ("webcrypto/rsa-signature", "RSA", "medium"), ("node-crypto/keygen-ec", "EC", "high"), ("node-crypto/signature", "RSA/DSA/ECDSA", "high"), ("node-crypto/signature", "RSA/DSA/ECDSA", "medium")]
+    assert [a for _, a, _ in got[11:17]] == list(jvm.values()) and got[14][2] == "high"
+    assert [a for _, a, _ in got[17:]] == ["ECDH", "X448", "TRIPLEDES", "EC", "MD2"]
