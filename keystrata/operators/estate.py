@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import dims
 from keystrata.functions.vocabulary import key_label
+from keystrata.operators.once import judged_once
 from keystrata.operators.targets import blocked_ipv4
 
 
@@ -50,13 +51,23 @@ def _interval(term: Column) -> Column:
     return F.struct(lo.alias("lo"), hi.otherwise(after).alias("hi"))
 
 
-def judged_range(spec: Column, fixed: Column) -> Column:
-    """Where a version range stands against the fixed version; null for what is no range."""
+def range_ends(spec: Column) -> Column:
+    """[lo, hi) of each branch of a version range; null for what is no range."""
     branches = F.transform(F.split(spec, r"\|\|"), lambda b: F.regexp_replace(b, _HYPHEN, ">=$1 <=$2"))
     terms = F.transform(branches, lambda b: F.transform(F.regexp_extract_all(b, F.lit(_TERM), F.lit(0)), _interval))
     ends = F.transform(terms, lambda own: F.struct(F.array_max(F.transform(own, lambda t: t["lo"])).alias("lo"), F.array_min(F.transform(own, lambda t: t["hi"])).alias("hi")))
+    return F.when(F.forall(branches, lambda b: F.rlike(b, F.lit(_BRANCH))), ends)
+
+
+def range_verdict(ends: Column, fixed: Column) -> Column:
+    """Where a range stands against the fixed version; null for what is no range."""
     verdict = F.when(F.forall(ends, lambda e: e["hi"] <= fixed), "below").when(F.forall(ends, lambda e: e["lo"] >= fixed), "at-or-above").otherwise("either")
-    return F.when(spec.isNotNull() & fixed.isNotNull() & F.forall(branches, lambda b: F.rlike(b, F.lit(_BRANCH))), verdict)
+    return F.when(ends.isNotNull() & fixed.isNotNull(), verdict)
+
+
+def judged_range(spec: Column, fixed: Column) -> Column:
+    """Where a version range stands against the fixed version; null for what is no range."""
+    return range_verdict(range_ends(spec), fixed)
 
 
 def pinned(ecosystem: Column, version: Column) -> Column:
@@ -79,7 +90,9 @@ def match_deps(declared: DataFrame) -> DataFrame:
     """Declared packages that the registry knows, once for each manifest, name and version, assessed against the fixed version."""
     known = F.broadcast(registry(declared.sparkSession))
     rows = declared.withColumn("canon", canonical_name(F.col("ecosystem"), F.col("name"))).join(known, ["ecosystem", "canon"])
-    verdict = judged_range(constraint(F.col("ecosystem"), F.col("version")), version_parts(F.col("fixed_in")))
+    rows = rows.withColumn("spec", F.when(F.col("fixed_in").isNotNull(), constraint(F.col("ecosystem"), F.col("version"))))
+    rows = judged_once(rows, "spec", {"ends": range_ends(F.col("spec"))})  # ranges are read once each, many manifests name the same
+    verdict = range_verdict(F.col("ends"), version_parts(F.col("fixed_in")))
     done = verdict == "at-or-above"
     return rows.select(
         "target", F.concat(F.lit("deps/"), "ecosystem", F.lit("-"), "canon").alias("rule_id"), F.format_string("%s:%s@%s", "manifest", "name", "version").alias("evidence"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import dims, vocabulary
 from keystrata.functions.vocabulary import cnsa2_standing
+from keystrata.operators.once import judged_once
 
 
 def rank_of(values, column: str) -> Column:
@@ -20,19 +21,10 @@ def rank_of(values, column: str) -> Column:
     return out
 
 
-#: Up to so many different labels are judged once and sent to every task; beyond that every finding's label is judged where it is.
-MOST_LABELS = 100_000
-
-
 def by_label(findings: DataFrame) -> DataFrame:
     """``findings`` with what their label alone tells: broken (why its use is broken today), weak (below minimum strength) and standing (CNSA 2.0)."""
     own = F.col("algorithm")
-    judged = {"broken": vocabulary.broken(own), "weak": vocabulary.below_strength(own), "standing": cnsa2_standing(own)}
-    labels = findings.select("algorithm").distinct().limit(MOST_LABELS + 1).collect()
-    if len(labels) > MOST_LABELS:
-        return findings.withColumns(judged)
-    known = findings.sparkSession.createDataFrame(labels, "algorithm string").withColumns(judged).withColumnRenamed("algorithm", "_label")
-    return findings.join(F.broadcast(known), F.col("algorithm").eqNullSafe(F.col("_label")), "left").drop("_label")
+    return judged_once(findings, "algorithm", {"broken": vocabulary.broken(own), "weak": vocabulary.below_strength(own), "standing": cnsa2_standing(own)})
 
 
 def with_threats(findings: DataFrame) -> DataFrame:

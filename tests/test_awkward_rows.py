@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from keystrata.operators import estate, risk, source
+from keystrata.operators import estate, once, risk, source
 
 FINDING = "target string, ord int, rule_id string, category string, severity string, pq_status string, algorithm string, usage string, classical_break string, context string, host string, port int"
 FILES = "target string, path string, content string, size_bytes long"
@@ -22,7 +22,7 @@ def test_labels_without_a_size_are_not_weak(spark):
 def test_many_labels_are_judged_alike(spark, monkeypatch):
     rows = findings(spark, ["RSA", "RSA-1024", "MD5", "JWT-none", None])
     want = sorted(map(tuple, risk.with_threats(rows).select("ord", "reason", "standing").collect()))
-    monkeypatch.setattr(risk, "MOST_LABELS", 1)
+    monkeypatch.setattr(once, "MOST_VALUES", 1)
     assert sorted(map(tuple, risk.with_threats(rows).select("ord", "reason", "standing").collect())) == want
 
 
