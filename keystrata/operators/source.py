@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import calls, dims, names
 from keystrata.functions.arrays import chunks, cut, let, running_totals
+from keystrata.operators.ranks import ranked
 
 
 def language(path: Column) -> Column:
@@ -170,22 +171,22 @@ def assessed(hits: DataFrame) -> DataFrame:
 
 def walk_order(files: DataFrame) -> DataFrame:
     """Place of each file in a depth-first walk by name, within its target."""
-    by = Window.partitionBy("target").orderBy(F.split("path", "/"))
-    return files.select("target", "path", F.row_number().over(by).alias("place"))
+    return ranked(files.select("target", "path"), ["target"], [F.split("path", "/")])
 
 
 def budget_prefix(files: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
     """Files of each target before the first, in walk order, that breaks a limit."""
-    by = Window.partitionBy("target").orderBy(F.split("path", "/")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = files.select("target", "path", F.octet_length("content").alias("size"))
-    rows = rows.withColumns({"place": F.count("*").over(by), "total": F.sum("size").over(by)})
+    rows = ranked(files.select("target", "path", F.octet_length("content").alias("size")), ["target"], [F.split("path", "/")], {"total": "size"})
     return rows.where((F.col("place") <= most_files) & (F.col("total") <= most_bytes))
 
 
 def coverage_samples(files: DataFrame, shown: int = 10) -> DataFrame:
     """For each target and language the number of files and the first names."""
     rows = files.select("target", language(F.col("path")).alias("language"), "path")
-    first = rows.withColumn("k", F.row_number().over(Window.partitionBy("target", "language").orderBy("path"))).where(F.col("k") <= shown)
+    # of each of 64 parts of a target's files the first, then of those: no target meets in one task
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(64)))
+    few = salted.withColumn("k", F.row_number().over(Window.partitionBy("target", "language", "salt").orderBy("path"))).where(F.col("k") <= shown)
+    first = few.withColumn("k", F.row_number().over(Window.partitionBy("target", "language").orderBy("path"))).where(F.col("k") <= shown)
     names = first.groupBy("target", "language").agg(F.array_join(F.array_sort(F.collect_list("path")), ", ").alias("sample"))
     counts = rows.groupBy("target", "language").agg(F.count("*").alias("files"))
     more = F.when(F.col("files") > shown, F.format_string("%s and %d more", "sample", F.col("files") - shown)).otherwise(F.col("sample"))

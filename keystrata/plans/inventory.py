@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from keystrata.functions import calls, dims
 from keystrata.operators import estate, manifests, risk, source
+from keystrata.operators.ranks import ranked
 from keystrata.sources.fixtures import SQL, fixture
 from keystrata.streaming import arrivals
 
@@ -82,10 +82,10 @@ def purl(spark, sf_dir):
     return rows.withColumn("purl", F.concat(F.lit("pkg:"), kind, F.lit("/"), name, pin))
 
 
-@query(f"SELECT target, ord, CAST(row_number() OVER (PARTITION BY target ORDER BY {_SEV}, ord) AS INT) AS place FROM findings", "findings")
+@query(f"SELECT target, ord, row_number() OVER (PARTITION BY target ORDER BY {_SEV}, ord) AS place FROM findings", "findings")
 def report_order(spark, sf_dir):
-    by = Window.partitionBy("target").orderBy(risk.rank_of(dims.SEVERITIES, "severity"), "ord")
-    return fixture(spark, sf_dir, "findings").select("target", "ord", F.row_number().over(by).alias("place"))
+    rows = fixture(spark, sf_dir, "findings").select("target", "ord", "severity")
+    return ranked(rows, ["target"], [risk.rank_of(dims.SEVERITIES, "severity"), F.col("ord")]).drop("severity")
 
 
 @query("SELECT target, path, least(count(*), 2) AS kept, greatest(count(*) - 2, 0) AS beyond FROM file_hits GROUP BY target, path", "file_hits")

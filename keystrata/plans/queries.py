@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keystrata.functions import dims
 from keystrata.operators import estate, risk, source
+from keystrata.operators.ranks import ranked
 from keystrata.sources.fixtures import fixture, oracle
 
 TODAY = "1996-01-01"
@@ -70,8 +71,8 @@ def report_top12(spark, sf_dir):
 
 @query("SELECT target, ord, concat('CSW-', upper(category), '-', lpad(CAST(k AS VARCHAR), CAST(greatest(3, length(CAST(k AS VARCHAR))) AS INT), '0')) AS id FROM (SELECT *, row_number() OVER (PARTITION BY target, category ORDER BY ord) AS k FROM findings)", "findings")
 def finding_ids(spark, sf_dir):
-    k = F.row_number().over(Window.partitionBy("target", "category").orderBy("ord")).cast("string")
-    return fixture(spark, sf_dir, "findings").withColumn("k", k).select("target", "ord", F.concat(F.lit("CSW-"), F.upper("category"), F.lit("-"), F.when(F.length("k") < 3, F.lpad("k", 3, "0")).otherwise(F.col("k"))).alias("id"))
+    placed = ranked(fixture(spark, sf_dir, "findings").select("target", "category", "ord"), ["target", "category"], [F.col("ord")])
+    return placed.withColumn("k", F.col("place").cast("string")).select("target", "ord", F.concat(F.lit("CSW-"), F.upper("category"), F.lit("-"), F.when(F.length("k") < 3, F.lpad("k", 3, "0")).otherwise(F.col("k"))).alias("id"))
 
 
 @query(f"SELECT target, rule_id, CAST(row_number() OVER (PARTITION BY target ORDER BY rule_id) - 1 AS INT) AS rule_index, {_LADDER}[min({_SEV}) + 1] AS severity, count(*) AS results FROM findings GROUP BY target, rule_id", "findings")
@@ -186,7 +187,7 @@ def skip_dirs(spark, sf_dir):
     return files.groupBy("target").agg(F.count("*").alias("files")).join(source.kept(files).groupBy("target").agg(F.count("*").alias("kept")), "target")
 
 
-@query("SELECT target, path, CAST(row_number() OVER (PARTITION BY target ORDER BY string_split(path, '/')) AS INT) AS place FROM files", "files")
+@query("SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY string_split(path, '/')) AS place FROM files", "files")
 def walk_order(spark, sf_dir):
     return source.walk_order(fixture(spark, sf_dir, "files"))
 
