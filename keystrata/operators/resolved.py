@@ -32,7 +32,7 @@ from .source import kept, language, strip_comments
 FILE = ["target", "path"]
 #: Characters behind a call that its arguments are read from; rounds that follow chains of names.
 REACH, JUMPS = 2048, 6
-_ID = r"[A-Za-z_$][\w$]*"
+_ID = r"[A-Za-z_$][\w$]*+"
 _CHAIN = rf"{_ID}(?:\s*+!?\s*+\??\.\s*+{_ID})*+"
 _Q = r"""(?:"[^"\\\n]*+"|'[^'\\\n]*+'|`[^`\\$]*+`)"""
 _STRING = r""""[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?+|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'?+|`[^`\\]*+(?:\\(?s:.)[^`\\]*+)*+`?+"""
@@ -47,7 +47,9 @@ _KEYWORDS = "if|for|while|switch|catch|with|function|return|typeof|await|import|
 _HEAD = rf"\b(?:async\s+)?function\s*\*?\s*(?:{_ID})?\s*{_PARAMS}{_TYPE}\s*\{{|\bcatch\s*{_PARAMS}\s*\{{|(?:{_PARAMS}{_TYPE}|(?<![\w$.]){_ID})\s*=>\s*\{{?|(?<![\w$.])(?!(?:{_KEYWORDS})\b){_ID}\s*{_PARAMS}{_TYPE}\s*\{{"
 _CALL = rf"(?<![\w$.])(?:new\s+)?(?:require\(\s*{_Q}\s*\)|\(\s*(?:0\s*,\s*)?{_CHAIN}(?:\s+as\s+[\w.]+)?\s*\)|{_ID})(?:\s*+!?\s*+\??\.\s*+{_ID})*+\s*!?\s*(?:\?\.\s*)?\("
 _CLASS = rf"\bclass\s+{_ID}"
-_EVENT = "|".join((_STRING, _IMPORT, _DECL, _HEAD, _CLASS, r"\)\s*\.\s*setProtectedHeader\s*\(", _CALL, r"[{}]"))
+_EVENTS = "|".join((_STRING, _IMPORT, _DECL, _HEAD, _CLASS, r"\)\s*\.\s*setProtectedHeader\s*\(", _CALL, r"[{}]"))
+#: An event begins with a quote, a bracket or a name; a name that no event can follow is passed in one look.
+_EVENT = rf"(?=[\"'`{{}}()]|(?<![\w$.])(?:(?:{_ID}(?:\s*+!?\s*+\??\.\s*+{_ID})*+\s*+[!?.=(]|(?:import|const|let|var|async|function|class|new|await|catch)\b)))(?:{_EVENTS})"
 _PIECE = rf"""{_STRING}|[()\[\]{{}},]|[^"'`()\[\]{{}},]++"""
 
 
