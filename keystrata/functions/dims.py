@@ -95,6 +95,37 @@ REGISTRY = (
     ("crates", "pqcrypto", None, "unknown", None),
 )
 
+# What libraries provide, as (ecosystem, name, algorithms), by their public documentation. Users extend it as a table.
+PROVIDED = (
+    ("npm", "jsonwebtoken", "JWT-RS256 JWT-ES256 JWT-PS256 JWT-HS256"),
+    ("npm", "node-forge", "RSA Ed25519"),
+    ("npm", "crypto-js", "AES 3DES RC4 MD5 SHA-1 SHA-256"),
+    ("npm", "elliptic", "ECDSA ECDH Ed25519"),
+    ("npm", "tweetnacl", "X25519 Ed25519"),
+    ("npm", "openpgp", "RSA ECDSA ECDH Ed25519 X25519"),
+    ("npm", "node-rsa", "RSA"),
+    ("npm", "jsrsasign", "RSA DSA ECDSA"),
+    ("pypi", "rsa", "RSA"),
+    ("pypi", "pyjwt", "JWT-RS256 JWT-ES256 JWT-HS256"),
+    ("pypi", "cryptography", "RSA ECDSA ECDH X25519 Ed25519"),
+    ("pypi", "python-jose", "JWT-RS256 JWT-ES256 JWT-HS256"),
+    ("pypi", "ecdsa", "ECDSA ECDH Ed25519"),
+    ("pypi", "pycryptodome", "RSA DSA ECDSA ElGamal AES 3DES"),
+    ("pypi", "pynacl", "X25519 Ed25519 XSalsa20-Poly1305"),
+    ("pypi", "paramiko", "RSA ECDSA Ed25519 DH"),
+    ("pypi", "pyopenssl", "RSA DSA EC"),
+    ("pypi", "liboqs-python", "ML-KEM ML-DSA SLH-DSA"),
+    ("crates", "ring", "RSA ECDSA Ed25519 X25519"),
+    ("crates", "rustls", "ECDHE X25519 RSA ECDSA"),
+    ("crates", "ed25519-dalek", "Ed25519"),
+    ("crates", "x25519-dalek", "X25519"),
+    ("crates", "rsa", "RSA"),
+    ("crates", "p256", "ECDSA-P-256 ECDH-P-256"),
+    ("crates", "openssl", "RSA DSA ECDSA ECDH DH"),
+    ("crates", "oqs", "ML-KEM ML-DSA SLH-DSA"),
+    ("crates", "pqcrypto", "ML-KEM ML-DSA SLH-DSA"),
+)
+
 
 def cidr_bounds(block: str) -> tuple[int, int]:
     base, bits = block.split("/")

@@ -28,6 +28,17 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
+def digest(text: Column) -> Column:
+    """A short name that stays the same: the first 16 hexadecimal digits of SHA-256."""
+    return F.substring(F.sha2(text, 256), 1, 16)
+
+
+def endpoint(host: Column, port: Column) -> Column:
+    """A TLS endpoint as ``tls://host:port``, IPv6 hosts in brackets; no or zero ports are left out."""
+    own = F.when(F.contains(host, F.lit(":")), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host)
+    return F.concat(F.lit("tls://"), own, F.when(port != 0, F.concat(F.lit(":"), port.cast("string"))).otherwise(""))
+
+
 def rule_named(category: Column, label: Column) -> Column:
     """A rule's name from what a finding is about, without saying its category twice."""
     about = slug(label)

@@ -27,13 +27,17 @@ def by_label(findings: DataFrame) -> DataFrame:
     return judged_once(findings, "algorithm", {"broken": vocabulary.broken(own), "weak": vocabulary.below_strength(own), "standing": cnsa2_standing(own)})
 
 
-def with_threats(findings: DataFrame) -> DataFrame:
-    """Adds uses (array), reason (classical break), threats (array in order of urgency) and the columns of ``by_label``."""
+def uses_told() -> Column:
+    """What a finding's algorithm is used for, as it says itself or else as its rule tells; empty where neither does."""
     usage = F.when(F.col("usage") != "", F.split("usage", ","))
     for rule, uses in dims.USAGE_BY_RULE.items():
         usage = F.coalesce(usage, F.when(F.col("rule_id") == rule, F.array(*map(F.lit, uses))))
-    usage = F.coalesce(usage, F.when(F.col("rule_id").rlike("^keys/(?:[a-z0-9-]*-)?private-key"), F.array(F.lit("secret-material"))), F.when(F.startswith("rule_id", F.lit("jwt/")), F.array(F.lit("authentication"))), F.array().cast("array<string>"))
-    rows = by_label(findings).withColumn("uses", usage)
+    return F.coalesce(usage, F.when(F.col("rule_id").rlike("^keys/(?:[a-z0-9-]*-)?private-key"), F.array(F.lit("secret-material"))), F.when(F.startswith("rule_id", F.lit("jwt/")), F.array(F.lit("authentication"))), F.array().cast("array<string>"))
+
+
+def with_threats(findings: DataFrame) -> DataFrame:
+    """Adds uses (array), reason (classical break), threats (array in order of urgency) and the columns of ``by_label``."""
+    rows = by_label(findings).withColumn("uses", uses_told())
     broken, weak = F.col("broken"), F.when(F.col("weak"), "below minimum strength")
     reason = F.coalesce(F.when(F.array_contains("uses", "secret-material"), "secret material"), F.col("classical_break"), F.when(F.col("pq_status") == "vulnerable", F.coalesce(broken, weak)))
     rows = rows.withColumn("reason", reason)

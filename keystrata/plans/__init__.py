@@ -1,3 +1,3 @@
 """Registered queries; importing the package registers all of them."""
 
-from . import documents, inventory, posture, reports, resolved  # noqa: F401
+from . import cbom, documents, inventory, posture, reports, resolved  # noqa: F401

@@ -304,6 +304,35 @@ SQL["scanned"] = f"""
            CASE WHEN l_linenumber < 5 THEN concat({_DIR}, 'c/f', CAST(l_partkey % 7 AS STRING), '.js') WHEN l_linenumber = 6 AND l_partkey % 3 = 0 THEN concat({_DIR}, 'pnpm-lock.yaml') WHEN l_linenumber < 7 THEN concat({_DIR}, 'package.json') END AS path,
            concat('line ', CAST(l_partkey % 90 AS STRING)) AS evidence, 'Replace it.' AS recommendation
     FROM {{lineitem}}"""
+# Findings with all that a bill of materials reads: category, rule, severity, status, algorithm, oid, usage, path, protocol, its version, cipher, group, ecosystem, name, version, certificate.
+_BOM = (
+    ("source", "source/node-crypto/weak-hash", "medium", "vulnerable", "MD5", "", "hashing", "a.js", "", "", "", "", "", "", "", ""),
+    ("source", "source/node-crypto/weak-hash", "high", "vulnerable", "md5", "", "hashing", "b.js", "", "", "", "", "", "", "", ""),
+    ("source", "source/node-crypto/keygen-rsa", "medium", "vulnerable", "RSA-2048", "", "encryption", "c.js", "", "", "", "", "", "", "", ""),
+    ("source", "source/node-crypto/sign", "low", "transitional", "", "", "signature", "d.js", "", "", "", "", "", "", "", ""),
+    ("keys", "keys/private-key-block", "critical", "vulnerable", "", "", "", "k.pem", "", "", "", "", "", "", "", ""),
+    ("keys", "keys/public-key-block", "low", "unknown", "RSA", "", "", "p.pem", "", "", "", "", "", "", "", ""),
+    ("deps", "deps/npm-tweetnacl", "medium", "vulnerable", "", "", "", "package.json", "", "", "", "", "npm", "tweetnacl", "1.0.3", ""),
+    ("deps", "deps/npm-tweetnacl", "high", "vulnerable", "", "", "", "package.json", "", "", "", "", "", "", "", ""),
+    ("deps", "deps/npm-jsonwebtoken", "high", "vulnerable", "", "", "", "package.json", "", "", "", "", "npm", "jsonwebtoken", "^9.0.2", ""),
+    ("deps", "deps/other", "info", "safe", "", "", "", "package.json", "", "", "", "", "npm", "@scope/pkg", "==2.0.0-rc.1", ""),
+    ("deps", "deps/pypi-pynacl", "medium", "vulnerable", "", "", "", "req.txt", "", "", "", "", "python", "Py_NaCl", ">=1.5", ""),
+    ("deps", "deps/none", "medium", "vulnerable", "", "", "", "req.txt", "", "", "", "", "", "", "", ""),
+    ("tls", "tls/leaf-signature", "medium", "vulnerable", "sha256WithRSAEncryption", "1.2.3.4", "", "", "", "", "", "", "", "", "", "y"),
+    ("tls", "tls/leaf-public-key", "medium", "vulnerable", "ECDSA-P-256", "", "", "", "", "", "", "", "", "", "", ""),
+    ("tls", "tls/negotiated-protocol", "info", "unknown", "", "", "", "", "TLS", "1.3", "TLS_AES_128_GCM_SHA256", "X25519MLKEM768", "", "", "", ""),
+    ("tls", "tls/negotiated-protocol", "info", "safe", "ECDHE-P-256", "", "", "", "Quic", "", "", "", "", "", "", ""),
+    ("tls", "tls/hybrid-kex", "high", "vulnerable", "", "", "", "", "", "", "", "", "", "", "", ""),
+)
+SQL["assets"] = f"""
+    SELECT concat('t', CAST(l_orderkey % 50 AS STRING)) AS target, CAST(l_orderkey AS BIGINT) * 1000000 + l_linenumber * 100000 + l_partkey AS ord, concat('F-', CAST(l_orderkey % 400 AS STRING), '-', CAST(l_linenumber AS STRING)) AS id,
+           category, rule_id, severity, pq_status, CASE l_partkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' END AS confidence, nullif(algorithm, '') AS algorithm, nullif(oid, '') AS oid, usage,
+           CASE WHEN path <> '' THEN concat('d', CAST(l_suppkey % 7 AS STRING), '/', path) END AS path, CASE WHEN category IN ('source', 'keys') THEN CAST(l_partkey % 90 AS INT) END AS line,
+           CASE WHEN category = 'tls' THEN concat('h', CAST(l_suppkey % 20 AS STRING), CASE l_suppkey % 4 WHEN 0 THEN ':1' ELSE '.example' END) END AS host, CASE WHEN l_suppkey % 3 > 0 THEN 443 END AS port,
+           nullif(protocol, '') AS protocol, nullif(protocol_version, '') AS protocol_version, nullif(cipher, '') AS cipher, nullif(grp, '') AS grp, nullif(ecosystem, '') AS ecosystem, nullif(name, '') AS name, nullif(version, '') AS version,
+           CASE WHEN cert = 'y' AND l_suppkey % 20 < 10 THEN concat('CN=h', CAST(l_suppkey % 20 AS STRING)) END AS subject, CASE l_partkey % 2 WHEN 0 THEN 'CN=ca' END AS issuer,
+           CASE l_partkey % 2 WHEN 0 THEN '1996-01-01T00:00:00Z' ELSE '1 Jan 1996' END AS not_before, CASE l_partkey % 5 WHEN 0 THEN '1997-02-30T00:00:00Z' ELSE '1997-01-01T00:00:00.5+01:00' END AS not_after
+    FROM {{lineitem}} JOIN {_values(_BOM, "category, rule_id, severity, pq_status, algorithm, oid, usage, path, protocol, protocol_version, cipher, grp, ecosystem, name, version, cert")} ON (l_partkey + l_suppkey) % {len(_BOM)} = k"""
 _TABLES = ("lineitem", "documents", "part", "orders", "events", "pages")
 
 
