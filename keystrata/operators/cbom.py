@@ -43,7 +43,7 @@ def typed(findings: DataFrame) -> DataFrame:
     """The columns of ``FINDING`` alone, in its types, of the rows that a document can hold."""
     have = set(findings.columns)
     rows = findings.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in FINDING.items()])
-    return rows.dropna(subset=["target", "ord", "id"]).withColumn("uses", risk.uses_told())
+    return rows.dropna(subset=["target", "ord", "id"]).withColumn("uses", risk.uses_told()).withColumns(_placed())
 
 
 def algorithm_ref(label: Column) -> Column:
@@ -118,19 +118,19 @@ def _of_certificate(cert: Column) -> Column:
     )
 
 
-def _place() -> tuple[Column, Column, Column]:
-    """Where a finding was seen: location, line, and both as JSON; null if nowhere."""
-    path, line = F.nullif("path", F.lit("")), F.when(F.col("line") != 0, F.col("line"))
-    host = F.nullif("host", F.lit(""))
-    location = F.coalesce(path, endpoint(host, F.col("port")))
-    at = F.when(path.isNotNull(), line)
-    return location, at, F.when(location.isNotNull(), F.to_json(F.struct(location.alias("location"), at.alias("line"))))
+def _placed() -> dict[str, Column]:
+    """Where a finding was seen: location, line (at_line), and both as JSON (place); null if nowhere."""
+    path = F.nullif("path", F.lit(""))
+    location = F.coalesce(path, endpoint(F.nullif("host", F.lit("")), F.col("port")))
+    at = F.when(path.isNotNull() & (F.col("line") != 0), F.col("line"))
+    escaped = F.regexp_replace(F.to_json(F.array(location)), r"^\[|\]$", "")
+    place = F.concat(F.lit('{"location":'), escaped, F.coalesce(F.concat(F.lit(',"line":'), at.cast("string")), F.lit("")), F.lit("}"))
+    return {"location": location, "at_line": at, "place": place}
 
 
 def _of_key() -> Column:
     private = F.array_contains("uses", "secret-material")
-    location, line, _ = _place()
-    place = F.coalesce(F.concat(location, F.when(line.isNotNull(), F.concat(F.lit(":"), line.cast("string"))).otherwise("")), F.col("id"))
+    place = F.coalesce(F.concat("location", F.coalesce(F.concat(F.lit(":"), F.col("at_line").cast("string")), F.lit(""))), F.col("id"))
     side = F.when(private, "private").otherwise("public")
     ref = F.concat(F.lit("crypto/key/"), side, F.lit("/"), digest(F.concat(F.coalesce("rule_id", F.lit("")), F.lit("|"), place)))
     own = _claim(ref, "key", F.concat(F.initcap(side), F.lit(" key material ("), place, F.lit(")")), body=_key(private, algorithm_ref(F.col("algorithm"))))
@@ -172,8 +172,8 @@ def provided_table(spark) -> DataFrame:
 
 
 def _with_registry(findings: DataFrame, registry: DataFrame | None) -> DataFrame:
-    """Dependency findings with ecosystem and name, the registry's where they have none, and what they provide. A registry is joined as Spark sees fit by its size."""
-    known = provided_table(findings.sparkSession) if registry is None else registry
+    """Dependency findings with ecosystem and name, the registry's where they have none, and what they provide. The registry of ``dims`` is small and fixed, so it is broadcast; a caller's own is joined as Spark sees fit by its size."""
+    known = F.broadcast(provided_table(findings.sparkSession)) if registry is None else registry
     rows = findings.join(known.withColumnRenamed("rule_id", "_rule").where("_rule is not null"), F.col("rule_id") == F.col("_rule"), "left")
     return rows.withColumns({"ecosystem": F.coalesce("ecosystem", "kind"), "name": F.coalesce("name", "library")})
 
@@ -184,7 +184,7 @@ def leaves(findings: DataFrame) -> DataFrame:
     parsed, named = F.coalesce(F.size("certificates") > 0, F.lit(False)), F.nullif("algorithm", F.lit("")).isNotNull()
     told = named & F.col("rule_id").isin(LEAF_SIGNATURE, LEAF_KEY)
     rows = findings.where(parsed | told).withColumns({"endpoint": at, "_parsed": parsed, "_told": F.coalesce(told, F.lit(False))}).where("endpoint is not null")
-    own = F.struct("ord", "id", "algorithm", "oid", "severity", "pq_status", "confidence", "path", "line", "host", "port")
+    own = F.struct("ord", "id", "algorithm", "oid", "severity", "pq_status", "confidence", "place")
     last = lambda rule: F.max_by(F.when(F.col("rule_id") == rule, own), F.when(F.col("_told") & (F.col("rule_id") == rule), F.struct("ord", "id")))
     found = rows.groupBy("target", "endpoint").agg(F.bool_or("_parsed").alias("_parsed"), F.min(F.when(F.col("_told"), F.col("ord"))).alias("ord"), last(LEAF_SIGNATURE).alias("signature"), last(LEAF_KEY).alias("key"))
     return found.where("not _parsed and ord is not null").drop("_parsed")
@@ -205,8 +205,8 @@ def _leaf_claims(findings: DataFrame) -> DataFrame:
         of(F.col("key"), _claim(key_ref, "key", named("Leaf public key"), body=_key(F.lit(False), algorithm_ref(F.col("key.algorithm")))), has_key),
         of(F.col("anchor"), _claim(F.concat(F.lit("crypto/certificate/"), own), "certificate", named("Leaf certificate"), body=body), F.lit(True)),
     )
-    out = rows.select("target", "ord", F.posexplode(each).alias("pos", "c")).where("c.claim is not null")
-    return out.select("target", F.struct(F.lit(1).alias("phase"), "ord", "pos", "c.finding.id").alias("at"), "c.claim.*", *[F.col(f"c.finding.{c}") for c in ("id", "severity", "pq_status", "confidence", "path", "line", "host", "port")])
+    out = rows.select("target", "ord", F.posexplode_outer(each).alias("pos", "c")).where("c.claim is not null")
+    return out.select("target", F.struct(F.lit(1).alias("phase"), "ord", "pos", "c.finding.id").alias("at"), "c.claim.*", *[F.col(f"c.finding.{c}") for c in ("id", "severity", "pq_status", "confidence", "place")])
 
 
 def claims(findings: DataFrame, registry: DataFrame | None = None) -> DataFrame:
@@ -215,8 +215,8 @@ def claims(findings: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     parsed = F.coalesce(F.size("certificates") > 0, F.lit(False))
     protocol = F.col("protocol").isNotNull() | F.coalesce(F.col("rule_id") == "tls/negotiated-protocol", F.lit(False))
     each = F.when(F.col("category") == "deps", _of_library()).when(parsed, F.flatten(F.transform("certificates", _of_certificate))).when(F.col("category") == "keys", _of_key()).when(protocol, _of_protocol()).otherwise(_own_algorithm())
-    main = rows.withColumn("_each", each).select("target", "ord", "id", "severity", "pq_status", "confidence", "path", "line", "host", "port", F.posexplode("_each").alias("pos", "c"))
-    own = main.select("target", F.struct(F.lit(0).alias("phase"), "ord", "pos", "id").alias("at"), "c.*", "id", "severity", "pq_status", "confidence", "path", "line", "host", "port")
+    main = rows.withColumn("_each", each).select("target", "ord", "id", "severity", "pq_status", "confidence", "place", F.posexplode_outer("_each").alias("pos", "c")).where("c is not null")  # an inner explode would judge every claim twice, for a filter before it
+    own = main.select("target", F.struct(F.lit(0).alias("phase"), "ord", "pos", "id").alias("at"), "c.*", "id", "severity", "pq_status", "confidence", "place")
     out = own.unionByName(_leaf_claims(typed(findings)))
     return out.withColumn("ref", F.coalesce("ref", algorithm_ref(F.col("label"))))
 
@@ -233,7 +233,7 @@ def components(claimed: DataFrame) -> DataFrame:
     """A row for each asset and library of a target: (target, ref, kind, name, version, body, pq_status, severity, first, place). ``place`` is its first place, null without one; status and severity are null where no finding is about it."""
     seen = F.col("seen")
     ranked = claimed.withColumns({"_pq": F.when(seen, risk.rank_of(dims.PQ_STATUSES, "pq_status")), "_sev": F.when(seen, risk.rank_of(dims.SEVERITIES, "severity"))})
-    text = F.when(seen, _place()[2])
+    text = F.when(seen, F.col("place"))
     out = ranked.groupBy("target", "ref").agg(
         F.min_by(F.struct("kind", "name", "version", "label", "uses", "body"), F.struct("at", "name")).alias("own"), F.min("at").alias("first"),
         F.min_by("oid", F.when(F.col("oid").isNotNull() & (F.col("kind") == "algorithm"), F.struct("at", "oid"))).alias("read_oid"),
@@ -252,9 +252,9 @@ def items(claimed: DataFrame) -> DataFrame:
     seen = F.col("seen")
     pair = lambda kind, text: F.struct(F.lit(kind).alias("list"), text.alias("text"))
     each = F.array(
-        pair("declared", F.when(seen, F.col("declared"))), pair("confidence", F.when(seen, F.coalesce("confidence", F.lit("medium")))), pair("finding", F.when(seen, F.col("id"))), pair("place", F.when(seen, _place()[2])),
+        pair("declared", F.when(seen, F.col("declared"))), pair("confidence", F.when(seen, F.coalesce("confidence", F.lit("medium")))), pair("finding", F.when(seen, F.col("id"))), pair("place", F.when(seen, F.col("place"))),
     )
-    rows = claimed.select("target", "ref", "at", F.explode(F.filter(each, lambda e: e["text"].isNotNull())).alias("e"))
+    rows = claimed.select("target", "ref", "at", F.explode_outer(each).alias("e")).where("e.text is not null")
     return rows.groupBy("target", "ref", F.col("e.list").alias("list"), F.col("e.text").alias("text")).agg(F.min("at").alias("first"))
 
 
