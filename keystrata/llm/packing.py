@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .token_counts import default_path, held
+from .token_counts import default_path, held, text_blocks
 
 LENGTH = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, tie long"
@@ -34,16 +34,15 @@ def pieces(docs: DataFrame, path: str | None = None, *, length: int = LENGTH, bl
     """The id sequences of the documents, cut at ``length``: place, length and CRC of each piece."""
 
     def cut(batches):
-        known = held(path or default_path(), "ids", lambda ids: np.array(ids, "<u4").tobytes())
-        end = np.zeros(1, "<u4").tobytes()
+        known, end = held(path or default_path()), np.zeros(1, "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, block_rows):
-                part = batch.slice(a, block_rows)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), known.of([t or b"" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = b"".join(ids) + end
+            for a, texts in text_blocks(batch, block_rows):
+                flat, ends = known.of(texts)
+                flat, rows, s = flat.astype("<u4", copy=False), [], 0
+                for doc_id, e in zip(batch.column(0).slice(a, len(texts)).to_pylist(), ends.tolist(), strict=True):
+                    ids, s = flat[s:e].tobytes() + end, e
                     n, tie = len(ids) // 4, zlib.crc32(ids)
-                    rows += [(doc_id, k, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), tie) for k, s in enumerate(range(0, n, length))]
+                    rows += [(doc_id, k, at, min(length, n - at), zlib.crc32(ids[4 * at : 4 * (at + length)]), tie) for k, at in enumerate(range(0, n, length))]
                 columns = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "tie"])

@@ -5,9 +5,11 @@ that ends such a piece after a small letter. Whether a vocabulary drops white sp
 parts words from points, so that the tokens of a text are the tokens of its pieces, is read
 from the file's normaliser and pre-tokeniser; a file that does not say so gets whole texts.
 Where it folds case, case is folded before the library does only where its
-normaliser, which composes first, gives the same. A worker keeps the counts of pieces it has met (up to
-``CACHE_PIECES``, then it starts anew, which changes no result) and hands the new ones to
-the library in batches of about equal bytes. The tokenizer's own rules hold within a
+normaliser, which composes first, gives the same. A worker numbers the pieces it has met and keeps their ids
+in one array (beyond ``CACHE_PIECES`` it starts anew, which changes no result). New ones are handed to
+the library many at a time, as one text with a mark behind each, since a call's cost lies in its
+texts: the ids between two marks are the piece's, and if the marks found are not as many as
+the pieces, these are encoded one by one. The tokenizer's own rules hold within a
 piece: its normaliser, its special strings, its splits.
 
 ``whole`` switches the splitting off for any vocabulary.
@@ -19,7 +21,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +32,8 @@ from pyspark.sql import functions as F
 LIMIT = 2048
 BATCH_BYTES = 1 << 20
 CACHE_PIECES = 600_000
+#: Pieces and characters that are handed to the library as one text, and what may stand between them.
+JOINED, JOINED_BYTES, MARKS = 100, 1 << 14, "\x01~^0"
 #: A capital that a mark may follow (U+0300 or above): the library composes the two before it folds case.
 MARKED = re.compile(rb"[A-Z][\xcc-\xff]")
 
@@ -47,15 +54,15 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def byte_batches(pieces: list[str], limit: int = BATCH_BYTES):
-    """Runs of pieces of about ``limit`` characters, longest first, so that a batch holds like with like."""
-    batch, held = [], 0
-    for piece in sorted(pieces, key=len, reverse=True):
+def batches(pieces: list[str], limit: int, most: int = 1 << 62) -> Iterator[list[str]]:
+    """Runs of at most ``most`` pieces and about ``limit`` characters."""
+    batch, size = [], 0
+    for piece in pieces:
         batch.append(piece)
-        held += len(piece) + 16
-        if held >= limit:
+        size += len(piece) + 16
+        if size >= limit or len(batch) >= most:
             yield batch
-            batch, held = [], 0
+            batch, size = [], 0
     if batch:
         yield batch
 
@@ -87,16 +94,41 @@ def folds_case(spec: dict) -> bool:
     return any(s["type"] == "Lowercase" or s["type"] == "BertNormalizer" and s.get("lowercase") for s in _steps(spec.get("normalizer")))
 
 
+class Known(dict):
+    """Numbers of the pieces met so far; a new one gets the next number and waits in ``new``."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        k = self[piece] = len(self)
+        self.new.append(piece)
+        return k
+
+
 class Pieces:
-    """What the library gives for each piece: by default its number of tokens."""
+    """The library's ids of each piece, one behind the other: those of piece k lie at [ends[k - 1], ends[k])."""
 
-    def __init__(self, path: str, give=len, whole: bool = False):
+    def __init__(self, path: str, whole: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer, self.give, self.known = load(path), give, {}
+        self.tokenizer = load(path)
         spec = json.loads(self.tokenizer.to_str())
         self.whole, self.folds = whole or not drops_space(spec), folds_case(spec)
         self.special = [t["content"].encode().lower() for t in spec.get("added_tokens", ())]
         self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.mark = None if self.whole else self._mark()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.flat, self.ends = Known(), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _mark(self) -> tuple[str, int] | None:
+        """A character, and its id, that stays a token of its own between pieces."""
+        for c in MARKS:
+            alone, x, both = (f.ids for f in self.encode([c, "x", f"{c} x {c}"], add_special_tokens=False))
+            if len(alone) == 1 and both == [*alone, *x, *alone]:
+                return c, alone[0]
+        return None
 
     def split(self, text: bytes) -> list[bytes]:
         if self.whole:
@@ -108,47 +140,110 @@ class Pieces:
             return low.split()
         return [p.lower() if p.isascii() else p for p in text.split()]
 
-    def _learn(self, new: list[bytes]) -> None:
-        for batch in byte_batches(new):
-            found = self.encode([p.decode() for p in batch], add_special_tokens=False)
-            self.known.update(zip(batch, (self.give(f.ids) for f in found), strict=True))
-
-    def of(self, texts: list[bytes]) -> list[list]:
-        """For each text what its pieces give, in order."""
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all the pieces and how many each has, every piece encoded by itself."""
+        ids, sizes = [np.zeros(0, np.uint32)], []
+        for batch in batches(pieces, BATCH_BYTES):
+            for f in self.encode(batch, add_special_tokens=False):
+                ids.append(np.array(f.ids, np.uint32))
+                sizes.append(len(ids[-1]))
+        return np.concatenate(ids), np.array(sizes, np.int64)
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_each``, but many pieces are handed over as one text, a mark behind each."""
+        if self.mark is None:
+            return self._each(pieces)
+        c, own = self.mark
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = batches(pieces, JOINED_BYTES, JOINED)
+        while some := list(islice(groups, 16)):
+            for group, f in zip(some, self.encode([f" {c} ".join([*g, ""]) for g in some], add_special_tokens=False), strict=True):
+                found = np.array(f.ids, np.uint32)
+                at = np.flatnonzero(found == own)
+                if len(at) == len(group):
+                    found, n = found[found != own], np.diff(at, prepend=-1) - 1
+                else:  # a piece has the mark's id too
+                    found, n = self._each(group)
+                ids.append(found)
+                sizes.append(n)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self) -> None:
+        """Gives the new pieces their ids, in the order of their numbers."""
+        known, new = self.known, self.known.new
+        ended = np.array([not self.whole and p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122 for p in new], bool)
+        parts = np.array([(known[new[k][:-1]], known[new[k][-1:]]) for k in np.flatnonzero(ended)], np.int64).ravel()  # these become known with them
+        ended = np.append(ended, np.zeros(len(new) - len(ended), bool))
+        first, sizes = len(self.ends), np.zeros(len(new), np.int64)
+        plain = np.flatnonzero(~ended)
+        ids, sizes[plain] = self._encoded([new[k].decode() for k in plain])
+        # First as if the ended ones had none, then in two parts.
+        flat, ends = np.concatenate([self.flat, ids]), np.append(self.ends, np.cumsum(sizes) + len(self.flat))
+        more, n = taken(flat, ends, parts)
+        sizes[ended] = n.reshape(-1, 2).sum(1)
+        own = np.zeros(int(sizes.sum()), np.uint32)
+        long = np.repeat(ended, sizes)
+        own[long], own[~long] = more, ids
+        self.flat, self.ends = np.concatenate([self.flat, own]), np.append(self.ends[:first], np.cumsum(sizes) + len(self.flat))
+        known.new = []
+
+    def of(self, texts: list[bytes], ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+        """The ids of all the texts, one behind the other (or None), and where each text's ids end."""
         split = [self.split(t) for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > CACHE_PIECES:
-            self.known = {}
-            new = set().union(*split)
-        ended = [] if self.whole else [p for p in new if p[-1] in b".," and len(p) > 1 and 97 <= p[-2] <= 122]
-        self._learn([*new.difference(ended)])
-        self._learn([*({p[:-1] for p in ended} | {p[-1:] for p in ended}).difference(self.known)])
-        known = self.known
-        known.update((p, known[p[:-1]] + known[p[-1:]]) for p in ended)
-        return [list(map(known.__getitem__, pieces)) for pieces in split]
+        if len(self.known) > CACHE_PIECES:
+            self._forget()
+        last = np.cumsum([0, *map(len, split)])
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, int(last[-1]))
+        if self.known.new:
+            self._learn()
+        flat, n = taken(self.flat, self.ends, numbers, ids)
+        return flat, np.append(0, np.cumsum(n))[last][1:]
+
+
+def taken(flat: np.ndarray, ends: np.ndarray, k: np.ndarray, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+    """What ``flat`` holds for each of ``k``, one behind the other (or None), and how much for each."""
+    start = np.append(0, ends)[k]
+    n = ends[k] - start
+    if not ids:
+        return None, n
+    before = np.cumsum(n) - n
+    return flat[np.repeat(start - before, n) + np.arange(int(n.sum()))], n
 
 
 _held: dict[tuple, Pieces] = {}
 
 
-def held(path: str, name: str, give, whole: bool = False) -> Pieces:
-    """The worker's pieces for one file and purpose, kept from task to task."""
-    if (key := (path, name, whole)) not in _held:
-        _held[key] = Pieces(path, give, whole)
+def held(path: str, whole: bool = False) -> Pieces:
+    """The worker's pieces for one file, kept from task to task."""
+    if (key := (path, whole)) not in _held:
+        _held[key] = Pieces(path, whole)
     return _held[key]
 
 
+def text_blocks(batch: pa.RecordBatch, rows: int) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts of column 1) of runs of at most ``rows`` rows and about BATCH_BYTES bytes, or a single longer row."""
+    for a in range(0, batch.num_rows, rows):
+        own: list[bytes] = []
+        size = 0
+        for k, t in enumerate(batch.column(1).slice(a, rows)):
+            t = t.as_py() or b""
+            if own and size + len(t) > BATCH_BYTES:
+                yield a + k - len(own), own
+                own, size = [], 0
+            own.append(t)
+            size += len(t)
+        yield min(a + rows, batch.num_rows) - len(own), own
+
+
 def token_counts(docs: DataFrame, path: str | None = None, *, whole: bool = False, block_rows: int = 500) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every whole text."""
 
     def count(batches):
-        pieces = held(path or default_path(), "lengths", len, whole)
+        pieces = held(path or default_path(), whole)
         for batch in batches:
-            for a in range(0, batch.num_rows, block_rows):
-                part = batch.slice(a, block_rows)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
-                n = [sum(x) for x in pieces.of(texts)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            for a, texts in text_blocks(batch, block_rows):
+                _, ends = pieces.of(texts, ids=False)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), pa.array(map(len, texts), pa.int64()), pa.array(np.diff(ends, prepend=0))], ["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
 

@@ -282,6 +282,23 @@ def test_packing_round_trip(docs, empty):
     assert got(packing.pack(empty)) == []
 
 
+def test_new_pieces_reach_the_library_many_at_a_time(monkeypatch):
+    own, handed = token_counts.Pieces(token_counts.default_path()), []
+    monkeypatch.setattr(own, "encode", lambda texts, f=own.encode, **k: handed.extend(texts) or f(texts, **k))
+    r = random.Random(11)
+    odd = ["\x01", "a\x01b", "\x01\x01", "x.", "x.,", ".", "caf\u00e9,", "e\u0301", "I'LL", "12.5", "$$$", "<|endoftext|>", "\u4f60\u597d", "\U0001f600", ""]
+    texts = [" ".join("".join(r.choices("abcdeth", k=9)) for _ in range(400)) for _ in range(5)]
+    texts = [t.encode() for t in [*texts, *odd, " ".join(odd), *texts]]
+    ids, ends = own.of(texts)
+    _, again = own.of(texts, ids=False)
+    library = token_counts.load(token_counts.default_path())
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [library.encode(t.decode(), add_special_tokens=False).ids for t in texts]
+    assert again.tolist() == ends.tolist()
+    assert len(handed) < 100  # 2,000 words
+    monkeypatch.setattr(token_counts, "CACHE_PIECES", 10)  # starts anew
+    assert own.of(texts)[0].tolist() == ids.tolist()
+
+
 def test_best_two_fit_uses_every_piece():
     r = random.Random(3)
     histogram = {k: r.randint(1, 9) for k in r.sample(range(1, 2049), 300)}
