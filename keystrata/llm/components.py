@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Rows of a file that a round writes, once the number of edges is known.
+FILE_ROWS = 50_000
+
 
 def _star(rows: DataFrame, large: bool) -> DataFrame:
     """One star step over (u, v): ties u's neighbours, the larger ones or all of them, to the least of u and its neighbours.
@@ -33,11 +36,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "compon
 
     ``edges`` has long columns a and b; loops and repeats are allowed. Every round is written
     to the scratch folder, so that the lineage stays short; it ends when no edge changes.
+    From the second on it writes as many files as the edges of the round before need: for
+    each file of a local folder Spark starts processes that for a moment share all of the
+    executor's memory, and a file for each of very many partitions makes thousands of them.
     """
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
     before, r = None, 0
     while True:
-        e = scratch.save(_stars(e), f"{name}-{r}")
+        e = _stars(e)
+        e = scratch.save(e if before is None else e.coalesce(1 + before[0] // FILE_ROWS), f"{name}-{r}")
         seen = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0)), F.coalesce(F.sum(F.hash("a", "b").cast("long")), F.lit(0))).first())
         if r:
             scratch.drop(f"{name}-{r - 1}")

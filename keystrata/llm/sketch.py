@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 COUNTERS = 1 << 22
 _PARTS = 64
 _HASHES = 4
+#: Hashes that a task holds before it counts them.
+_HELD = 1 << 19
 #: Bits of a Bloom filter for each value, and at most.
 BLOOM_BITS, MOST_BITS = 16, 1 << 30
 
@@ -25,12 +27,13 @@ class Counts:
     def add(self, h: np.ndarray) -> None:
         self.held.append(h)
         self.n += len(h)
-        if self.n > COUNTERS:
+        if self.n > _HELD:
             self._count()
 
     def _count(self) -> None:
-        if self.held:
-            self.counts += np.bincount((np.concatenate(self.held) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS).astype(np.int32)
+        for h in self.held:
+            for a in range(0, len(h), _HELD):
+                np.add.at(self.counts, (h[a : a + _HELD] % np.uint64(COUNTERS)).view(np.int64), np.int32(1))
         self.held, self.n = [], 0
 
     def parts(self) -> tuple[pa.Array, pa.Array]:

@@ -550,3 +550,38 @@ def test_pipeline_stages_equal_brute_force_on_awkward_rows(spark):
         ids = [*library.encode(out + (t or "")[at:], add_special_tokens=False).ids, 0]
         want += [(d, k, len(ids[s : s + 2048]), zlib.crc32(np.array(ids[s : s + 2048], "<u4").tobytes())) for k, s in enumerate(range(0, len(ids), 2048))]
     assert got(found, "doc_id", "piece", "length", "ids_crc32") == sorted(want, key=repr)
+
+
+def test_counters_hold_few_hashes_at_a_time():
+    import tracemalloc
+
+    h = np.random.default_rng(4).integers(0, 1 << 63, 6_000_000, dtype=np.uint64)
+    counts = sketch.Counts()
+    tracemalloc.start()
+    for a in range(0, len(h), 60_000):
+        counts.add(h[a : a + 60_000])
+    counts.parts()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (counts.counts == np.bincount((h % np.uint64(sketch.COUNTERS)).astype(np.int64), minlength=sketch.COUNTERS)).all()
+    assert most < 60 << 20
+
+
+def test_rounds_of_components_write_few_files(spark, tmp_path, monkeypatch):
+    from keystrata.llm.scratch import Scratch
+
+    monkeypatch.setattr(Scratch, "drop", lambda self, *names: None)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        scratch = Scratch(spark, "files")
+        found = components.connected_components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"), scratch, "c")
+        assert {r["root"] for r in found.collect()} == {0} and found.count() == 201
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    from pathlib import Path
+
+    files = [len([*p.glob("part-*.parquet")]) for p in sorted(Path(scratch.root.removeprefix("file:").replace("//", "/")).iterdir()) if p.name != "c-0"]
+    assert files and max(files) <= 2
