@@ -136,15 +136,17 @@ def sequence_hash(h: np.ndarray) -> int:
     return int(chained(h, len(h))[0])
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, k: int) -> list[np.ndarray]:
-    """Sorted distinct k-word shingle hashes of each row; of a shorter row, its whole sequence."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and of each row the place of its first one; the last place is their number."""
     starts, stops, row = word_spans(data, offsets, inside)
-    h = span_hashes(data, starts, stops)
+    return span_hashes(data, starts, stops), np.searchsorted(row, np.arange(len(offsets)))
+
+
+def sets_of(h: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct k-word shingle hashes of each row of words; of a shorter row, its whole sequence."""
     grams = chained(h, k)
-    at = np.searchsorted(row, np.arange(len(offsets)))
     out = []
-    for i in range(len(offsets) - 1):
-        a, b = at[i], at[i + 1]
+    for a, b in zip(at[:-1], at[1:], strict=True):
         if b - a >= k:
             out.append(np.unique(grams[a : b - k + 1]))
         elif b > a:
@@ -154,6 +156,25 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, k: i
     return out
 
 
+def summed_sets(h: np.ndarray, at: np.ndarray, k: int, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of ``sets_of``, each with the sum of the whole-numbered weights of the words of every shingle."""
+    grams = chained(h, k)
+    sums = np.concatenate([[0], np.cumsum(weights)])
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a >= k:
+            s, first = np.unique(grams[a : b - k + 1], return_index=True)
+            yield s, sums[a + k + first] - sums[a + first]
+        elif b > a:
+            yield chained(h[a:b], b - a), sums[[b]] - sums[[a]]
+        else:
+            yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted distinct k-word shingle hashes of each row; of a shorter row, its whole sequence."""
+    return sets_of(*word_hashes(data, offsets, inside), k)
+
+
 def as_long(h: np.ndarray) -> pa.Array:
     """Unsigned hashes as the signed longs that Spark has."""
     return pa.array(np.ascontiguousarray(h).view(np.int64))

@@ -3,8 +3,10 @@
 Documents with equal shingle sets form one class; classes are joined, copies are not. The
 work has four passes, each over whole texts:
 
-1. Sets are hashed to class ids, and a count sketch of all shingles (fixed size, merged
-   over all rows) gives every shingle its rarity.
+1. Sets are hashed to class ids, and count sketches of all shingles and of all words (fixed
+   size, merged over all rows) give every shingle its rarity: how often it was met, if that
+   stands out from the shingles that share its counter, then how often its words let expect
+   it. The counters of shingles crowd as the corpus grows, those of words do not.
 2. A class that reaches the threshold with another must share one of its rarest shingles
    (s - ceil(t s) + 1 of s). Inverted lists are built of these only; neighbours in a list
    whose sizes can reach the threshold tie classes into candidate groups. A list is
@@ -17,10 +19,10 @@ work has four passes, each over whole texts:
    pair still meets in exactly one task.
 4. Links are tied into components.
 
-The sketch only orders shingles; errors in it change costs, not results. Null texts and
+The sketches only order shingles; errors in them change costs, not results. Null texts and
 texts without words have empty sets and link with nothing; shorter texts than a shingle are
 one shingle. Null doc_ids take part but never name a component unless it has no other.
-Nothing but the sketch goes through the driver: sets meet their group by a join, which
+Nothing but the sketches goes through the driver: sets meet their group by a join, which
 sends the candidates' names to all tasks while they are few (``rows.BROADCAST_KEYS``).
 """
 
@@ -35,11 +37,13 @@ from . import blocks as B
 from .components import connected_components
 from .rows import bounded, free_name, key
 from .scratch import Scratch
-from .sketch import COUNTERS, Counts, Sketch, merged
+from .sketch import COUNTERS, WORD_COUNTERS, WORDS_FROM, Counts, Sketch, merged
 
 GROUP_TOKENS = 10_000_000
 #: Classes that a task remembers to give their set but once; forgetting them changes no result.
 REMEMBERED = 500_000
+#: Rows of a list that a task holds; longer lists count as so long.
+LISTED = 1_000_000
 
 
 def _class_id(s: np.ndarray) -> int:
@@ -48,26 +52,56 @@ def _class_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _sets(batches, k: int):
-    """(batch, first row, sets) of each block of a (doc_id, text) stream."""
+def _words(batches):
+    """(batch, first row, hashes of words, first word of each row) of each block of a (doc_id, text) stream."""
     for batch in batches:
         for a, _, data, offsets in B.texts(batch.column(1)):
-            yield batch, a, B.shingle_sets(B.LOWER[data], offsets, B.SPACED, k)
+            yield batch, a, *B.word_hashes(B.LOWER[data], offsets, B.SPACED)
+
+
+def _sets(batches, k: int):
+    """(batch, first row, sets) of each block of a (doc_id, text) stream."""
+    for batch, a, h, at in _words(batches):
+        yield batch, a, B.sets_of(h, at, k)
+
+
+class Rarity:
+    """Places of shingles in an order by rarity, which depends on nothing but the shingle; a task's process works it out once."""
+
+    def __init__(self, sketch: Sketch):
+        self.sketch, self._met, self._weights = sketch, None, None
+
+    def of_words(self, h: np.ndarray) -> np.ndarray:
+        """How rare each word is; what adds up over a shingle."""
+        if self._weights is None:
+            words = self.sketch.words().astype(np.float64)
+            self._weights = np.round(16 * np.log2((words.sum() + 1) / (words + 1))).astype(np.int64)
+        return self._weights[(h % np.uint64(WORD_COUNTERS)).astype(np.int64)]
+
+    def places(self, s: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """The rarest come first; ``rare`` is the sum over the words of each."""
+        if self._met is None:
+            self._met = self.sketch.counts()
+            usual = float(np.median(self._met))
+            self._met[self._met <= usual + 4 * usual**0.5] = 0
+        return (self._met[(s % np.uint64(COUNTERS)).astype(np.int64)].astype(np.int64) << 20) - rare
 
 
 def classes_and_sketch(docs: DataFrame, k: int, named: bool = False) -> DataFrame:
-    """A row (doc_id, n, sid, row) for each document, and each task's counters as (part, counts) rows; row is null unless ``named``."""
+    """A row (doc_id, n, sid, row) for each document, and each task's counters of shingles and words as (part, counts) rows; row is null unless ``named``."""
 
     def scan(batches):
-        counts, names = Counts(), ["doc_id", "n", "sid", "row", "part", "counts"]
-        for batch, a, sets in _sets(batches, k):
+        counts, words, names = Counts(), Counts(WORD_COUNTERS), ["doc_id", "n", "sid", "row", "part", "counts"]
+        for batch, a, h, at in _words(batches):
+            words.add(h)
+            sets = B.sets_of(h, at, k)
             n = len(sets)
             for s in sets:
                 counts.add(s)
             sids = pa.array([_class_id(s) if len(s) else None for s in sets], pa.int64())
             own = batch.column(2).slice(a, n) if named else pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(map(len, sets), pa.int64()), sids, own, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
-        part, own = counts.parts()
+        part, own = map(pa.concat_arrays, zip(counts.parts(), words.parts(WORDS_FROM), strict=True))
         none = pa.nulls(len(part), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(part), pa.binary()), part, own], names)
 
@@ -75,24 +109,36 @@ def classes_and_sketch(docs: DataFrame, k: int, named: bool = False) -> DataFram
     return rows.mapInArrow(scan, "doc_id long, n long, sid long, row binary, part int, counts binary")
 
 
+def _least(n, num: int, den: int):
+    """Shingles that a class of n shares at least with one that it is linked with, which is also the least size of such a class."""
+    return (num * n + den - 1) // den
+
+
+def _spare(n, num: int, den: int):
+    """Shingles that a class of n lists beyond its prefix: two linked classes share one more than the smaller of them has to spare."""
+    least = _least(n, num, den)
+    return np.minimum(n - least + 1, least - 1)
+
+
 def prefix_rows(docs: DataFrame, sketch: Sketch, k: int, num: int, den: int) -> DataFrame:
-    """(token, sid, size): the rarest shingles of each class; of copies a task gives one."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    """(token, sid, size): the rarest shingles of each class, its prefix and as many to spare; of copies a task gives one."""
+    sent = docs.sparkSession.sparkContext.broadcast(Rarity(sketch))
 
     def scan(batches):
         given: set[int] = set()
-        for _, _, sets in _sets(batches, k):
-            counts = sent.value.counts()
+        order = sent.value
+        for _, _, h, at in _words(batches):
             tokens, sids, sizes = [], [], []
-            for s in sets:
-                if not len(s) or (sid := _class_id(s)) in given:
+            for s, words in B.summed_sets(h, at, k, order.of_words(h)):
+                n = len(s)
+                if not n or (sid := _class_id(s)) in given:
                     continue
                 given.add(sid)
-                p = len(s) - (num * len(s) + den - 1) // den + 1
-                rare = np.lexsort((s, counts[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:p]
+                p = n - _least(n, num, den) + 1 + int(_spare(n, num, den))
+                rare = np.lexsort((s, order.places(s, words)))[:p]
                 tokens.append(s[rare])
                 sids.append(np.full(p, sid, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
+                sizes.append(np.full(p, n, np.int32))
             if len(given) > REMEMBERED:
                 given.clear()  # then a copy is given again, which the lists pass over
             if tokens:
@@ -101,8 +147,78 @@ def prefix_rows(docs: DataFrame, sketch: Sketch, k: int, num: int, den: int) ->
     return docs.select("doc_id", "text").mapInArrow(scan, "token long, sid long, size int")
 
 
+def _runs(batches):
+    """Sorted batches cut anew, so that rows with the same first value stay together: (columns, False). More than LISTED such rows come in parts: (columns, True)."""
+    held, long = None, None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)]
+        if held is not None:
+            columns, held = [np.concatenate(x) for x in zip(held, columns, strict=True)], None
+        if long is not None:
+            rest = int(np.searchsorted(columns[0], long, "right"))
+            if rest:
+                yield [c[:rest] for c in columns], True
+            columns = [c[rest:] for c in columns]
+        if not len(columns[0]):
+            continue
+        long, last = None, int(np.searchsorted(columns[0], columns[0][-1]))
+        if last:
+            yield [c[:last] for c in columns], False
+        held = [c[last:] for c in columns]
+        if len(held[0]) > LISTED:
+            yield held, True
+            long, held = held[0][0], None
+    if held is not None:
+        yield held, False
+
+
+def _distinct(columns: list[np.ndarray], by: tuple[int, int]) -> list[np.ndarray]:
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([columns[i][1:] != columns[i][:-1] for i in by])
+    return [c[new] for c in columns]
+
+
+def _lengths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row its place in the run of equal values, and the length of the run."""
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    length = np.diff(np.append(starts, len(values)))
+    return np.arange(len(values)) - np.repeat(starts, length), np.repeat(length, length)
+
+
+def tied_rows(prefixes: DataFrame, num: int, den: int) -> DataFrame:
+    """Of ``prefixes`` those rows that can tie a class to another, by the true lengths of the lists.
+
+    A row whose list has no other class of a size that can reach the threshold ties nothing.
+    Of the others a class may do without as many as its smallest partner has to spare, those
+    with the longest lists: of the shingles that two linked classes share in their lists, the
+    one with the shortest list has more others above it on either side than that. So a class
+    that shares a few shingles by chance, or a passage, ties to nothing.
+    """
+
+    def met(batches):
+        for columns, long in _runs(batches):
+            t, s, n = _distinct(columns, (0, 1))
+            n = n.astype(np.int64)
+            tied = np.full(len(t), long)
+            near = (t[1:] == t[:-1]) & (den * n[:-1] >= num * n[1:])
+            tied[1:] |= near
+            tied[:-1] |= near
+            listed = np.full(len(t), LISTED) if long else np.minimum(_lengths(t)[1], LISTED)
+            yield pa.RecordBatch.from_arrays([pa.array(c[tied]) for c in (s, listed, t, n)], ["sid", "listed", "token", "size"])
+
+    def needed(batches):
+        for columns, long in _runs(batches):
+            s, _, t, n = _distinct(columns, (0, 2))
+            place, length = _lengths(s)
+            keep = (place < length - _spare(_least(n, num, den), num, den)) | long
+            yield pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(s[keep]), pa.array(n[keep].astype(np.int32))], ["token", "sid", "size"])
+
+    rows = prefixes.repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(met, "sid long, listed long, token long, size long")
+    return rows.repartition("sid").sortWithinPartitions("sid", "listed", "token").mapInArrow(needed, "token long, sid long, size int")
+
+
 def candidate_edges(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Edges between neighbours of a list, by size, that can reach the threshold."""
+    """Edges between neighbours of a list of tied rows, by size, that can reach the threshold."""
 
     def scan(batches):
         last = None
@@ -118,7 +234,7 @@ def candidate_edges(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             e = np.unique(np.stack([a, b], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
 
-    return prefixes.repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(scan, "a long, b long").distinct()
+    return tied_rows(prefixes, num, den).repartition("token").sortWithinPartitions("token", "size", "sid").mapInArrow(scan, "a long, b long").distinct()
 
 
 def t_occurrence(sets: list[np.ndarray], block: np.ndarray, num: int, den: int, mu: float = 0.01):

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 
 COUNTERS = 1 << 22
 _PARTS = 64
+#: Counters of words, where a sketch has them: their parts come after the others.
+WORD_COUNTERS = 1 << 18
+WORDS_FROM = _PARTS
 _HASHES = 4
 #: Hashes that a task holds before it counts them.
 _HELD = 1 << 19
@@ -19,10 +22,10 @@ BLOOM_BITS, MOST_BITS = 16, 1 << 30
 
 
 class Counts:
-    """A task's counters: a value counts at its hash modulo COUNTERS."""
+    """A task's counters: a value counts at its hash modulo their number."""
 
-    def __init__(self):
-        self.counts, self.held, self.n = np.zeros(COUNTERS, np.int32), [], 0
+    def __init__(self, size: int = COUNTERS):
+        self.counts, self.held, self.n = np.zeros(size, np.int32), [], 0
 
     def add(self, h: np.ndarray) -> None:
         self.held.append(h)
@@ -33,13 +36,13 @@ class Counts:
     def _count(self) -> None:
         for h in self.held:
             for a in range(0, len(h), _HELD):
-                np.add.at(self.counts, (h[a : a + _HELD] % np.uint64(COUNTERS)).view(np.int64), np.int32(1))
+                np.add.at(self.counts, (h[a : a + _HELD] % np.uint64(len(self.counts))).view(np.int64), np.int32(1))
         self.held, self.n = [], 0
 
-    def parts(self) -> tuple[pa.Array, pa.Array]:
-        """(part, compressed counters) of the parts that are not all zero."""
+    def parts(self, first: int = 0) -> tuple[pa.Array, pa.Array]:
+        """(part, compressed counters) of the parts that are not all zero, numbered from ``first`` on."""
         self._count()
-        own = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(self.counts.reshape(_PARTS, -1)) if c.any()]
+        own = [(k, zlib.compress(c.tobytes(), 1)) for k, c in enumerate(self.counts.reshape(-1, COUNTERS // _PARTS), first) if c.any()]
         return pa.array([k for k, _ in own], pa.int32()), pa.array([c for _, c in own], pa.binary())
 
 
@@ -55,16 +58,26 @@ class Sketch:
     """The counters over all tasks, COUNTERS numbers however large the corpus, packed by parts; a task's process unpacks them once."""
 
     def __init__(self, parts: dict[int, bytes]):
-        self.parts, self._counts = parts, None
+        self.parts, self._counts, self._words = parts, None, None
+
+    def _unpacked(self, first: int, size: int) -> np.ndarray:
+        out = np.zeros((size // (COUNTERS // _PARTS), COUNTERS // _PARTS), np.int32)
+        for k in range(len(out)):
+            if packed := self.parts.get(first + k):
+                out[k] = np.frombuffer(zlib.decompress(packed), np.int32)
+        return out.ravel()
 
     def counts(self) -> np.ndarray:
         if self._counts is None:
-            out = np.zeros((_PARTS, COUNTERS // _PARTS), np.int32)
-            for part, packed in self.parts.items():
-                out[part] = np.frombuffer(zlib.decompress(packed), np.int32)
-            self._counts = out.ravel()
+            self._counts = self._unpacked(0, COUNTERS)
         return self._counts
 
+    def words(self) -> np.ndarray:
+        """The counters of words."""
+        if self._words is None:
+            self._words = self._unpacked(WORDS_FROM, WORD_COUNTERS)
+        return self._words
+
 
 def merged(rows: DataFrame) -> Sketch:
     """The sketch from the rows of all tasks; the driver passes it on packed."""

@@ -1,6 +1,7 @@
 """Each corpus operator on small, awkward tables, against brute force, round trips or held-out labels."""
 
 import random
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -108,6 +109,64 @@ def test_ngram_links_lose_none(spark):
     assert got(found, "a", "b") == want
 
 
+@pytest.mark.parametrize("num", [50, 80, 94])
+def test_ngram_links_between_windows_of_one_text(spark, num):
+    r, base = random.Random(num), words(150, 4).split()
+    rows = []
+    for i in range(120):
+        n, own = r.randint(1, 60), list(base)
+        for _ in range(r.randint(0, 2)):
+            own[r.randrange(150)] = f"edit{i}"
+        at = r.randint(0, 20) if i % 2 else r.randint(0, 150 - n)
+        rows.append((i, " ".join(own[at : at + n])))
+    sets, reps = {i: {tuple(w[j : j + 2]) for j in range(max(1, len(w) - 1))} for i, t in rows for w in [t.split()]}, {}
+    for i, s in sets.items():
+        reps.setdefault(frozenset(s), i)
+    want = sorted(((a, b) for s, a in reps.items() for u, b in reps.items() if a < b and 100 * len(s & u) >= num * len(s | u)), key=repr)
+    assert len(want) > 10
+    assert got(ngram_join.Join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 2, num, 100).links(), "a", "b") == want
+
+
+def test_ngram_candidates_stay_apart_when_counters_crowd(spark):
+    r = random.Random(3)
+    word = lambda: r.choice("the of and to a in is it".split()) if r.random() < 0.5 else "".join(r.choice("abcdeé") for _ in range(r.randint(1, 7)))
+    passage = [word() for _ in range(25)]
+    texts = [[word() for _ in range(200)] for _ in range(300)]
+    for t in texts[100:]:
+        t[50:75] = passage
+    copies = [[*t[:90], "edit", *t[91:]] for t in texts[:200:10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts + copies)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    first = ngram_join.classes_and_sketch(df, 4).cache()
+    rarity, noise = sketch.merged(first.where("part is not null")), np.random.default_rng(1)
+    rarity.parts |= {part: zlib.compress(noise.poisson(300, sketch.COUNTERS // 64).astype(np.int32).tobytes()) for part in range(64)}  # as in a corpus of many GB
+    edges = ngram_join.candidate_edges(ngram_join.prefix_rows(df, rarity, 4, 85, 100), 85, 100)
+    tied = edges.selectExpr("explode(array(a, b)) AS sid").distinct().join(first.where("part is null"), "sid")
+    found = {x[0] for x in tied.select("doc_id").collect()}
+    near = {*range(0, 200, 10), *range(300, 320)}
+    assert near <= found
+    assert len(found - near) <= 3
+
+
+def test_runs_stay_together_and_long_ones_come_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ngram_join, "LISTED", 50)
+    r = np.random.default_rng(2)
+    length = np.concatenate([r.integers(1, 20, 60), [400, 3, 120, 51, 50, 7, 300]])
+    first = np.repeat(np.arange(len(length)), length)
+    second = np.arange(len(first))
+    for rows in (1, 13, 40, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(first[a : a + rows]), pa.array(second[a : a + rows])], ["a", "b"]) for a in range(0, len(first), rows)]
+        out = list(ngram_join._runs(batches))
+        assert np.array_equal(np.concatenate([c[1] for c, _ in out]), second)
+        whole = np.concatenate([c[0] for c, long in out if not long])
+        values, times = np.unique(whole, return_counts=True)
+        assert np.array_equal(length[values], times)
+        parts = {int(x) for c, long in out if long for x in c[0]}
+        assert all(len(np.unique(c[0])) == 1 for c, long in out if long) and parts <= set(np.flatnonzero(length > 50).tolist()) and not parts & set(values.tolist())
+
+
 @pytest.mark.parametrize(("few", "tokens"), [(1_000_000, ngram_join.GROUP_TOKENS), (1_000_000, 9), (0, ngram_join.GROUP_TOKENS), (0, 9)])
 def test_ngram_links_through_rows_without_id(spark, monkeypatch, few, tokens):
     from keystrata.llm import rows as helpers
